@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm import sharding
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.token_counts import token_counts
 
+SHARD_BYTES = 1 << 20
+
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -19,13 +22,20 @@ def op2_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack(_table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.extendible_shards(_table(spark, d, "documents"), SHARD_BYTES)
+
+
 def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts(_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op5_sharding": op5_sharding,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_sharding": sharding.oracle(SHARD_BYTES),
+}
