@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import sharding
 from ledgerloom.llm.packing import pack
+from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import token_counts
 
 SHARD_BYTES = 1 << 20
@@ -26,6 +27,10 @@ def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.extendible_shards(_table(spark, d, "documents"), SHARD_BYTES)
 
 
+def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates(_table(spark, d, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts(_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,6 +38,7 @@ def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op5_sharding": op5_sharding,
+    "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
 }
 
