@@ -7,12 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import sharding
+from ledgerloom.llm import sharding, substrings
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import token_counts
 
 SHARD_BYTES = 1 << 20
+REPEATED_WORDS = 35
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.extendible_shards(_table(spark, d, "documents"), SHARD_BYTES)
 
 
+def op6_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, d, "documents"), REPEATED_WORDS, with_text=False)
+
+
 def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(_table(spark, d, "documents"))
 
@@ -38,10 +43,12 @@ def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op5_sharding": op5_sharding,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op5_sharding": sharding.oracle(SHARD_BYTES),
+    "op6_substring_dedup": substrings.oracle(REPEATED_WORDS),
 }
