@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import sharding, substrings
+from ledgerloom.llm.neighbours import nearest
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import token_counts
@@ -24,6 +25,10 @@ def op2_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack(_table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return nearest(_table(spark, d, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.extendible_shards(_table(spark, d, "documents"), SHARD_BYTES)
 
@@ -42,6 +47,7 @@ def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_neighbours": op3_neighbours,
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_simhash": op8_simhash,
