@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import sharding, substrings
+from ledgerloom.llm.decontamination import contaminated
 from ledgerloom.llm.neighbours import nearest
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.simhash import near_duplicates
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return contaminated(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+
+
 def op2_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack(_table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
@@ -46,6 +51,7 @@ def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op3_neighbours": op3_neighbours,
     "op5_sharding": op5_sharding,
