@@ -31,11 +31,14 @@ class WordIds:
     go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known = TwoGenerations(most)
+        # a pre-token's last piece is marked in the vocabulary
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
 
     def _library(self, words: list[bytes]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
@@ -43,17 +46,15 @@ class WordIds:
 
     def _single(self, words: list[bytes]) -> None:
         """Words that are one pre-token each, many to a call."""
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
-            e = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
-            of, ids = np.array(e.word_ids), np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(np.diff(of)) + 1
-            if len(cuts) + 1 != len(part):
+        parts = [words[at : at + 1000] for at in range(0, len(words), 1000)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
                 self._library(part)
                 continue
-            ends = [*(cuts * 4).tolist(), len(ids) * 4]
             raw, start = ids.tobytes(), 0
-            for w, end in zip(part, ends, strict=True):
+            for w, end in zip(part, (ends * 4).tolist(), strict=True):
                 self.known[w] = raw[start:end]
                 start = end
 
@@ -234,7 +235,7 @@ def pack(
 
         for batch in batches:
             keys, values = batch.column(0).to_pylist(), texts(batch, text_col)
-            for a, b in blocks(values, 1 << 20):
+            for a, b in blocks(values, 1 << 22):
                 for key, raw in zip(keys[a:b], words.of(values[a:b]), strict=True):
                     packer.add(key, raw + end)
                 yield from out()

@@ -71,7 +71,7 @@ class TwoGenerations(dict):
     def lacking(self, keys: set) -> list:
         """Keys held in neither generation; those in the old one move up."""
         out = []
-        for k in keys - self.keys():
+        for k in [k for k in keys if k not in self]:  # keys - self.keys() would walk the whole mapping
             if (v := self.old.get(k)) is None:
                 out.append(k)
             else:
