@@ -11,6 +11,7 @@ from ledgerloom.llm import sharding, substrings
 from ledgerloom.llm.decontamination import contaminated
 from ledgerloom.llm.neighbours import nearest
 from ledgerloom.llm.packing import pack
+from ledgerloom.llm.quality import fit_quality, score_quality
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import token_counts
 
@@ -50,6 +51,11 @@ def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts(_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    return score_quality(docs, fit_quality(docs, _table(spark, d, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
