@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import sharding, substrings
 from ledgerloom.llm.decontamination import contaminated
+from ledgerloom.llm.language import fit_languages, identify
 from ledgerloom.llm.neighbours import nearest
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import fit_quality, score_quality
@@ -43,6 +44,11 @@ def op6_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, d, "documents"), REPEATED_WORDS, with_text=False)
 
 
+def op7_language(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    return identify(docs, fit_languages(docs))
+
+
 def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates(_table(spark, d, "documents"))
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_neighbours": op3_neighbours,
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_language": op7_language,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,

@@ -1,0 +1,72 @@
+import itertools
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ledgerloom.llm.language import Crf, features, fit_languages, fold, forward_backward, identify, letters, pair_counts
+
+
+def test_forward_backward_against_enumeration():
+    rng = np.random.default_rng(0)
+    sizes = np.array([4, 2, 1])
+    scores, steps, start = rng.normal(size=(4, 3, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    ahead, gamma = forward_backward(scores, steps, start, sizes)
+    pairs = np.zeros((3, 3))
+    for s, n in enumerate(sizes):
+        total, single = 0.0, np.zeros((n, 3))
+        pair = np.zeros((3, 3))
+        for path in itertools.product(range(3), repeat=int(n)):
+            w = np.exp(start[path[0]] + sum(scores[t, s, path[t]] for t in range(n)) + sum(steps[a, b] for a, b in itertools.pairwise(path)))
+            total += w
+            for t, k in enumerate(path):
+                single[t, k] += w
+            for a, b in itertools.pairwise(path):
+                pair[a, b] += w
+        assert np.allclose(gamma[:n, s], single / total)
+        pairs += pair / total
+    time, seq = zip(*[(t, s) for s, n in enumerate(sizes) for t in range(1, n)], strict=True)
+    assert np.allclose(pair_counts(ahead, gamma, steps, np.array(time), np.array(seq)), pairs)
+
+
+def test_features():
+    assert letters("L'Été,3!".encode()) == "lété" and letters(b"12|") == "" and len(letters(b"x" * 500)) == 30
+    row, feature, value = features(["ab", "", "ab", "abcd"], {"ab": 7})
+    by = [sorted(zip(feature[row == i].tolist(), value[row == i].round(6).tolist(), strict=True)) for i in range(4)]
+    assert by[0] == by[2] and by[0] != by[3] and feature.max() == (1 << 16) + 7
+
+
+def test_labels_words_in_switched_text():
+    rng = np.random.default_rng(1)
+    parts = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "rz", "öt"]}
+    text = lambda k, n: " ".join("".join(rng.choice(parts[k], 3)) for _ in range(n))
+    crf = Crf.fit([(text(k, 60), k) for _ in range(60) for k in parts])
+    words = (text("aa", 12) + " " + text("bb", 12)).split()
+    _, gamma = forward_backward(crf.emissions([letters(w.encode()) for w in words])[:, None, :], crf.steps, crf.start, np.array([24]))
+    assert gamma[:, 0].argmax(axis=1).tolist() == [0] * 12 + [1] * 12
+    assert crf.steps.trace() > crf.steps.sum() - crf.steps.trace()
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    crf = fit_languages(docs)
+    out = identify(docs, crf).toPandas().merge(docs.select("doc_id", "lang").toPandas())
+    held = out[out.held_out]
+    assert len(out) == 10_000 and (held.lang == held.lang_pred).mean() > 0.995
+    assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in held.doc_id) and out.score.between(0, 1).all()
+    turned = docs.withColumn("lang", F.when(fold("doc_id", 4) == 2, F.lit("xx")).otherwise(F.col("lang")))
+    assert "xx" not in fit_languages(turned, most=100).labels
+
+
+def test_odd_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    crf = fit_languages(docs, most=150)
+    rows = [(1, None, "c", 1), (2, "", "c", 1), (3, "12 || !!", None, 1), (4, "the and of " * 20_000, "c", 2), (4, "the and of", "c", 2), (None, "der die das und", "c", 1), (5, "x" * 9000, "c", 1)]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string, lang_pred string, id int")
+    out = identify(odd, crf, keep=("lang_pred", "id")).drop("id").toDF("kept", "doc_id", "held_out", "pred", "score").collect()
+    assert [r.pred for r in sorted(out, key=lambda r: r.doc_id or 99) if r.doc_id in (1, 2, 3)] == ["und"] * 3
+    assert {r.pred for r in out if r.doc_id == 4} == {"en"} and [r.held_out for r in out if r.doc_id is None] == [False]
+    assert len(out) == 7 and all(0 <= r.score <= 1 for r in out)
+    assert identify(odd.limit(0), crf).count() == 0
+    nothing = fit_languages(docs.limit(0))
+    assert {r.lang_pred for r in identify(odd, nothing).collect()} == {"und"}
