@@ -38,8 +38,8 @@ class _Numbers(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def fragments(numbers: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, start, count): runs of windows that share one anchor.
+def fragments(numbers: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, start, count, place): runs of windows that share one anchor, and where its gram begins.
 
     A window's anchor is its least gram by hash (the leftmost of equals): equal
     windows choose equal anchors at the same place, whatever surrounds them.
@@ -63,7 +63,7 @@ def fragments(numbers: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.nd
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
     place = (least & low).astype(np.int64)
     starts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-    return value[place[starts]].view(np.int64), starts, np.diff(np.concatenate([starts, [len(place)]]))
+    return value[place[starts]].view(np.int64), starts, np.diff(np.concatenate([starts, [len(place)]])), place[starts]
 
 
 def _key(docs: DataFrame, id_col: str) -> Column:
@@ -85,7 +85,7 @@ def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
                     words = values[i].split()
                     for at in range(0, max(0, len(words) - window + 1), STRETCH):
                         part = words[at : at + STRETCH + window - 1]
-                        anchors, starts, counts = fragments(hashed.of(part), window)
+                        anchors, starts, counts, _ = fragments(hashed.of(part), window)
                         joined, lengths = b" ".join(part), np.fromiter(map(len, part), np.int64, len(part))
                         ends = np.cumsum(lengths + 1) - 1
                         begins = (ends - lengths)[starts].tolist()
@@ -165,22 +165,49 @@ def _by_automata(words: DataFrame, window: int) -> DataFrame:
     return few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor bigint, digest bigint, mask bigint")
 
 
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def _by_digests(words: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with many variants: each window under its own digest, so that no group is gathered."""
-    names = ["anchor", "digest", "weight", "place", "own"]
+    """The same for anchors with many variants, without gathering a group.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each window holds at least half of its other words on one side of the gram,
+    so it can only recur where the gram with that half does. Halves are counted
+    first; the windows of those that recur are then counted by their digests.
+    """
+    half = (window - GRAM + 1) // 2
+    many = words.where("many").select("anchor", "digest", "weight", "words")
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = _Numbers()
         for batch in batches:
             out = []
             for anchor, digest, weight, joined in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
                 part = joined.split(b" ")
-                for i in range(len(part) - window + 1):
-                    own = xxhash.xxh3_64_intdigest(b" ".join(part[i : i + window]))
-                    out.append((anchor, digest, weight, i, own - (1 << 64) if own >> 63 else own))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], names=names)
-
-    many = words.where("many").select("anchor", "digest", "weight", "words")
-    windows = many.mapInArrow(run, "anchor bigint, digest bigint, weight bigint, place bigint, own bigint")
+                at = int(fragments(hashed.of(part), window)[3][0])
+                n, turn = len(part) - window + 1, at + GRAM + half - window  # windows from ``turn`` on lean to the right
+                if turn > 0:
+                    own = part[at - (window - GRAM - half + 1) : at + GRAM]
+                    out.append((anchor, digest, weight, 0, min(turn, n), _signed(xxhash.xxh3_64_intdigest(b" ".join(own)))))
+                if turn < n:
+                    own = part[at : at + GRAM + half]
+                    out.append((anchor, digest, weight, max(turn, 0), n, _signed(xxhash.xxh3_64_intdigest(b"\n" + b" ".join(own)))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(6)], names=["anchor", "digest", "weight", "a", "b", "own"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for anchor, digest, weight, a, b, joined in zip(*[batch.column(c).to_pylist() for c in range(6)], strict=True):
+                part = joined.split(b" ")
+                out += [(anchor, digest, weight, i, _signed(xxhash.xxh3_64_intdigest(b" ".join(part[i : i + window])))) for i in range(a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], names=["anchor", "digest", "weight", "place", "own"])
+
+    sides = stored(many.mapInArrow(halves, "anchor bigint, digest bigint, weight bigint, a bigint, b bigint, own bigint"), "halves")
+    again = sides.groupBy("anchor", "own").agg(F.sum("weight").alias("times")).where("times > 1").drop("times")
+    wanted = sides.join(again, ["anchor", "own"]).select("anchor", "digest", "weight", "a", "b")
+    wanted = wanted.join(many.select("anchor", "digest", "words"), ["anchor", "digest"]).select("anchor", "digest", "weight", "a", "b", "words")
+    windows = stored(wanted.mapInArrow(each, "anchor bigint, digest bigint, weight bigint, place bigint, own bigint"), "windows")
     often = windows.groupBy("anchor", "own").agg(F.sum("weight").alias("times")).where("times > 1").drop("times")
     hit = windows.where("weight = 1").join(often, ["anchor", "own"])
     return hit.groupBy("anchor", "digest").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("mask"))
