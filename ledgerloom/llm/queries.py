@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import sharding, substrings
+from ledgerloom.llm import licences, sharding, substrings
 from ledgerloom.llm.decontamination import contaminated
 from ledgerloom.llm.language import fit_languages, identify
 from ledgerloom.llm.neighbours import nearest
@@ -36,6 +36,10 @@ def op3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return nearest(_table(spark, d, "embeddings"))
 
 
+def op4_licences(spark: SparkSession, d: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, d, "documents"), licences.document_path())
+
+
 def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.extendible_shards(_table(spark, d, "documents"), SHARD_BYTES)
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op3_neighbours": op3_neighbours,
+    "op4_licences": op4_licences,
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language": op7_language,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_licences": licences.oracle(),
     "op5_sharding": sharding.oracle(SHARD_BYTES),
     "op6_substring_dedup": substrings.oracle(REPEATED_WORDS),
 }
