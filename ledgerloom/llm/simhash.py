@@ -21,8 +21,18 @@ SEGMENTS = (22, 21, 21)
 CELL = 4096
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """64-bit SimHash of a text's word shingles; 0 without words.
+def _mixed(hashes: np.ndarray, family: int) -> np.ndarray:
+    """The hashes themselves for family 0, else other hashes made from them."""
+    if not family:
+        return hashes
+    x = hashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * family)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).astype(">u8")
+
+
+def fingerprint(text: bytes, words: int = 3, families: int = 1) -> list[int]:
+    """64-bit SimHashes of a text's word shingles, one for each family of hashes; 0 without words.
 
     Words are what lies between ASCII white space, A to Z lower-cased. A bit is
     set if it is set in over half of the shingles' XXH64 (seed 42). Shingles are
@@ -30,33 +40,38 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     """
     found = text.lower().split()
     if not found:
-        return 0
+        return [0] * families
     joined, n = b" ".join(found), max(1, len(found) - words + 1)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:n].tolist()
     ends = ends[min(words, len(found)) - 1 :].tolist()
-    sums = np.zeros(64, np.int64)
+    sums = np.zeros((families, 64), np.int64)
     for at in range(0, n, 1 << 16):
         parts = [joined[i:j] for i, j in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)]
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), ">u8", len(parts))
-        sums += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * sums > n).tobytes(), "big")
+        for k in range(families):
+            sums[k] += np.unpackbits(_mixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return [int.from_bytes(np.packbits(2 * s > n).tobytes(), "big") for s in sums]
+
+
+def _names(families: int) -> list[str]:
+    return [f"fp{k}" for k in range(families)]
 
 
-def fingerprints(docs: DataFrame, words: int = 3, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and ``fp``, the fingerprint as a signed bigint; null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int, families: int) -> DataFrame:
+    """(doc_id, fp0, ...): the fingerprints of (doc_id, text) as signed bigints; null text counts as empty."""
+    names = ["doc_id", *_names(families)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                fps = np.array([fingerprint(t, words) for t in texts(part, text_col)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(fps)], names=[*keep, "fp"])
+                fps = np.array([fingerprint(t, words, families) for t in texts(part, "text")], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(families)]], names=names)
 
-    kept = docs.select(*keep, text_col)
-    schema = ", ".join([*[f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep], "fp bigint"])
-    return kept.mapInArrow(run, schema)
+    schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *[f"{n} bigint" for n in names[1:]]])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,9 +104,14 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], keys[new]
 
 
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, summed over the families (last axis)."""
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(axis=-1, dtype=np.int32)
+
+
 def links(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars that connect what is connected among distinct fingerprints of one cell by steps of at most ``most`` bits."""
-    value, root = fps.view(np.uint64), np.arange(len(fps))
+    """Stars (rows, their centres) that connect what is connected among the fingerprints of one cell by steps of at most ``most`` bits."""
+    root = np.arange(len(fps))
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -99,31 +119,35 @@ def links(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
             i = root[i]
         return i
 
-    for at in range(0, len(value), 512):
-        a, b = np.nonzero(np.bitwise_count(value[at : at + 512, None] ^ value[None, :]) <= most)
+    for at in range(0, len(fps), 512):
+        a, b = np.nonzero(_differing(fps[at : at + 512, None], fps[None, :]) <= most)
         ahead = b > a + at
         for i, j in zip((a[ahead] + at).tolist(), b[ahead].tolist(), strict=True):
             if (x := top(i)) != (y := top(j)):
                 root[max(x, y)] = min(x, y)
     tops = np.array([top(i) for i in range(len(fps))], np.int64)
-    tied = tops != np.arange(len(fps))
-    return fps[tied], fps[tops[tied]]
+    tied = np.flatnonzero(tops != np.arange(len(fps)))
+    return tied, tops[tied]
 
 
-def _cells(distinct: DataFrame, most: int) -> DataFrame:
-    """(a, b) edges between fingerprints within ``most`` bits that connect all that such pairs connect."""
+def _cells(distinct: DataFrame, families: int, most: int) -> DataFrame:
+    """(a, b) edges between nodes within ``most`` bits that meet under a key; they connect all that such pairs connect."""
+    names = _names(families)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(fps), 4096):
-                rows, keys = golay_keys(fps[at : at + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[at : at + 4096][rows])], names=["key", "fp"])
-
-    keyed = distinct.select("fp").mapInArrow(expand, "key bigint, fp bigint")
-    # a key of more than CELL fingerprints is dealt into chunks, and each two chunks meet in a cell of their own
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                for k in range(families):
+                    rows, keys = golay_keys(part.column(k + 1).to_numpy(zero_copy_only=False))
+                    taken = [part.column(c).take(pa.array(rows)) for c in range(families + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys | (k << 26)), *taken], names=["key", "node", *names])
+
+    columns = "key bigint, node bigint, " + ", ".join(f"{n} bigint" for n in names)
+    keyed = distinct.select("node", *names).mapInArrow(expand, columns)
+    # a key of more than CELL nodes is dealt into chunks, and each two chunks meet in a cell of their own
     full = keyed.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / (CELL // 2)).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     cell = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.least(own, other).cast("bigint") * (1 << 31) + F.greatest(own, other)
     )
@@ -132,28 +156,42 @@ def _cells(distinct: DataFrame, most: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
-            now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
+            now = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(families + 3)], axis=1)
+            now = now if held is None else np.concatenate([held, now])
+            new = np.flatnonzero((now[1:, :2] != now[:-1, :2]).any(axis=1)) + 1
             last = new[-1] if len(new) else 0  # the last cell may go on in the next batch
-            held = [x[last:] for x in now]
+            held = now[last:]
             if last:
-                yield from edges(now[2][:last], np.concatenate([[0], new]))
-        if held is not None and len(held[2]) > 1:
-            yield from edges(held[2], np.array([0, len(held[2])]))
+                yield edges(now[:last, 2], np.ascontiguousarray(now[:last, 3:]), np.concatenate([[0], new]))
+        if held is not None and len(held) > 1:
+            yield edges(held[:, 2], np.ascontiguousarray(held[:, 3:]), np.array([0, len(held)]))
 
-    def edges(fps: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sizes, out = np.diff(cuts), []
+    def edges(nodes: np.ndarray, fps: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff(cuts)
         two = cuts[:-1][sizes == 2]
-        near = np.bitwise_count(fps[two].view(np.uint64) ^ fps[two + 1].view(np.uint64)) <= most
-        out.append((fps[two][near], fps[two + 1][near]))
-        out += [links(np.ascontiguousarray(fps[s : s + n]), most) for s, n in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
-
-    parts = keyed.repartition("key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "fp")
+        two = two[_differing(fps[two], fps[two + 1]) <= most]
+        out = [(nodes[two], nodes[two + 1])]
+        for s, n in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            tied, tops = links(fps[s : s + n], most)
+            if len(tied):
+                out.append((nodes[s + tied], nodes[s + tops]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    parts = keyed.repartition("key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "node", *names)
     return parts.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _classes(own: DataFrame, families: int, most: int) -> DataFrame:
+    """(fp0, ..., component_id): the least id that links reach from each distinct fingerprint."""
+    names = _names(families)
+    node = F.col("fp0") if families == 1 else F.xxhash64(*names)
+    distinct = stored(own.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", node), "distinct")
+    roots = components(_cells(distinct, families, most)).withColumnRenamed("node", "of")
+    member = distinct.join(roots, F.col("node") == F.col("of"), "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
+    smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    return member.join(smallest, "root").select(*names, "component_id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -170,10 +208,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, id_col: str
     """
     if not 0 <= most <= 3:
         raise ValueError("the keys reach differences of 0 to 3 bits")
-    own = stored(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words), "fingerprints")
-    distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(_cells(distinct, most))
-    member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = member.join(smallest, "root").select("fp", "component_id")
-    return own.join(of, "fp").select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    own = stored(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words, 1), "fingerprints")
+    found = own.join(_classes(own, 1, most), "fp0")
+    return found.select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def similar_documents(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per document: doc_id, component_id; links texts whose word shingles are alike.
+
+    Four SimHashes from different hashes give 256 bits. Two documents that share
+    a Golay key of any of them are compared on all: they are linked if no more
+    bits differ than are expected at a Jaccard similarity of ``similarity``. That
+    is an estimate; keys find copies with light edits nearly always, and fewer
+    near the limit. Rows and odd values are treated as by ``near_duplicates``.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    most = int(64 * families * np.arccos(cosine) / np.pi)
+    own = stored(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words, families), "fingerprints")
+    return own.join(_classes(own, families, most), _names(families)).select(F.col("doc_id").alias(id_col), "component_id")

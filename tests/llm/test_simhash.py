@@ -60,7 +60,8 @@ def test_near_fingerprints_share_a_key(a, flips):
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=60))
 def test_fingerprint(text):
-    assert simhash.fingerprint(text.encode()) == plain_fingerprint(text)
+    assert simhash.fingerprint(text.encode()) == [plain_fingerprint(text)]
+    assert simhash.fingerprint(text.encode(), 3, 3)[0] == plain_fingerprint(text)
 
 
 @pytest.mark.parametrize("cell", [4096, 16])
@@ -109,3 +110,23 @@ def test_whole_table(spark):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert got == {i: (f"{f:016x}", least[root[f]]) for i, f in fps.items()}
     assert len({c for _, c in got.values()}) < len(got)
+
+
+def test_similar_documents(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(5000)]
+    rows, base = [], {}
+    for g in range(40):
+        text = rng.choice(words, 200).tolist()
+        for c in range(3):
+            changed = list(text)
+            if c:
+                changed[rng.integers(200)] = "edited"
+            base[len(rows)] = 3 * g
+            rows.append((len(rows), " ".join(changed)))
+    rows += [(1000, None), (1001, ""), (1002, rows[0][1]), (None, rows[3][1])]
+    out = simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = {r.doc_id: r.component_id for r in out}
+    assert len(out) == len(rows) and got[1000] == got[1001] == 1000 and got[1002] == got[0] and got[None] == got[3]
+    assert sum(got[i] == b for i, b in base.items()) >= 0.95 * len(base)
+    assert all(got[i] // 3 == i // 3 for i in base)
