@@ -169,7 +169,7 @@ class _Packer:
         for doc, start, n in window:
             doc_id, raw = of[doc]
             part = raw[4 * start : 4 * (start + n)]
-            self.rows.append((doc_id, start, n, zlib.crc32(part), len(raw) // 4, self.next, at, *([np.frombuffer(part, "<u4").tolist()] if self.with_ids else [])))
+            self.rows.append((doc_id, start, n, zlib.crc32(part), len(raw) // 4, self.next, at, *([part] if self.with_ids else [])))
             at += n
         self.next += 1
 
@@ -195,6 +195,11 @@ class _Packer:
         return out
 
 
+def _lists(raw: tuple[bytes, ...]) -> pa.ListArray:
+    ends = np.cumsum([0, *[len(r) // 4 for r in raw]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
+
+
 def pack(
     docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group: int = 64, cuts: bool = True, with_ids: bool = True,
     id_col: str = "doc_id", text_col: str = "text",
@@ -230,7 +235,7 @@ def pack(
         def out() -> Iterator[pa.RecordBatch]:
             if rows := packer.taken():
                 cols = list(zip(*rows, strict=True))
-                arrays = [pa.array(cols[0], kind), *[pa.array(c, pa.int64()) for c in cols[1:7]], *([pa.array(cols[7], pa.list_(pa.int32()))] if with_ids else [])]
+                arrays = [pa.array(cols[0], kind), *[pa.array(c, pa.int64()) for c in cols[1:7]], *([_lists(cols[7])] if with_ids else [])]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
         for batch in batches:
