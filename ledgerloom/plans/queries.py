@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.flags import apply_flags
@@ -17,6 +17,8 @@ from ledgerloom.operators.listing import active_only, attach_tags, expand_lines,
 from ledgerloom.operators.overrides import first_anchor, insert_before, match_anchor
 from ledgerloom.operators.refs import resolve_refs
 from ledgerloom.operators.triage import drop_ignored, ignored_counts
+from ledgerloom.sources.records import read_records
+from ledgerloom.sources.scratch import scratch_path
 from ledgerloom.sources.tables import table
 
 DROP_PATTERNS = ("(?i)license", "[0-9]{3}-[0-9]{4}", "[a-z0-9.]+@[a-z0-9.]+")
@@ -130,8 +132,24 @@ def q_ignored_counts(spark: SparkSession, d: str) -> DataFrame:
     return ignored_counts(_doc_lines(spark, d).select("line"), DROP_PATTERNS)
 
 
+def q_read_records(spark: SparkSession, d: str) -> DataFrame:
+    """Customers written as record files, then read back as rows."""
+
+    def safe(column: str) -> Column:
+        return F.replace(F.replace(F.replace(F.col(column), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    line = F.format_string(
+        '<record id="c%d" model="customer"><field name="name">%s</field><field name="segment">%s</field><field name="nation" ref="geo.n%d"/></record>',
+        "c_custkey", safe("c_name"), safe("c_mktsegment"), "c_nationkey",
+    )
+    path = scratch_path(spark, "records")
+    table(spark, d, "customer").select(line.alias("value")).write.text(path)
+    return read_records(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "line_listing": q_line_listing,
+    "read_records": q_read_records,
     "attach_tags": q_attach_tags,
     "expand_lines": q_expand_lines,
     "nest_lines": q_nest_lines,
@@ -152,6 +170,9 @@ _ALTERNATION = "|".join(f"(?:{p})" for p in DROP_PATTERNS)
 _LINES = "select doc_id, unnest(string_split(text, chr(10))) line from documents"
 
 ORACLES: dict[str, str] = {
+    "read_records": """select 'c' || c_custkey as id, 'customer' as model, 'name' as field, null::varchar as ref, c_name as value from customer
+ union all select 'c' || c_custkey, 'customer', 'segment', null, c_mktsegment from customer
+ union all select 'c' || c_custkey, 'customer', 'nation', 'geo.n' || c_nationkey, null from customer""",
     "line_listing": f"""with t as ({_TAGS}) select o_orderkey, l_linenumber, l_suppkey, p_partkey as definition, p_type as kind,
  p_name as name, coalesce(g, '') as group_tags, l_linestatus = 'O' as active
  from orders join lineitem on o_orderkey = l_orderkey join part on p_partkey = l_partkey left join t on tk = p_partkey""",
