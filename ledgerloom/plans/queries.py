@@ -135,15 +135,18 @@ def q_ignored_counts(spark: SparkSession, d: str) -> DataFrame:
 def q_read_records(spark: SparkSession, d: str) -> DataFrame:
     """Customers written as record files, then read back as rows."""
 
-    def safe(column: str) -> Column:
-        return F.replace(F.replace(F.replace(F.col(column), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-
-    line = F.format_string(
-        '<record id="c%d" model="customer"><field name="name">%s</field><field name="segment">%s</field><field name="nation" ref="geo.n%d"/></record>',
-        "c_custkey", safe("c_name"), safe("c_mktsegment"), "c_nationkey",
+    def member(name: str, value: Column | None = None, ref: Column | None = None) -> Column:
+        nothing = F.lit(None).cast("string")
+        return F.struct(F.lit(name).alias("_name"), (nothing if ref is None else ref).alias("_ref"), (nothing if value is None else value).alias("_VALUE"))
+
+    rows = table(spark, d, "customer").select(
+        F.concat(F.lit("c"), "c_custkey").alias("_id"), F.lit("customer").alias("_model"),
+        F.array(
+            member("name", F.col("c_name")), member("segment", F.col("c_mktsegment")), member("nation", ref=F.concat(F.lit("geo.n"), "c_nationkey")),
+        ).alias("field"),
     )
     path = scratch_path(spark, "records")
-    table(spark, d, "customer").select(line.alias("value")).write.text(path)
+    rows.write.format("xml").option("rootTag", "data").option("rowTag", "record").save(path)
     return read_records(spark, path)
 
 
