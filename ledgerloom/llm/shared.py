@@ -2,40 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.sources.scratch import stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
-
-    Only a local session may go without: it then gets a temporary folder, which
-    its single machine shares with itself.
-    """
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.ledgerloom.own.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.ledgerloom.own.dir", named)
-    return named.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
-
-    It cuts the lineage: later steps read files that outlive any executor, and
-    the work above is done once however often the result is used.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["TwoGenerations", "blocks", "stored", "texts"]
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
