@@ -285,8 +285,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 def oracle(window: int) -> str:
     """The result over ``documents`` as DuckDB SQL (ids must be unique)."""
     return rf"""with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
- s as (select doc_id, unnest(generate_series(1, len(ws) - {window - 1})) as i, ws from w where len(ws) >= {window}),
- g as (select doc_id, i, count(*) over (partition by sha256(array_to_string(ws[i:i + {window - 1}], ' '))) as c from s),
+ l as (select doc_id, list_transform(generate_series(1, len(ws) - {window - 1}), lambda i: sha256(array_to_string(ws[i:i + {window - 1}], ' '))) as hs
+  from w where len(ws) >= {window}),
+ s as (select doc_id, unnest(generate_series(1, len(hs))) as i, unnest(hs) as h from l),
+ g as (select doc_id, i, count(*) over (partition by h) as c from s),
  p as (select doc_id, unnest(generate_series(1, len(ws))) as i, unnest(ws) as word from w),
  m as (select p.doc_id, p.i, word, max(case when c > 1 then p.i end) over (partition by p.doc_id order by p.i rows between {window - 1} preceding and current row) as hit
   from p left join g on p.doc_id = g.doc_id and p.i = g.i),
