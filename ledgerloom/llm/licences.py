@@ -27,13 +27,20 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("proprietary", "All rights reserved."),
 )
+#: Stop words; they are no terms.
+COMMON = frozenset("a all and any are by can in is it may of or the this to under use v with without you".split())
 #: Fixed value: names that licence files have.
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 _TERM = r"[\p{L}\p{N}]+([.-][\p{L}\p{N}]+)*"
 
 
 def _terms(text: str) -> list[str]:
-    return [m[0] for m in re.finditer(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower())]
+    return [m[0] for m in re.finditer(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower()) if m[0] not in COMMON]
+
+
+def _terms_of(text: Column) -> Column:
+    stop = F.array(*[F.lit(x) for x in sorted(COMMON)])
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(_TERM), 0), lambda t: ~F.array_contains(stop, t))
 
 
 class Weights:
@@ -80,7 +87,7 @@ def _line_matches(text: Column, w: Weights) -> Column:
     def score(licence: str, vector: dict[str, float], weighed: Column, norm: Column) -> Column:
         of = _lit_map(vector)
         dot = F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.element_at(of, x["t"]), F.lit(0.0)))
-        return F.struct(F.round(dot / norm, 6).alias("score"), F.lit(licence).alias("licence"))
+        return F.struct(F.round(F.coalesce(F.try_divide(dot, norm), F.lit(0.0)), 6).alias("score"), F.lit(licence).alias("licence"))
 
     def judge(weighed: Column, n: Column) -> Column:
         norm = F.sqrt(F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
@@ -88,8 +95,7 @@ def _line_matches(text: Column, w: Weights) -> Column:
         return F.struct(F.array_max(scores).alias("best"), n.alias("n"))
 
     def best(line: Column) -> Column:
-        terms = F.regexp_extract_all(F.lower(line), F.lit(_TERM), 0)
-        return _once(terms, lambda terms: _once(weigh(terms), lambda weighed: judge(weighed, F.size(terms))))
+        return _once(_terms_of(line), lambda terms: _once(weigh(terms), lambda weighed: judge(weighed, F.size(terms))))
 
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(cue))
     near = F.filter(F.transform(lines, best), lambda m: m["best"]["score"] >= w.least)
@@ -125,7 +131,7 @@ def scan_licences(
     rows = rows.withColumn("m", _line_matches(F.col("text"), w))
     rows = rows.withColumns({"dir": F.regexp_extract("path", "^(.*)/[^/]*$", 1), "name": F.regexp_extract("path", "([^/]*)$", 1), "own": F.array_max("m.best")})
     matched = F.aggregate("m", F.lit(0), lambda a, x: a + x["n"])
-    total = F.when(F.size("m") > 0, F.size(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), 0)))
+    total = F.when(F.size("m") > 0, F.size(_terms_of(F.col("text"))))
     is_file = F.col("own").isNotNull() & (F.col("name").rlike(FILE_NAMES) | (2 * matched >= total))
     rows = stored(rows.select("id", "path", "dir", "own", F.coalesce(is_file, F.lit(False)).alias("is_file")), "licences")
 
@@ -155,11 +161,13 @@ def oracle(least: float = 0.6, templates: tuple[tuple[str, str], ...] = TEMPLATE
     w = Weights(templates, least)
     vectors = ", ".join(f"({i}, '{licence}', '{t}', {x!r}::double)" for i, (licence, v) in enumerate(w.vectors) for t, x in v.items())
     idf = ", ".join(f"('{t}', {x!r}::double)" for t, x in w.idf.items())
+    stop = ", ".join(f"'{t}'" for t in sorted(COMMON))
     return rf"""with v(k, licence, t, x) as (values {vectors}), f(t, i) as (values {idf}),
  d as (select doc_id, concat_ws('/', source, lang, cast(doc_id as varchar)) as path, concat_ws('/', source, lang) as dir, coalesce(text, '') as text from documents),
  l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from d),
  p as (select doc_id, n, unnest(regexp_extract_all(lower(line), '{_TERM}')) as t from l),
- c as (select doc_id, n, p.t, count(*) * coalesce(any_value(i), {w.unseen!r}::double) as y, count(*) as m from p left join f on p.t = f.t group by 1, 2, 3),
+ c as (select doc_id, n, p.t, count(*) * coalesce(any_value(i), {w.unseen!r}::double) as y, count(*) as m from p left join f on p.t = f.t
+  where p.t not in ({stop}) group by 1, 2, 3),
  s as (select doc_id, n, sqrt(sum(y * y)) as norm, sum(m) as m from c group by 1, 2),
  g as (select c.doc_id, c.n, k, licence, sum(y * x) as dot from c join v on c.t = v.t group by 1, 2, 3, 4),
  b as (select g.doc_id, g.n, max({{'score': round(dot / norm, 6), 'licence': licence}}) as best, any_value(m) as m

@@ -46,4 +46,4 @@ def test_inheritance_and_odd_rows(spark):
 
 
 def test_terms():
-    assert _terms("CC BY-NC 4.0. (the)") == ["cc", "by-nc", "4.0", "the"]
+    assert _terms("CC BY-NC 4.0. (the file)") == ["cc", "by-nc", "4.0", "file"]
