@@ -5,10 +5,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerloom.sources.scratch import stored
 
-__all__ = ["TwoGenerations", "blocks", "stored", "texts"]
+__all__ = ["TwoGenerations", "blocks", "small_or_stored", "stored", "texts"]
+
+#: Most rows of narrow tables that are broadcast.
+SMALL = 100_000
+
+
+def small_or_stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, stored; marked for broadcast if it has at most SMALL rows.
+
+    A larger one is joined by shuffle, in which hot keys can be split, since
+    nothing stands between its files and the join.
+    """
+    kept = stored(df, name)
+    return F.broadcast(kept) if kept.count() <= SMALL else kept
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:

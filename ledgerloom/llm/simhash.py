@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import golay
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import stored, texts
+from ledgerloom.llm.shared import small_or_stored, stored, texts
 
 #: Bits of the three segments of a fingerprint, from the low end; each fits a Golay word.
 SEGMENTS = (22, 21, 21)
@@ -111,23 +111,20 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Stars (rows, their centres) that connect what is connected among the fingerprints of one cell by steps of at most ``most`` bits."""
-    root = np.arange(len(fps))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for at in range(0, len(fps), 512):
-        a, b = np.nonzero(_differing(fps[at : at + 512, None], fps[None, :]) <= most)
-        ahead = b > a + at
-        for i, j in zip((a[ahead] + at).tolist(), b[ahead].tolist(), strict=True):
-            if (x := top(i)) != (y := top(j)):
-                root[max(x, y)] = min(x, y)
-    tops = np.array([top(i) for i in range(len(fps))], np.int64)
-    tied = np.flatnonzero(tops != np.arange(len(fps)))
-    return tied, tops[tied]
+    if len(fps) <= 256 and np.count_nonzero(_differing(fps[:, None], fps[None, :]) <= most) == len(fps):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)  # the usual small cell without a link
+    root = np.full(len(fps), -1)
+    for centre in range(len(fps)):
+        if root[centre] >= 0:
+            continue
+        root[centre], ahead = centre, [centre]
+        while ahead and len(free := np.flatnonzero(root < 0)):
+            now, ahead = ahead[:128], ahead[128:]
+            found = free[(_differing(fps[now, None], fps[None, free]) <= most).any(axis=0)]
+            root[found] = centre
+            ahead += found.tolist()
+    tied = np.flatnonzero(root != np.arange(len(fps)))
+    return tied, root[tied]
 
 
 def _cells(distinct: DataFrame, families: int, most: int) -> DataFrame:
@@ -147,6 +144,7 @@ def _cells(distinct: DataFrame, families: int, most: int) -> DataFrame:
     keyed = distinct.select("node", *names).mapInArrow(expand, columns)
     # a key of more than CELL nodes is dealt into chunks, and each two chunks meet in a cell of their own
     full = keyed.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / (CELL // 2)).cast("int").alias("chunks"))
+    full = small_or_stored(full, "full-keys")  # few as a rule, and then the rows of all keys are shuffled only once
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     cell = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.least(own, other).cast("bigint") * (1 << 31) + F.greatest(own, other)
@@ -188,7 +186,8 @@ def _classes(own: DataFrame, families: int, most: int) -> DataFrame:
     distinct = stored(own.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", node), "distinct")
     roots = components(_cells(distinct, families, most)).withColumnRenamed("node", "of")
     member = distinct.join(roots, F.col("node") == F.col("of"), "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
-    smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
+    member = stored(member, "members")
+    smallest = stored(member.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     return member.join(smallest, "root").select(*names, "component_id")
 
 
