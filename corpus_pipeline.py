@@ -29,16 +29,27 @@ def _row_hash() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _short_batches(spark: SparkSession) -> None:
+    """Texts are long: batches of 2,000 rows keep what a task hands to Python and back at some 10 MB, on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 2000:
+        spark.conf.set(key, 2000)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those whose language is unclear; fills in missing languages."""
-    judged = identify(docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row")), fit_languages(docs), keep=("__row",))
+    _short_batches(spark)
+    rest = [c for c in docs.columns if c != "text"]
+    judged = identify(docs.select("doc_id", "text", F.struct(*rest).alias("__row")), fit_languages(docs), keep=("__row",), with_text=True)
     kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    kept = kept.select("__row", F.col("lang_pred").alias("__lang"))
-    return kept.select(*[(F.coalesce(F.col("__row.lang"), F.col("__lang")) if c == "lang" else F.col("__row")[c]).alias(c) for c in docs.columns])
+    kept = kept.select("__row", F.col("text_").alias("__text"), F.col("lang_pred").alias("__lang"))
+    out = {"text": F.col("__text"), "lang": F.coalesce(F.col("__row.lang"), F.col("__lang"))}
+    return kept.select(*[(out[c] if c in out else F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates the document with the least id (of one id the least text hash), once."""
+    _short_batches(spark)
     found = similar_documents(docs.withColumn("__id", F.struct("doc_id", F.xxhash64("text").alias("h"), _row_hash().alias("row"))), id_col="__id")
     first = found.where(F.col("__id") == F.col("component_id")).select(F.col("__id.row").alias("__row")).distinct()
     # partitioned by the row's hash once, for the join and for repeated rows
@@ -47,6 +58,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 35 words and more that occur more than once; the words kept are joined by single spaces."""
+    _short_batches(spark)
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     kept = remove_repeats(docs.select(F.struct(*rest).alias("__row"), "text"), REPEATED_WORDS, id_col="__row")
     n_chars = F.length("kept").cast("bigint")
@@ -55,6 +67,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold at least half of a benchmark item, with its values or others."""
+    _short_batches(spark)
     marked = docs.withColumn("__row", _row_hash())
     found = contaminated(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row", item_col="item_id")
     return marked.join(found.select("__row").distinct(), "__row", "left_anti").select(*docs.columns)
@@ -62,7 +75,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 4096 tokens."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    _short_batches(spark)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), known_words=100_000)  # workers also hold other stages' modules
 
 
 STAGES = [

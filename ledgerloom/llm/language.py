@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,8 @@ from ledgerloom.llm.shared import blocks, texts
 UNKNOWN = "und"
 #: Hashed features, and the letters of a word that they see (from both ends, if it has more).
 BUCKETS, LETTERS = 1 << 16, 30
+#: Words labelled in one stretch, and those that it sees on either side.
+SPAN, OVERLAP = 4096, 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -102,7 +103,6 @@ class Crf:
     weights: np.ndarray
     steps: np.ndarray
     start: np.ndarray
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Score of each label for each word; zeros for words without letters."""
@@ -190,17 +190,12 @@ def fit_languages(docs: DataFrame, most: int = 1500, folds: int = 4, held_fold:
     return Crf.fit(list(zip(sample.column("text").to_pylist(), sample.column("lang").to_pylist(), strict=True)))
 
 
-_TABLES: dict[str, tuple[dict, np.ndarray]] = {}
-
-
 class _Words:
-    """Emissions of the words that this process has met, kept from task to task up to a bound."""
+    """Emissions of the words that a task has met, up to a bound; the worker keeps nothing for the next task."""
 
     def __init__(self, crf: Crf, most: int = 500_000):
-        if crf.name not in _TABLES:
-            _TABLES.clear()
         self.crf, self.most = crf, most
-        self.number, self.rows = _TABLES.setdefault(crf.name, ({}, np.zeros((1024, len(crf.labels) + 1), np.float32)))
+        self.number, self.rows = {}, np.zeros((1024, len(crf.labels) + 1), np.float32)
 
     def age(self) -> None:
         if len(self.number) > self.most:
@@ -214,7 +209,6 @@ class _Words:
             self.number.update(zip(new, range(first, first + len(new)), strict=True))
             while len(self.rows) < len(self.number):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            _TABLES[self.crf.name] = (self.number, self.rows)
             own = self.rows[first : first + len(new)]
             own[:, :-1] = self.crf.emissions(plain)
             own[:, -1] = [bool(p) for p in plain]
@@ -226,30 +220,37 @@ class _Words:
 
 
 def _predict(crf: Crf, rows: np.ndarray, ids: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
-    """Label and score of each text; texts of like length run through the chain together."""
-    sizes = np.array([len(i) for i in ids])
-    names, scores = [UNKNOWN] * len(ids), np.zeros(len(ids))
-    order = np.argsort(sizes, kind="stable")
-    order, at = order[sizes[order] > 0], 0
-    while at < len(order):
-        least, end = sizes[order[at]], at + 1
-        while end < len(order) and sizes[order[end]] <= 1.25 * least + 4 and (end - at + 1) * sizes[order[end]] <= 400_000:
+    """Label and score of each text.
+
+    Chains of like length run together. A text of over SPAN words is labelled
+    in stretches that also see OVERLAP words on either side, beyond which a
+    word's label no longer depends on others to any digit that matters.
+    """
+    parts = [(i, max(0, a - OVERLAP), a, min(len(x), a + SPAN), min(len(x), a + SPAN + OVERLAP)) for i, x in enumerate(ids) for a in range(0, len(x), SPAN)]
+    parts.sort(key=lambda p: p[4] - p[1])
+    sums, at = np.zeros((len(ids), len(crf.labels))), 0
+    while at < len(parts):
+        least, end = parts[at][4] - parts[at][1], at + 1
+        while end < len(parts) and (size := parts[end][4] - parts[end][1]) <= 1.25 * least + 4 and (end - at + 1) * size <= 400_000:
             end += 1
-        own = order[at:end]
-        padded = np.zeros((int(sizes[own].max()), len(own), len(crf.labels)), np.float32)
-        for k, i in enumerate(own):
-            padded[: sizes[i], k] = rows[ids[i], :-1]
-        _, gamma = forward_backward(padded, crf.steps.astype(np.float32), crf.start.astype(np.float32), sizes[own])
-        gamma *= (np.arange(len(padded))[:, None] < sizes[own][None, :])[:, :, None]
-        mean = gamma.sum(axis=0, dtype=np.float64) / sizes[own][:, None]
-        for i, best, score in zip(own.tolist(), mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist(), strict=True):
-            names[i], scores[i] = crf.labels[best], min(1.0, score)
+        own = parts[at:end]
+        sizes = np.array([p[4] - p[1] for p in own])
+        padded = np.zeros((int(sizes.max()), len(own), len(crf.labels)), np.float32)
+        for k, (i, first, _, _, last) in enumerate(own):
+            padded[: sizes[k], k] = rows[ids[i][first:last], :-1]
+        _, gamma = forward_backward(padded, crf.steps.astype(np.float32), crf.start.astype(np.float32), sizes)
+        time = np.arange(len(padded))[:, None]
+        inside = (time >= np.array([p[2] - p[1] for p in own])) & (time < np.array([p[3] - p[1] for p in own]))
+        np.add.at(sums, [p[0] for p in own], (gamma * inside[:, :, None]).sum(axis=0, dtype=np.float64))
         at = end
-    return names, scores
+    total = sums.sum(axis=1)
+    mean = sums / np.maximum(total, 1)[:, None]
+    names = [crf.labels[k] if t > 0 else UNKNOWN for k, t in zip(mean.argmax(axis=1).tolist(), total.tolist(), strict=True)]
+    return names, np.minimum(1.0, mean.max(axis=1, initial=0.0))
 
 
-def identify(docs: DataFrame, crf: Crf, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score (0 to 1), after any columns to ``keep``.
+def identify(docs: DataFrame, crf: Crf, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score (0 to 1), after any columns to ``keep``; ``with_text``, then text_.
 
     Every word with letters of the whole text is labelled by forward-backward;
     the language is the one with the largest mean probability, which is the
@@ -272,14 +273,14 @@ def identify(docs: DataFrame, crf: Crf, folds: int = 4, held_fold: int = 2, id_c
             for a, b in blocks(values, 1 << 20):
                 ids += words.of(values[a:b])
             names, scores = _predict(held.value, words.rows, ids) if held.value.labels else ([UNKNOWN] * len(values), np.zeros(len(values)))
-            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=out_names)
+            kept, own = [batch.column(i) for i in range(batch.num_columns - 1)], [batch.column(batch.num_columns - 1)] if with_text else []
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64()), *own], names=out_names)
 
-    out_names = [*[f"keep_{i}" for i in range(len(keep))], "id", "held_out", "lang_pred", "score"]
+    out_names = [*[f"keep_{i}" for i in range(len(keep))], "id", "held_out", "lang_pred", "score", *(["text_"] if with_text else [])]
     rows = docs.select(
         *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], F.col(id_col).alias("id"),
         F.coalesce(fold(id_col, folds) == held_fold, F.lit(False)).alias("held_out"), F.col(text_col).alias("text_"),
     )
-    kinds = [*[rows.schema[f"keep_{i}"].dataType.simpleString() for i in range(len(keep))], rows.schema["id"].dataType.simpleString(), "boolean", "string", "double"]
+    kinds = [*[rows.schema[f"keep_{i}"].dataType.simpleString() for i in range(len(keep))], rows.schema["id"].dataType.simpleString(), "boolean", "string", "double", *(["string"] if with_text else [])]
     found = rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(out_names, kinds, strict=True)))
-    return found.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], F.col("id").alias(id_col), "held_out", "lang_pred", "score")
+    return found.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], F.col("id").alias(id_col), "held_out", "lang_pred", "score", *(["text_"] if with_text else []))

@@ -31,7 +31,7 @@ class WordIds:
     go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,9 +85,10 @@ class WordIds:
         return [b"".join(map(get, words)) for words in split]
 
 
-@lru_cache(maxsize=2)
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
+@lru_cache(maxsize=1)
+def _word_ids(path: str, most: int) -> WordIds:
+    """Kept by a Python worker from task to task."""
+    return WordIds(path, most)
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -202,7 +203,7 @@ def _lists(raw: tuple[bytes, ...]) -> pa.ListArray:
 
 def pack(
     docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group: int = 64, cuts: bool = True, with_ids: bool = True,
-    id_col: str = "doc_id", text_col: str = "text",
+    known_words: int = 600_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Packs every document, followed by ``end_id``, into windows of at most ``capacity`` tokens.
 
@@ -210,7 +211,8 @@ def pack(
     sequence_id, offset and, ``with_ids``, the token ids. Whole windows are cut
     off long documents first; the rests are dealt by differencing, ``group``
     windows at a time, in the task that read them: no shuffle, and a task holds
-    one group of windows and a few MB of text. Each task leaves less than one
+    one group of windows and a few MB of text. A worker keeps the ids of up to
+    twice ``known_words`` words (200 bytes each). Each task leaves less than one
     window of padding at its end, each group on the way less than a document's
     rest.
 
@@ -229,7 +231,7 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _word_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        words, end = _word_ids(tokenizer_path, known_words), np.array([end_id], "<u4").tobytes()
         packer = _Packer(capacity, group, cuts, with_ids, TaskContext.get().partitionId() << 32)
 
         def out() -> Iterator[pa.RecordBatch]:

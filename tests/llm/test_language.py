@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import language
 from ledgerloom.llm.language import Crf, features, fit_languages, fold, forward_backward, identify, letters, pair_counts
 
 
@@ -47,6 +48,17 @@ def test_labels_words_in_switched_text():
     assert crf.steps.trace() > crf.steps.sum() - crf.steps.trace()
 
 
+def test_long_texts_in_stretches(monkeypatch):
+    rng = np.random.default_rng(3)
+    crf = Crf(["a", "b", "c"], {}, np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    rows = np.concatenate([rng.normal(size=(50, 3)), np.ones((50, 1))], axis=1).astype(np.float32)
+    ids = [rng.integers(0, 50, n) for n in (0, 1, 700, 90, 333)]
+    names, scores = language._predict(crf, rows, ids)
+    monkeypatch.setattr(language, "SPAN", 100)
+    again, near = language._predict(crf, rows, ids)
+    assert names == again and names[0] == "und" and scores[0] == 0 and np.allclose(scores, near, atol=1e-6)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     crf = fit_languages(docs)
