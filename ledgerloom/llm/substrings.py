@@ -204,11 +204,11 @@ def _by_digests(words: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], names=["anchor", "digest", "weight", "place", "own"])
 
     sides = stored(many.mapInArrow(halves, "anchor bigint, digest bigint, weight bigint, a bigint, b bigint, own bigint"), "halves")
-    again = sides.groupBy("anchor", "own").agg(F.sum("weight").alias("times")).where("times > 1").drop("times")
+    again = stored(sides.groupBy("anchor", "own").agg(F.sum("weight").alias("times")).where("times > 1").drop("times"), "again")
     wanted = sides.join(again, ["anchor", "own"]).select("anchor", "digest", "weight", "a", "b")
     wanted = wanted.join(many.select("anchor", "digest", "words"), ["anchor", "digest"]).select("anchor", "digest", "weight", "a", "b", "words")
     windows = stored(wanted.mapInArrow(each, "anchor bigint, digest bigint, weight bigint, place bigint, own bigint"), "windows")
-    often = windows.groupBy("anchor", "own").agg(F.sum("weight").alias("times")).where("times > 1").drop("times")
+    often = stored(windows.groupBy("anchor", "own").agg(F.sum("weight").alias("times")).where("times > 1").drop("times"), "often")
     hit = windows.where("weight = 1").join(often, ["anchor", "own"])
     return hit.groupBy("anchor", "digest").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("mask"))
 
@@ -240,12 +240,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     keyed = docs.select(F.col(id_col).alias("id"), _key(docs, id_col).alias("k"), F.coalesce(text_col, F.lit("")).alias("text"))
     keyed = keyed.select("id", "k", F.xxhash64("text").alias("t"), "text")
     found = stored(_occurrences(keyed, window), "fragments")
-    again = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # sums are stored before they are joined: only a join of two plain shuffles can split a hot key
+    again = stored(found.groupBy("anchor").count().where("count > 1").select("anchor"), "again")
     found = stored(found.join(again, "anchor", "left_semi"), "candidates")
 
     kinds = found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("k", "t", "start", "n")).alias("at"))
     kinds = stored(kinds.select("anchor", "digest", "weight", "at.*"), "kinds")
-    variants = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
+    variants = stored(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1"), "variants")
     wanted = kinds.join(variants, "anchor").withColumn("many", F.col("variants") > VARIANTS).drop("variants")
     words = stored(_fragment_words(keyed, wanted, window), "words")
     masks = _by_automata(words, window).unionByName(_by_digests(words, window))
