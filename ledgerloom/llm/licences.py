@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import stored
+from ledgerloom.llm.shared import small_or_stored, stored
 
 #: Opening words of common licences and the notices that name them.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -118,9 +118,9 @@ def scan_licences(
 
     The comparison is one narrow pass with no shuffle, its verdicts are stored: lines without a term that
     a near line must have are passed over, which cannot change the result.
-    Directories are reduced to one row each before ancestors are joined; files
-    then join their directory, and a directory with a third of all files can be
-    split there by adaptive execution.
+    Directories are reduced to one row each before ancestors are joined. Files
+    then join their directory: by broadcast if there are few, else by a shuffle
+    in which a directory with a third of all files can be split.
 
     Null or empty text has no licence of its own. A null path counts as the root
     directory. Repeated rows are rows of their own; ids may be null. Other
@@ -140,7 +140,7 @@ def scan_licences(
     ancestors = rows.select("dir").distinct().select("dir", F.explode(depths).alias("depth"))
     ancestors = ancestors.withColumn("above", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("substring_index(dir, '/', depth)")))
     nearest = ancestors.join(given.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "given")).alias("near"))
-    out = rows.join(nearest, "dir", "left")
+    out = rows.join(small_or_stored(nearest, "nearest"), "dir", "left")
     own = F.col("own").isNotNull()
     return out.select(
         F.col("id").alias(id_col), "path",
