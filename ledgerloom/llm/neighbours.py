@@ -66,6 +66,20 @@ class Quantiser:
             total += (book @ part)[codes[:, j]]
         return total
 
+    def decode(self, of: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The rows that lists and codes stand for."""
+        return self.centres[of] + np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1)
+
+
+def reach(near: np.ndarray, norm: np.ndarray, close: np.ndarray) -> np.ndarray:
+    """Upper bounds of cosines: what the angle to the decoded row leaves if the row itself lies ahead of it.
+
+    ``near`` is the query's product with the decoded rows, ``norm`` their
+    length, ``close`` the cosine of each row with its decoded row.
+    """
+    far = np.clip(np.divide(near, norm, out=np.ones_like(near), where=norm > 0), -1, 1)
+    return np.where(far >= close, 1.0, far * close + np.sqrt((1 - far**2) * (1 - close**2)))
+
 
 def usable(vector: str) -> Column:
     """False for vectors that are null, zero, or hold null or non-finite components."""
@@ -101,7 +115,10 @@ def nearest(
     few parts, and a part's entries meet its queries in cells of about CELL_ROWS
     entries and CELL_QUERIES queries. There entries are ranked by tables of the
     query's products with the codebooks, and the best ``rerank`` of a query are
-    scored exactly.
+    scored exactly; so are all others that the error of their codes allows to be
+    among the cell's ``k`` best. In the lists visited nothing is missed, then:
+    rows that share their codes, as near copies do, are told apart by their
+    vectors, however many there are.
 
     Vectors that are null, zero, or hold null or non-finite components take no
     part, nor do those whose length is not the most frequent one (of equally
@@ -109,7 +126,7 @@ def nearest(
     once, with its least vector; a candidate id that repeats is listed for each
     of its different vectors. Other columns are ignored. An empty table gives no rows.
     """
-    spark, schema = vectors.sparkSession, "query_id bigint, vec_id bigint, near float"
+    spark, schema = vectors.sparkSession, "query_id bigint, vec_id bigint, score double"
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("v")).where(usable("v"))
     lengths = sorted(((-r["count"], r["d"]) for r in rows.groupBy(F.size("v").alias("d")).count().collect()))
     empty = "query_id bigint, rank int, vec_id bigint, score double"
@@ -130,7 +147,7 @@ def nearest(
         for batch in batches:
             of, codes = held.value.encode(_unit(_matrix(batch.column(1), dims)))
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(codes), [None, pa.py_buffer(codes.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), batch.column(0), packed], names=["list", "vec_id", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), batch.column(0), packed, batch.column(1)], names=["list", "vec_id", "codes", "v"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,9 +157,10 @@ def nearest(
             kinds = [pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([kinds[0], batch.column(0).take(at), batch.column(1).take(at), kinds[1]], names=["part", "query_id", "q", "lists"])
 
-    entries = stored(distinct.select("vec_id", "v").mapInArrow(index, "list int, vec_id bigint, codes binary"), "index")
+    kind = rows.schema["v"].dataType.simpleString()
+    entries = stored(distinct.select("vec_id", "v").mapInArrow(index, f"list int, vec_id bigint, codes binary, v {kind}"), "index")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    visits = stored(asked.select("vec_id", "v").mapInArrow(visit, f"part int, query_id bigint, q {rows.schema['v'].dataType.simpleString()}, lists array<int>"), "visits")
+    visits = stored(asked.select("vec_id", "v").mapInArrow(visit, f"part int, query_id bigint, q {kind}, lists array<int>"), "visits")
     entries = entries.withColumn("part", F.col("list") % LIST_PARTS)
     # one row for each part of the lists
     sizes = entries.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("blocks"))
@@ -156,36 +174,39 @@ def nearest(
     )
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if left.num_rows and right.num_rows:
-            ids = left.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")  # so that equal scores leave the smaller ids ahead
-            ids, of = ids[order], left.column("list").to_numpy()[order]
-            codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            queries = _unit(_matrix(right.column("q"), dims))
-            for query_id, query, own in zip(right.column("query_id").to_pylist(), queries, right.column("lists").to_pylist(), strict=True):
+            ids, of = left.column("vec_id").to_numpy(), left.column("list").to_numpy()
+            codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+            own, asked = _matrix(left.column("v"), dims), _matrix(right.column("q"), dims)
+            decoded = held.value.decode(of, codes)
+            norm = np.linalg.norm(decoded, axis=1)
+            close = np.divide(np.einsum("ij,ij->i", _unit(own), decoded), norm, out=np.full_like(norm, -1), where=norm > 0)
+            close = np.clip(close, -1, 1)
+            size = np.sqrt(np.einsum("ij,ij->i", own, own))
+            for query_id, query, unit, visits in zip(right.column("query_id").to_pylist(), asked, _unit(asked), right.column("lists").to_pylist(), strict=True):
                 visited = np.zeros(len(held.value.centres), bool)
-                visited[own] = True
-                near = held.value.scores(query, of, codes)
-                near[~visited[of] | (ids == query_id)] = -np.inf
-                best = np.argsort(-near, kind="stable")[:rerank]
-                best = best[np.isfinite(near[best])]
-                out.append((np.full(len(best), query_id), ids[best], near[best]))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "near"])
+                visited[visits] = True
+                at = np.flatnonzero(visited[of] & (ids != query_id))
+                near = held.value.scores(unit, of[at], codes[at])
+                length = np.sqrt(np.einsum("i,i->", query, query))
+                first = np.argpartition(-near, rerank)[:rerank] if len(at) > rerank else np.arange(len(at))
+                score = np.full(len(at), -np.inf)
+                score[first] = np.einsum("ij,j->i", own[at[first]], query) / (length * size[at[first]])
+                if len(at) > rerank:
+                    worst = np.partition(score[first], -k)[-k] if rerank >= k else -np.inf
+                    # single precision errs by far less than 1e-3 here
+                    more = np.flatnonzero((reach(near, norm[at], close[at]) >= worst - 1e-3) & np.isneginf(score))
+                    for i in range(0, len(more), 4096):
+                        part = more[i : i + 4096]
+                        score[part] = np.einsum("ij,j->i", own[at[part]], query) / (length * size[at[part]])
+                best = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(at) > k else np.arange(len(at))
+                best = best[np.lexsort((ids[at[best]], -score[best]))][:k]
+                out.append((np.full(len(best), query_id), ids[at[best]], score[best]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
     cell = ["part", "block", "group"]
     asking = asking.select(*cell, "query_id", "q", "lists").groupBy(*cell)
-    found = dealt.select(*cell, "list", "vec_id", "codes").groupBy(*cell).cogroup(asking).applyInArrow(search, schema)
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))).where(F.col("n") <= rerank)
-    pairs = best.select("query_id", "vec_id").distinct().join(distinct.select("vec_id", F.col("v").alias("x")), "vec_id")
-    pairs = pairs.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = _matrix(batch.column(2), dims), _matrix(batch.column(3), dims)
-            score = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    scored = pairs.select("query_id", "vec_id", "q", "x").mapInArrow(exact, "query_id bigint, vec_id bigint, score double")
+    found = dealt.select(*cell, "list", "vec_id", "codes", "v").groupBy(*cell).cogroup(asking).applyInArrow(search, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -69,3 +69,19 @@ def test_table_scores_follow_the_products():
     of, codes = quantiser.encode(x)
     q = x[0]
     assert np.corrcoef(quantiser.scores(q, of, codes), x @ q)[0, 1] > 0.9
+
+
+@pytest.mark.parametrize("cells", [(1 << 14, 1 << 9), (900, 20)])
+def test_near_copies_are_told_apart(spark, monkeypatch, cells):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", cells[0])
+    monkeypatch.setattr(neighbours, "CELL_QUERIES", cells[1])
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 32))
+    near = np.arange(6000) % 3 == 0  # a third of the rows: one vector with jitter and other lengths
+    x[near] = (x[0] + 1e-4 * rng.normal(size=(2000, 32))) * rng.uniform(0.5, 2, size=(2000, 1))
+    x, ids = x.astype(np.float32), np.arange(6000)
+    df = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id bigint, embedding array<float>").repartition(3)
+    want, got = brute(ids, x, 50, 5), found(nearest(df, lists=16, probes=16))
+    assert got.keys() == want.keys()
+    inside = {q: w for q, w in want.items() if near[q]}
+    assert recall(got, inside) == 1 and recall(got, want) >= 0.99
