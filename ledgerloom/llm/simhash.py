@@ -55,6 +55,28 @@ def fingerprint(text: bytes, words: int = 3, families: int = 1) -> list[int]:
     return [int.from_bytes(np.packbits(2 * s > n).tobytes(), "big") for s in sums]
 
 
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingles' hashes in ascending order, as signed numbers; shingles as for ``fingerprint``."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(found)
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: max(1, len(found) - words + 1)].tolist()
+    spans = zip(starts, ends[min(words, len(found)) - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[i:j], 42) for i, j in spans), np.uint64, len(starts)).view(np.int64))
+
+
+def set_fingerprint(own: np.ndarray, families: int) -> list[int]:
+    """64-bit SimHashes of a set of shingle hashes, one for each family; 0 for an empty one."""
+    sums, hashes = np.zeros((families, 64), np.int64), own.astype(">i8").view(">u8")
+    for at in range(0, len(hashes), 1 << 16):
+        for k in range(families):
+            sums[k] += np.unpackbits(_mixed(hashes[at : at + (1 << 16)], k).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return [int.from_bytes(np.packbits(2 * s > len(own)).tobytes(), "big") for s in sums]
+
+
 def _names(families: int) -> list[str]:
     return [f"fp{k}" for k in range(families)]
 
@@ -127,21 +149,38 @@ def links(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return tied, root[tied]
 
 
-def _cells(distinct: DataFrame, families: int, most: int) -> DataFrame:
-    """(a, b) edges between nodes within ``most`` bits that meet under a key; they connect all that such pairs connect."""
-    names = _names(families)
+def apart(fps: np.ndarray, groups: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of different groups within ``most`` bits."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for at in range(0, len(fps), 64):
+        near = (_differing(fps[at : at + 64, None], fps[None, :]) <= most) & (groups[at : at + 64, None] != groups[None, :])
+        a, b = np.nonzero(near)
+        a += at
+        found.append((a[a > b], b[a > b]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return a, b
+
+
+def _cells(distinct: DataFrame, families: int, most: int, group: str | None = None, searched: int = 0) -> DataFrame:
+    """(a, b) edges between nodes within ``most`` bits that meet under a key; they connect all that such pairs connect.
+
+    With a column ``group`` they are instead all such pairs of different groups.
+    Keys come from ``searched`` families if these are more than those compared.
+    """
+    names = _names(families) + ([group] if group else [])
+    width, more = len(names), _names(max(families, searched))[families:]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                for k in range(families):
-                    rows, keys = golay_keys(part.column(k + 1).to_numpy(zero_copy_only=False))
-                    taken = [part.column(c).take(pa.array(rows)) for c in range(families + 1)]
+                for k in range(families + len(more)):
+                    rows, keys = golay_keys(part.column(k + 1 if k < families else k + 1 + width - families).to_numpy(zero_copy_only=False))
+                    taken = [part.column(c).take(pa.array(rows)) for c in range(width + 1)]
                     yield pa.RecordBatch.from_arrays([pa.array(keys | (k << 26)), *taken], names=["key", "node", *names])
 
     columns = "key bigint, node bigint, " + ", ".join(f"{n} bigint" for n in names)
-    keyed = distinct.select("node", *names).mapInArrow(expand, columns)
+    keyed = distinct.select("node", *names, *more).mapInArrow(expand, columns)
     # a key of more than CELL nodes is dealt into chunks, and each two chunks meet in a cell of their own
     full = keyed.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / (CELL // 2)).cast("int").alias("chunks"))
     full = small_or_stored(full, "full-keys")  # few as a rule, and then the rows of all keys are shuffled only once
@@ -154,7 +193,7 @@ def _cells(distinct: DataFrame, families: int, most: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(families + 3)], axis=1)
+            now = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(width + 3)], axis=1)
             now = now if held is None else np.concatenate([held, now])
             new = np.flatnonzero((now[1:, :2] != now[:-1, :2]).any(axis=1)) + 1
             last = new[-1] if len(new) else 0  # the last cell may go on in the next batch
@@ -167,10 +206,11 @@ def _cells(distinct: DataFrame, families: int, most: int) -> DataFrame:
     def edges(nodes: np.ndarray, fps: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
         sizes = np.diff(cuts)
         two = cuts[:-1][sizes == 2]
-        two = two[_differing(fps[two], fps[two + 1]) <= most]
+        fps, groups = np.ascontiguousarray(fps[:, :families]), fps[:, -1]
+        two = two[(_differing(fps[two], fps[two + 1]) <= most) & (groups[two] != groups[two + 1] if group else True)]
         out = [(nodes[two], nodes[two + 1])]
         for s, n in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            tied, tops = links(fps[s : s + n], most)
+            tied, tops = apart(fps[s : s + n], groups[s : s + n], most) if group else links(fps[s : s + n], most)
             if len(tied):
                 out.append((nodes[s + tied], nodes[s + tops]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
@@ -213,17 +253,68 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, id_col: str
 
 
 def similar_documents(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = 4, searched: int = 10, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: doc_id, component_id; links texts whose word shingles are alike.
-
-    Four SimHashes from different hashes give 256 bits. Two documents that share
-    a Golay key of any of them are compared on all: they are linked if no more
-    bits differ than are expected at a Jaccard similarity of ``similarity``. That
-    is an estimate; keys find copies with light edits nearly always, and fewer
-    near the limit. Rows and odd values are treated as by ``near_duplicates``.
+    """One row per document: doc_id, component_id; links texts whose sets of word shingles have a Jaccard similarity of ``similarity``.
+
+    SimHashes only find candidates: ``searched`` of them, of the distinct
+    shingles, from different hashes; two documents that share a Golay key of any
+    are a candidate pair if in the first ``families`` no more bits differ than
+    nearly every pair of that similarity has (2.8 standard deviations over the
+    mean). Of pairs at 0.8 about 0.2 % share no key, of others fewer. Candidates are
+    compared by their shingles' 64-bit hashes, so no link is below the limit.
+
+    Of each cell the members are first compared with one of them, so that a
+    large group of copies is not compared pair by pair; then all candidates that
+    are not yet connected are. Equal sets are one from the start. Rows and odd
+    values are treated as by ``near_duplicates``.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    most = int(64 * families * np.arccos(cosine) / np.pi)
-    own = stored(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words, families), "fingerprints")
-    return own.join(_classes(own, families, most), _names(families)).select(F.col("doc_id").alias(id_col), "component_id")
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * families
+    most = int(bits * share + 2.8 * (bits * share * (1 - share)) ** 0.5)
+    names = _names(searched)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingles(t, words) for t in texts(part, "text")]
+                fps = np.array([set_fingerprint(x, searched) for x in sets], np.uint64).view(np.int64)
+                node = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
+                cols = [part.column(0), part.column(1), pa.array(node), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(searched)]]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "written", "node", *names])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                sets = [shingles(t, words) for t in texts(part, "text")]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"])
+
+    schema = ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, written bigint, node bigint", *[f"{n} bigint" for n in names]])
+    own = stored(rows.select("doc_id", F.xxhash64("text").alias("written"), "text").mapInArrow(sign, schema), "fingerprints")
+    least = [F.min("doc_id").alias("least"), F.min("written").alias("written"), *[F.min(n).alias(n) for n in names]]
+    distinct = stored(own.groupBy("node").agg(*least), "distinct")
+    near = stored(_cells(distinct, families, most, searched=searched), "candidates")
+    met = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    met = stored(distinct.join(met, "node", "left_semi"), "met")
+    wanted = small_or_stored(met.select("node", "written"), "wanted")
+    held = rows.withColumn("written", F.xxhash64("text")).join(wanted, "written").select("node", "text").mapInArrow(cut, "node bigint, own array<bigint>")
+    held = stored(held.dropDuplicates(["node"]), "shingles")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(held.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
+        both = both.join(held.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+
+    one = stored(alike(stored(near.groupBy("a").agg(F.min("b").alias("b")), "stars")), "alike")
+    roots = components(one).withColumnRenamed("node", "of")
+    grouped = met.join(roots, F.col("node") == F.col("of"), "left").select("node", *names, F.coalesce("root", "node").alias("group"))
+    rest = stored(_cells(stored(grouped, "grouped"), families, most, "group", searched), "candidates")
+    roots = components(one.unionByName(alike(rest))).withColumnRenamed("node", "of")
+    member = distinct.join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    member = stored(member, "members")
+    smallest = stored(member.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    return own.join(member.join(smallest, "root").select("node", "component_id"), "node").select(F.col("doc_id").alias(id_col), "component_id")
