@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import blocks, texts
@@ -105,8 +105,12 @@ def _slots(words: list[bytes], template: np.ndarray, places: np.ndarray, at: int
     return [_EDGE.sub("", words[places[i]].decode()) for i in inside.tolist()]
 
 
+def _slot_places(template: np.ndarray, at: int, width: int) -> list[int]:
+    return (np.flatnonzero(template[at : at + width] & np.uint64(_SLOT)) + at).tolist()
+
+
 def benchmark_windows(benchmark: DataFrame, window: int, shortest: int, id_col: str, text_col: str) -> DataFrame:
-    """(hash, item_id, item_pos, width, item_forms, item_slots): the template windows of each item.
+    """(hash, item_id, item_pos, width, item_forms, item_slots, item_at): the template windows of each item, item_at the places of its slots.
 
     Items shorter than a window have one window of their own length, down to
     ``shortest`` forms.
@@ -121,14 +125,14 @@ def benchmark_windows(benchmark: DataFrame, window: int, shortest: int, id_col:
                 width = min(window, len(template))
                 if width >= shortest:
                     hashes = windows(template, width)
-                    out += [(int(hashes[i]), item, i, width, len(template), _slots(words, template, places, i, width)) for i in np.flatnonzero(hashes).tolist()]
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+                    out += [(int(hashes[i]), item, i, width, len(template), _slots(words, template, places, i, width), _slot_places(template, i, width)) for i in np.flatnonzero(hashes).tolist()]
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            kinds = [pa.int64(), batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    names = ["hash", "item_id", "item_pos", "width", "item_forms", "item_slots"]
+    names = ["hash", "item_id", "item_pos", "width", "item_forms", "item_slots", "item_at"]
     kind = benchmark.schema[id_col].dataType.simpleString()
-    schema = f"hash bigint, item_id {kind}, item_pos bigint, width bigint, item_forms bigint, item_slots array<string>"
+    schema = f"hash bigint, item_id {kind}, item_pos bigint, width bigint, item_forms bigint, item_slots array<string>, item_at array<bigint>"
     return benchmark.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -140,10 +144,12 @@ def contaminated(
 
     Texts become templates: numbers, names and units turn into typed
     placeholders. Windows of ``window`` forms are joined on their hash. Matches
-    of a document with an item are followed along each alignment, and their
-    placeholders must map the item's values to the document's one to one there,
-    so a question with other values in it is caught while a mere likeness of
-    form is not. A document is contaminated by an item if at least ``least`` of
+    of a document with an item are followed along each alignment. A window with
+    the item's own values always counts. The others count if each value of the
+    item stands for one value of the document there: that which it has at most
+    places; windows with another are left out, and if two are equally frequent
+    for a value, all are. So a question with other values in it is caught while
+    a mere likeness of form is not. A document is contaminated by an item if at least ``least`` of
     the item's forms lie in matched windows. Other documents give no row.
 
     The benchmark's distinct hashes, if at most ``most_filter`` (8 MB), also
@@ -186,15 +192,29 @@ def contaminated(
 
     hits = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, pos bigint, hash bigint, slots array<string>")
     both = hits.join(items, "hash").where(F.size("slots") == F.size("item_slots"))
-    pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    along = both.groupBy("doc_id", "item_id", "item_forms", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.collect_set(F.struct("item_pos", "width")).alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.a"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.b")))
-    forms = F.flatten(F.transform("at", lambda x: F.sequence(x["item_pos"], x["item_pos"] + x["width"] - 1)))
-    each = along.where(one_to_one).withColumn("forms", F.array_distinct(forms))
+    pairs = F.transform(F.arrays_zip("item_at", "item_slots", "slots"), lambda x: F.struct(x["item_at"].alias("at"), x["item_slots"].alias("a"), x["slots"].alias("b")))
+    window_of = F.struct("item_pos", "width", (F.col("slots") == F.col("item_slots")).alias("same"), pairs.alias("pairs"))
+    along = both.groupBy("doc_id", "item_id", "item_forms", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(window_of).alias("met"))
+
+    def values(x: Column) -> Column:
+        return F.struct(x["a"].alias("a"), x["b"].alias("b"))
+
+    along = along.withColumn("all", F.array_distinct(F.flatten("met.pairs")))
+    along = along.withColumn("kinds", F.array_distinct(F.transform("all", values)))
+    counted = F.transform("kinds", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.size(F.filter("all", lambda x: values(x) == p)).alias("n")))
+    along = along.withColumn("counted", counted)
+    lead = F.filter("counted", lambda p: ~F.exists("counted", lambda q: (q["a"] == p["a"]) & (q["b"] != p["b"]) & (q["n"] >= p["n"])))
+    along = along.withColumn("lead", F.transform(lead, values))
+    mapped = F.size("lead") == F.size(F.array_distinct("kinds.a"))
+    kept = F.filter("met", lambda w: w["same"] | (mapped & F.forall(w["pairs"], lambda x: F.array_contains("lead", values(x)))))
+    each = along.withColumn("met", kept).where(F.size("met") > 0)
+    forms = F.flatten(F.transform("met", lambda x: F.sequence(x["item_pos"], x["item_pos"] + x["width"] - 1)))
+    each = each.select(
+        "doc_id", "item_id", "item_forms", F.size(F.array_distinct(F.transform("met", lambda w: F.struct(w["item_pos"], w["width"])))).alias("n"),
+        F.size(F.array_distinct(F.transform(F.flatten("met.pairs"), values))).alias("slots"), F.array_distinct(forms).alias("forms"),
+    )
     out = each.groupBy("doc_id", "item_id", "item_forms").agg(
-        F.sum(F.size("at")).alias("n_windows"), F.max(F.size("pairs")).cast("bigint").alias("n_slots"), F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms")
+        F.sum("n").alias("n_windows"), F.max("slots").cast("bigint").alias("n_slots"), F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms")
     )
     out = out.withColumn("coverage", F.size("forms") / F.col("item_forms")).where(F.col("coverage") >= least)
     return out.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col), "n_windows", "n_slots", "coverage")

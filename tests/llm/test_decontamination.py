@@ -106,3 +106,18 @@ def test_forms_are_cached_alike():
     text = "The 3 KM run. Then John Smith won 20% (in 5km)!".encode().split()
     a, b = f.template(text), f.template(text)
     assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])
+
+
+def judged(spark, docs, items, **k):
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    return {r.doc_id: r.coverage for r in contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string"), **k).collect()}
+
+
+def test_values_that_differ_at_one_place(spark):
+    item = "we bought 3 ripe apples at the old market and later sold 3 apples to some friends, then ate 3 more on the way home"
+    verbatim = item.replace("sold 3", "sold 4")
+    other = item.replace("3", "7").replace("sold 7", "sold 8")
+    two = "we bought 3 ripe apples at the old market and later sold 5 pears to some friends on the way home"
+    merged = two.replace("3", "4").replace("5", "4")
+    assert set(judged(spark, [verbatim, other], [item])) == {0, 1}
+    assert judged(spark, [merged], [two]) == {0: 1.0}
