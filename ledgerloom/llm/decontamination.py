@@ -99,6 +99,43 @@ def windows(template: np.ndarray, width: int) -> np.ndarray:
     return value.view(np.int64)
 
 
+_M = 0x9E3779B97F4A7C15
+_LITERAL, _WIDE = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+
+
+def all_windows(words: list[bytes], template: np.ndarray, places: np.ndarray, width: int, longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, forms, hash) of a text's windows of ``width`` forms.
+
+    Where over half of one are placeholders, it stands under its literal words,
+    and a second one from the same place on is widened until it holds as many
+    other forms as every window has (if it gets no longer than ``longest``).
+    """
+    plain = windows(template, width)
+    at = np.flatnonzero(plain)
+    found = [(at, np.full(len(at), width), plain[at])]
+    heavy = np.flatnonzero(plain == 0)
+    if len(heavy):
+        slot = (template & np.uint64(_SLOT)) > 0
+        inside = np.zeros(len(template) + 1, np.int64)
+        np.add.at(inside, heavy, 1)
+        np.add.at(inside, heavy + width, -1)
+        literal = template & ~np.uint64(_SLOT)
+        for i in np.flatnonzero(slot & (np.cumsum(inside)[:-1] > 0)).tolist():
+            literal[i] = _number_of(_EDGE.sub("", words[places[i]].decode()))
+        found.append((heavy, np.full(len(heavy), width), (windows(literal, width)[heavy].view(np.uint64) ^ _LITERAL).view(np.int64)))
+        others = np.concatenate([[0], np.cumsum(~slot)])
+        ends = np.searchsorted(others, others[heavy] + width - width // 2)
+        fits = ends <= (len(template) if longest is None else np.minimum(len(template), heavy + longest))
+        start, ends = heavy[fits], ends[fits]
+        # sums over inverse powers, so that windows of any length cost the same
+        powers = np.full(len(template), pow(_M, -1, 1 << 64), np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(template * np.multiply.accumulate(powers), dtype=np.uint64)])
+        value = (sums[ends] - sums[start]) * np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(template), _M, np.uint64)]))[start]
+        value = (value + (ends - start).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        found.append((start, ends - start, (value ^ (value >> np.uint64(29)) ^ _WIDE).view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _slots(words: list[bytes], template: np.ndarray, places: np.ndarray, at: int, width: int) -> list[str]:
     """The values that the window's placeholders stand for."""
     inside = np.flatnonzero(template[at : at + width] & np.uint64(_SLOT)) + at
@@ -110,7 +147,10 @@ def _slot_places(template: np.ndarray, at: int, width: int) -> list[int]:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, shortest: int, id_col: str, text_col: str) -> DataFrame:
-    """(hash, item_id, item_pos, width, item_forms, item_slots, item_at): the template windows of each item, item_at the places of its slots.
+    """(hash, item_id, item_pos, width, item_forms, item_slots, item_at, base): the windows of each item.
+
+    item_at has the places of its slots, base its width before it was widened.
+
 
     Items shorter than a window have one window of their own length, down to
     ``shortest`` forms.
@@ -124,15 +164,15 @@ def benchmark_windows(benchmark: DataFrame, window: int, shortest: int, id_col:
                 template, places = forms.template(words := text.split())
                 width = min(window, len(template))
                 if width >= shortest:
-                    hashes = windows(template, width)
-                    out += [(int(hashes[i]), item, i, width, len(template), _slots(words, template, places, i, width), _slot_places(template, i, width)) for i in np.flatnonzero(hashes).tolist()]
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+                    for i, size, value in zip(*(x.tolist() for x in all_windows(words, template, places, width)), strict=True):
+                        out.append((value, item, i, size, len(template), _slots(words, template, places, i, size), _slot_places(template, i, size), width))
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            kinds = [pa.int64(), batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    names = ["hash", "item_id", "item_pos", "width", "item_forms", "item_slots", "item_at"]
+    names = ["hash", "item_id", "item_pos", "width", "item_forms", "item_slots", "item_at", "base"]
     kind = benchmark.schema[id_col].dataType.simpleString()
-    schema = f"hash bigint, item_id {kind}, item_pos bigint, width bigint, item_forms bigint, item_slots array<string>, item_at array<bigint>"
+    schema = f"hash bigint, item_id {kind}, item_pos bigint, width bigint, item_forms bigint, item_slots array<string>, item_at array<bigint>, base bigint"
     return benchmark.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -143,7 +183,9 @@ def contaminated(
     """One row per contaminated document and item: doc_id, item_id, n_windows, n_slots, coverage.
 
     Texts become templates: numbers, names and units turn into typed
-    placeholders. Windows of ``window`` forms are joined on their hash. Matches
+    placeholders. Windows of ``window`` forms are joined on their hash;
+    those of placeholders for the most part match by their literal words, and
+    widened by their template (see ``all_windows``). Matches
     of a document with an item are followed along each alignment. A window with
     the item's own values always counts. The others count if each value of the
     item stands for one value of the document there: that which it has at most
@@ -161,7 +203,7 @@ def contaminated(
     """
     spark = docs.sparkSession
     items = benchmark_windows(benchmark, window, shortest, item_col, item_text_col)
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most ``window`` values
+    widths = sorted(tuple(r) for r in items.groupBy("base").agg(F.max("width")).collect())  # at most ``window`` rows
     known = items.select("hash").distinct().limit(most_filter + 1).toArrow().column(0).to_numpy()
     held = spark.sparkContext.broadcast(np.sort(known) if len(known) <= most_filter else None)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -174,16 +216,16 @@ def contaminated(
                 at, pos, found, slots = [], [], [], []
                 for i in range(a, b):
                     template, places = forms.template(words := values[i].split())
-                    for width in widths:
-                        hashes = windows(template, width)
+                    for width, longest in widths:
+                        start, size, hashes = all_windows(words, template, places, width, longest)
                         if wanted is None:
-                            hits = np.flatnonzero(hashes)
+                            hits = np.arange(len(hashes))
                         else:
                             hits = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes) if len(wanted) else np.zeros(0, int)
                         at += [i] * len(hits)
-                        pos += hits.tolist()
+                        pos += start[hits].tolist()
                         found += hashes[hits].tolist()
-                        slots += [_slots(words, template, places, p, width) for p in hits.tolist()]
+                        slots += [_slots(words, template, places, start[p], size[p]) for p in hits.tolist()]
                 if at:
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(at, pa.int64())), pa.array(pos, pa.int64()), pa.array(found, pa.int64()), pa.array(slots, pa.list_(pa.string()))],

@@ -121,3 +121,11 @@ def test_values_that_differ_at_one_place(spark):
     merged = two.replace("3", "4").replace("5", "4")
     assert set(judged(spark, [verbatim, other], [item])) == {0, 1}
     assert judged(spark, [merged], [two]) == {0: 1.0}
+
+
+@pytest.mark.parametrize("most_filter", [1 << 20, 0])
+def test_items_dense_in_placeholders(spark, most_filter):
+    items = ["What Is The Capital Of France And Which River Flows Through It", "add 3 4 5 6 7 8 then take 9 10 11 12 13 away and add 14 15 16 17 18 more"]
+    docs = ["so he asked: " + items[0] + " today", "now " + items[1] + " again", "now add 30 40 50 60 70 80 then take 90 100 110 120 130 away and add 140 150 160 170 180 more again", "1 2 3 4 5 6 7 8 9 10 11 12 13"]
+    got = judged(spark, docs, items, most_filter=most_filter)
+    assert set(got) == {0, 1, 2} and got[1] == 1
