@@ -11,15 +11,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ledgerloom.llm.shared import blocks, texts
+from ledgerloom.llm.shared import blocks, small_or_stored, texts
 
 #: Label of texts that are null or have no letter.
 UNKNOWN = "und"
-#: Hashed features, and the letters of a word that they see (from both ends, if it has more).
+#: Hashed features, and the most letters of a token; longer words are several tokens.
 BUCKETS, LETTERS = 1 << 16, 30
-#: Words labelled in one stretch, and those that it sees on either side.
-SPAN, OVERLAP = 4096, 64
+#: Tokens labelled in one go. Longer chains are cut, and the pieces get the messages of what lies around them, so the cut changes nothing.
+SPAN = 1024
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -28,10 +29,15 @@ def fold(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
-def letters(word: bytes) -> str:
-    """The word's letters in lower case; empty if it has none."""
+def letters(word: bytes) -> list[str]:
+    """The word's letters in lower case, as tokens of at most LETTERS each; none if it has no letter."""
     found = "".join(_LETTERS.findall(word.decode())).lower()
-    return found if len(found) <= LETTERS else found[: LETTERS // 2] + found[-LETTERS // 2 :]
+    return [found[i : i + LETTERS] for i in range(0, len(found), LETTERS)]
+
+
+def tokens(text: bytes) -> list[str]:
+    """The tokens of all words of a text."""
+    return [x for w in text.split() for x in letters(w)]
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,17 +72,26 @@ def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.
     return np.concatenate([*of, row]), np.concatenate([*at, BUCKETS + known[row]]), np.concatenate([*values, np.ones(len(row))])
 
 
-def forward_backward(scores: np.ndarray, steps: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(
+    scores: np.ndarray, steps: np.ndarray, start: np.ndarray, sizes: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Label probabilities of each word given the words up to it, and given all words.
 
     ``scores`` is (time, sequence, label), padded behind each sequence's size;
-    ``steps`` holds transition scores from row to column.
+    ``steps`` holds transition scores from row to column. Sequences that are cut
+    from longer ones have the messages of what lies before and behind them
+    (``before`` has NaN where a sequence begins).
     """
     n = len(scores)
     local = np.exp(scores - scores.max(axis=2, keepdims=True))
     move = np.exp(steps - steps.max())
     ahead, behind = np.empty_like(local), np.ones_like(local)
-    ahead[0] = local[0] * np.exp(start - start.max())
+    first = np.broadcast_to(np.exp(start - start.max()), local[0].shape)
+    if before is not None:
+        first = np.where(np.isnan(before), first, before @ move)
+    if after is not None:
+        behind[sizes - 1, np.arange(len(sizes))] = after
+    ahead[0] = local[0] * first
     ahead[0] /= ahead[0].sum(axis=1, keepdims=True)
     for t in range(1, n):
         a = (ahead[t - 1] @ move) * local[t]
@@ -84,11 +99,22 @@ def forward_backward(scores: np.ndarray, steps: np.ndarray, start: np.ndarray, s
     inside = np.arange(n)[:, None] + 1 < sizes[None, :]  # the next word exists
     for t in range(n - 2, -1, -1):
         b = (behind[t + 1] * local[t + 1]) @ move.T
-        behind[t] = np.where(inside[t][:, None], b / b.sum(axis=1, keepdims=True), 1.0)
+        behind[t] = np.where(inside[t][:, None], b / b.sum(axis=1, keepdims=True), behind[t])
     out = ahead * behind
     return ahead, out / out.sum(axis=2, keepdims=True)
 
 
+def transfers(scores: np.ndarray, steps: np.ndarray, sizes: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """(sequence, label, label): what each sequence makes of a message that reaches it; ``opens`` marks those that begin a text."""
+    local, move = np.exp(scores - scores.max(axis=2, keepdims=True)).astype(np.float64), np.exp(steps - steps.max()).astype(np.float64)
+    state = np.broadcast_to(np.eye(scores.shape[2]), (scores.shape[1], *steps.shape)).copy()
+    for t in range(len(scores)):
+        moved = state @ move if t else np.where(opens[:, None, None], state, state @ move)
+        moved = moved * local[t][:, None, :]
+        state = np.where((t < sizes)[:, None, None], moved / moved.sum(axis=(1, 2), keepdims=True), state)
+    return state
+
+
 def pair_counts(ahead: np.ndarray, gamma: np.ndarray, steps: np.ndarray, time: np.ndarray, seq: np.ndarray) -> np.ndarray:
     """Expected number of steps between each two labels; (time, seq) are the words that follow another."""
     joint = ahead[time - 1, seq][:, :, None] * np.exp(steps)[None]
@@ -126,7 +152,7 @@ class Crf:
         rng = np.random.default_rng(seed)
         labels = sorted({lang for _, lang in documents})
         of = {lang: i for i, lang in enumerate(labels)}
-        split = [([x for w in text.encode().split() if (x := letters(w))], of[lang]) for text, lang in documents]
+        split = [(tokens(text.encode()), of[lang]) for text, lang in documents]
         split = [(w, k) for w, k in split if w]
         counts = Counter(x for w, _ in split for x in set(w))
         lexicon = {w: i for i, w in enumerate(sorted((w for w, c in counts.items() if c >= 5), key=lambda w: (-counts[w], w))[:lexicon_size])}
@@ -174,75 +200,141 @@ class Crf:
             p[where] -= rate * g / np.sqrt(s[where])
 
 
-def fit_languages(docs: DataFrame, most: int = 1500, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
-    """Fits on at most ``most`` documents with a language outside the held-out fold: those with the least hash of the id.
+def excerpt(text: bytes, stretches: int, size: int, seed: int) -> str:
+    """The text's tokens, or if it has more than ``stretches`` of ``size`` tokens, so many stretches from anywhere in it."""
+    found = tokens(text)
+    if len(found) > stretches * size:
+        starts = np.random.default_rng(seed).integers(0, len(found) - size + 1, stretches).tolist()
+        found = [x for at in starts for x in found[at : at + size]]
+    return " ".join(found)
+
 
-    Each text of the sample is cut at 2,000 words, so the driver holds a bounded
-    amount. Prediction reads whole texts.
+def fit_languages(
+    docs: DataFrame, most: int = 400, stretches: int = 12, size: int = 25, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> Crf:
+    """Fits on at most ``most`` documents of each language outside the held-out fold: those with the least hash of the id.
+
+    So a rare language is learned too. Of each document the driver gets
+    ``stretches`` stretches of ``size`` tokens, each from anywhere in the whole
+    text, or all of it if it has no more.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(fold(id_col, folds) != held_fold, F.lit(False)))
-    # a share that leaves some more than enough, so that sorting sees few rows
-    n = known.count()
-    share = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 3 * most / max(1, n))) + 1
-    cut = F.array_join(F.slice(F.split(F.col(text_col), r"[\x20\x09-\x0D]+", 2001), 1, 2000), " ")
-    rows = known.where(share).select(F.xxhash64(id_col, F.lit(1)).alias("h"), F.col(lang_col).alias("lang"), cut.alias("text"))
-    sample = rows.orderBy("h", "lang", "text").limit(most).toArrow()
+    known = known.select(F.xxhash64(id_col, F.lit(1)).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = small_or_stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    # a share that leaves some more than enough of each language, so that few texts are read into Python
+    share = F.pmod("h", F.lit(1 << 20)) <= F.lit(3.0 * most * (1 << 20)) / F.col("n")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, values = batch.column(0).to_pylist(), texts(batch, "text")
+            for a, b in blocks(values, 1 << 20):
+                own = [excerpt(v, stretches, size, h & 0xFFFFFFFF) for h, v in zip(hashes[a:b], values[a:b], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(own, pa.string())], names=["h", "lang", "text"])
+
+    rows = known.join(counts, "lang").where(share).select("h", "lang", "text").mapInArrow(cut, "h bigint, lang string, text string")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    sample = rows.withColumn("rank", rank).where(F.col("rank") <= most).select("h", "lang", "text").toArrow().sort_by([("h", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     return Crf.fit(list(zip(sample.column("text").to_pylist(), sample.column("lang").to_pylist(), strict=True)))
 
 
 class _Words:
-    """Emissions of the words that a task has met, up to a bound; the worker keeps nothing for the next task."""
+    """Emissions of the tokens that a task has met, up to a bound; the worker keeps nothing for the next task."""
 
     def __init__(self, crf: Crf, most: int = 500_000):
         self.crf, self.most = crf, most
-        self.number, self.rows = {}, np.zeros((1024, len(crf.labels) + 1), np.float32)
+        #: for each word the row of its one token, -1 if it has none, or -2 and less for the place of several in ``long``
+        self.number: dict[bytes, int] = {}
+        self.long: list[np.ndarray] = []
+        self.rows, self.used = np.zeros((1024, len(crf.labels)), np.float32), 0
 
     def age(self) -> None:
-        if len(self.number) > self.most:
+        if self.used > self.most:
             self.number.clear()
+            self.long.clear()
+            self.used = 0
 
     def of(self, values: list[bytes]) -> list[np.ndarray]:
-        """Row numbers of each text's words that have letters."""
+        """Row numbers of each text's tokens."""
         split = [v.split() for v in values]
         if new := [w for w in set().union(*split) if w not in self.number]:
-            first, plain = len(self.number), [letters(w) for w in new]
-            self.number.update(zip(new, range(first, first + len(new)), strict=True))
-            while len(self.rows) < len(self.number):
+            flat: list[str] = []
+            for w in new:
+                own = letters(w)
+                at = self.used + len(flat)
+                flat += own
+                self.number[w] = at if len(own) == 1 else -1
+                if len(own) > 1:
+                    self.long.append(np.arange(at, at + len(own), dtype=np.int32))
+                    self.number[w] = -1 - len(self.long)
+            while len(self.rows) < self.used + len(flat):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            own = self.rows[first : first + len(new)]
-            own[:, :-1] = self.crf.emissions(plain)
-            own[:, -1] = [bool(p) for p in plain]
+            self.rows[self.used : self.used + len(flat)] = self.crf.emissions(flat)
+            self.used += len(flat)
         out = []
         for words in split:
             ids = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
-            out.append(ids[self.rows[ids, -1] > 0])
+            if len(ids) and ids.min() < -1:
+                ids = np.concatenate([self.long[-2 - i] if i < -1 else np.array([i], np.int32) for i in ids.tolist()])
+            out.append(ids[ids >= 0])
         return out
 
 
-def _predict(crf: Crf, rows: np.ndarray, ids: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
-    """Label and score of each text.
-
-    Chains of like length run together. A text of over SPAN words is labelled
-    in stretches that also see OVERLAP words on either side, beyond which a
-    word's label no longer depends on others to any digit that matters.
-    """
-    parts = [(i, max(0, a - OVERLAP), a, min(len(x), a + SPAN), min(len(x), a + SPAN + OVERLAP)) for i, x in enumerate(ids) for a in range(0, len(x), SPAN)]
-    parts.sort(key=lambda p: p[4] - p[1])
-    sums, at = np.zeros((len(ids), len(crf.labels))), 0
-    while at < len(parts):
-        least, end = parts[at][4] - parts[at][1], at + 1
-        while end < len(parts) and (size := parts[end][4] - parts[end][1]) <= 1.25 * least + 4 and (end - at + 1) * size <= 400_000:
+def _like_sized(parts: list[tuple[int, int, int]], most: int) -> Iterator[list[int]]:
+    """Numbers of parts (text, start, end) of like length, that together take no more than about ``most`` words when padded."""
+    order = sorted(range(len(parts)), key=lambda p: parts[p][2] - parts[p][1])
+    at = 0
+    while at < len(order):
+        least, end = parts[order[at]][2] - parts[order[at]][1], at + 1
+        while end < len(order) and (size := parts[order[end]][2] - parts[order[end]][1]) <= 1.25 * least + 4 and (end - at + 1) * size <= most:
             end += 1
-        own = parts[at:end]
-        sizes = np.array([p[4] - p[1] for p in own])
-        padded = np.zeros((int(sizes.max()), len(own), len(crf.labels)), np.float32)
-        for k, (i, first, _, _, last) in enumerate(own):
-            padded[: sizes[k], k] = rows[ids[i][first:last], :-1]
-        _, gamma = forward_backward(padded, crf.steps.astype(np.float32), crf.start.astype(np.float32), sizes)
-        time = np.arange(len(padded))[:, None]
-        inside = (time >= np.array([p[2] - p[1] for p in own])) & (time < np.array([p[3] - p[1] for p in own]))
-        np.add.at(sums, [p[0] for p in own], (gamma * inside[:, :, None]).sum(axis=0, dtype=np.float64))
+        yield order[at:end]
         at = end
+
+
+def _padded(rows: np.ndarray, ids: list[np.ndarray], parts: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([b - a for _, a, b in parts])
+    out = np.zeros((int(sizes.max()), len(parts), rows.shape[1]), np.float32)
+    for k, (i, a, b) in enumerate(parts):
+        out[: b - a, k] = rows[ids[i][a:b]]
+    return out, sizes
+
+
+def _messages(crf: Crf, rows: np.ndarray, ids: list[np.ndarray], parts: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """What reaches each part of a text from before and from behind."""
+    k = len(crf.labels)
+    before, after = np.full((len(parts), k), np.nan), np.ones((len(parts), k))
+    cut = [p for p, (i, a, b) in enumerate(parts) if b - a < len(ids[i])]
+    through = np.zeros((len(parts), k, k))
+    for group in _like_sized([parts[p] for p in cut], 100_000):
+        own = [cut[g] for g in group]
+        scores, sizes = _padded(rows, ids, [parts[p] for p in own])
+        through[own] = transfers(scores, crf.steps, sizes, np.array([parts[p][1] == 0 for p in own]))
+    for p in cut:
+        if parts[p][1] == 0:
+            message = np.exp(crf.start - crf.start.max())
+        else:
+            before[p] = message
+        message = message @ through[p]
+        message = message / message.sum()
+    for p in reversed(cut):
+        if parts[p][2] == len(ids[parts[p][0]]):
+            message = np.ones(k)
+        after[p] = message
+        message = through[p] @ message
+        message = message / message.sum()
+    return before, after
+
+
+def _predict(crf: Crf, rows: np.ndarray, ids: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """Label and score of each text. Chains of like length run together; longer ones than SPAN are cut, with the messages across the cuts."""
+    parts = [(i, a, min(len(x), a + SPAN)) for i, x in enumerate(ids) for a in range(0, len(x), SPAN)]
+    before, after = _messages(crf, rows, ids, parts)
+    sums = np.zeros((len(ids), len(crf.labels)))
+    for own in _like_sized(parts, 400_000):
+        padded, sizes = _padded(rows, ids, [parts[p] for p in own])
+        _, gamma = forward_backward(padded, crf.steps.astype(np.float32), crf.start.astype(np.float32), sizes, before[own], after[own])
+        inside = np.arange(len(padded))[:, None] < sizes
+        np.add.at(sums, [parts[p][0] for p in own], (gamma * inside[:, :, None]).sum(axis=0, dtype=np.float64))
     total = sums.sum(axis=1)
     mean = sums / np.maximum(total, 1)[:, None]
     names = [crf.labels[k] if t > 0 else UNKNOWN for k, t in zip(mean.argmax(axis=1).tolist(), total.tolist(), strict=True)]
@@ -252,10 +344,12 @@ def _predict(crf: Crf, rows: np.ndarray, ids: list[np.ndarray]) -> tuple[list[st
 def identify(docs: DataFrame, crf: Crf, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (0 to 1), after any columns to ``keep``; ``with_text``, then text_.
 
-    Every word with letters of the whole text is labelled by forward-backward;
+    Every word with letters of the whole text is labelled by forward-backward
+    (a word of over LETTERS letters as several tokens);
     the language is the one with the largest mean probability, which is the
     score (ties: the first by name). Features are n-grams, affixes and a lexicon,
-    all of the text alone.
+    all of the text alone. Very long texts are one chain like others, and take
+    memory in proportion to their words.
 
     Null texts and texts without a letter are ``und`` with score 0. A model that
     has seen no language calls every text ``und``, with one language it is always

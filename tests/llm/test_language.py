@@ -31,7 +31,8 @@ def test_forward_backward_against_enumeration():
 
 
 def test_features():
-    assert letters("L'Été,3!".encode()) == "lété" and letters(b"12|") == "" and len(letters(b"x" * 500)) == 30
+    assert letters("L'Été,3!".encode()) == ["lété"] and letters(b"12|") == [] and "".join(letters(b"ab" * 250)) == "ab" * 250
+    assert max(map(len, letters(b"x" * 500))) == 30
     row, feature, value = features(["ab", "", "ab", "abcd"], {"ab": 7})
     by = [sorted(zip(feature[row == i].tolist(), value[row == i].round(6).tolist(), strict=True)) for i in range(4)]
     assert by[0] == by[2] and by[0] != by[3] and feature.max() == (1 << 16) + 7
@@ -43,20 +44,97 @@ def test_labels_words_in_switched_text():
     text = lambda k, n: " ".join("".join(rng.choice(parts[k], 3)) for _ in range(n))
     crf = Crf.fit([(text(k, 60), k) for _ in range(60) for k in parts])
     words = (text("aa", 12) + " " + text("bb", 12)).split()
-    _, gamma = forward_backward(crf.emissions([letters(w.encode()) for w in words])[:, None, :], crf.steps, crf.start, np.array([24]))
+    _, gamma = forward_backward(crf.emissions([x for w in words for x in letters(w.encode())])[:, None, :], crf.steps, crf.start, np.array([24]))
     assert gamma[:, 0].argmax(axis=1).tolist() == [0] * 12 + [1] * 12
     assert crf.steps.trace() > crf.steps.sum() - crf.steps.trace()
 
 
-def test_long_texts_in_stretches(monkeypatch):
+def test_cut_chains_are_labelled_as_whole_ones(monkeypatch):
     rng = np.random.default_rng(3)
-    crf = Crf(["a", "b", "c"], {}, np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
-    rows = np.concatenate([rng.normal(size=(50, 3)), np.ones((50, 1))], axis=1).astype(np.float32)
-    ids = [rng.integers(0, 50, n) for n in (0, 1, 700, 90, 333)]
+    crf = Crf(["a", "b", "c"], {}, np.zeros((1, 3)), 3 * rng.normal(size=(3, 3)), rng.normal(size=3))
+    rows = rng.normal(size=(50, 3)).astype(np.float32)
+    ids = [rng.integers(0, 50, n) for n in (0, 1, 700, 90, 333, 7)]
     names, scores = language._predict(crf, rows, ids)
-    monkeypatch.setattr(language, "SPAN", 100)
-    again, near = language._predict(crf, rows, ids)
-    assert names == again and names[0] == "und" and scores[0] == 0 and np.allclose(scores, near, atol=1e-6)
+    for span in (100, 3, 1):
+        monkeypatch.setattr(language, "SPAN", span)
+        again, near = language._predict(crf, rows, ids)
+        assert names == again and names[0] == "und" and scores[0] == 0 and np.allclose(scores, near, atol=1e-6)
+
+
+def plain(crf, text):
+    """The language of one text, read off the definition: every path's weight for each word, by plain sums."""
+    words = [x for w in text.split(" ") for x in letters(w.encode())]
+    if not words:
+        return "und", 0.0
+    own = np.exp(crf.emissions(words))
+    k, ahead, behind = len(crf.labels), [], [np.ones(len(crf.labels))]
+    for t, e in enumerate(own):
+        now = [e[j] * (np.exp(crf.start[j]) if not t else sum(ahead[-1][i] * np.exp(crf.steps[i, j]) for i in range(k))) for j in range(k)]
+        ahead.append(np.array(now) / sum(now))
+    for e in own[:0:-1]:
+        now = [sum(np.exp(crf.steps[i, j]) * e[j] * behind[-1][j] for j in range(k)) for i in range(k)]
+        behind.append(np.array(now) / sum(now))
+    each = [a * b / (a * b).sum() for a, b in zip(ahead, behind[::-1], strict=True)]
+    mean = np.mean(each, axis=0)
+    return crf.labels[int(mean.argmax())], mean.max()
+
+
+def test_table_equals_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    crf = fit_languages(docs, most=60)
+    out = {r.doc_id: r for r in identify(docs, crf).collect()}
+    for r in docs.limit(40).collect():
+        name, score = plain(crf, (r.text or "").replace("\n", " ").replace("\t", " "))
+        assert out[r.doc_id].lang_pred == name and np.isclose(out[r.doc_id].score, score, atol=1e-4)
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """One step's gradients against differences of the log-likelihood."""
+    rng = np.random.default_rng(2)
+    crf = Crf(["a", "b"], {"abc": 0}, 0.1 * rng.normal(size=((1 << 16) + 1, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    batch = [(["abc", "xy", "abc"], [0, 1, 1]), (["q", "xy"], [1, 0])]
+
+    def loss():
+        total = 0.0
+        for words, gold in batch:
+            own, weight = crf.emissions(words), {}
+            for path in itertools.product(range(2), repeat=len(words)):
+                weight[path] = crf.start[path[0]] + sum(own[t, k] for t, k in enumerate(path)) + sum(crf.steps[a, b] for a, b in itertools.pairwise(path))
+            total += np.logaddexp.reduce(list(weight.values())) - weight[tuple(gold)]
+        return total / len(batch)
+
+    before = [p.copy() for p in (crf.weights, crf.steps, crf.start)]
+    squares = [np.full_like(p, 1e12) for p in before]  # so that a step is the gradient, scaled
+    crf._step(batch, squares, rate=1e6)
+    steps = [b - p for b, p in zip(before, (crf.weights, crf.steps, crf.start), strict=True)]
+    for p, b in zip((crf.weights, crf.steps, crf.start), before, strict=True):
+        p[:] = b
+    used = features(["abc", "xy", "q"], crf.lexicon)[1][::3]
+    for p, step, places in ((crf.weights, steps[0], [(int(f), k) for f in used for k in range(2)]), (crf.steps, steps[1], list(np.ndindex(2, 2))), (crf.start, steps[2], [(0,), (1,)])):
+        for at in places:
+            p[at] += 1e-5
+            up = loss()
+            p[at] -= 2e-5
+            down = loss()
+            p[at] += 1e-5
+            assert np.isclose((up - down) / 2e-5, step[at], atol=1e-4)
+
+
+def test_middles_of_words_and_tails_of_texts_count(spark):
+    rng = np.random.default_rng(8)
+    parts = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "rz", "et"]}
+    words = lambda k, n: ["".join(rng.choice(parts[k], 3)) for _ in range(n)]
+    rows = [(i, " ".join(words(k, 60)), k) for i, k in enumerate(["aa", "bb"] * 100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    crf = fit_languages(docs)
+    glued = "".join(words("aa", 3) + words("bb", 400) + words("aa", 3))
+    out = identify(spark.createDataFrame([(1, glued), (2, "".join(words("aa", 300)))], "doc_id bigint, text string"), crf).collect()
+    assert {r.doc_id: r.lang_pred for r in out} == {1: "bb", 2: "aa"}
+    # a language that shows only behind thousands of neutral words, and a rare one
+    long = [(1000 + i, " ".join(["x"] * 5000 + words("bb", 5000)), "cc") for i in range(8)]
+    more = fit_languages(docs.union(spark.createDataFrame(long, docs.schema)))
+    assert "cc" in more.labels
+    assert any(x in more.lexicon for x in {w for _, t, _ in long for w in t.split()[5000:]})
 
 
 def test_held_out_accuracy(spark):
