@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.llm.shared import blocks, texts
 
-#: Dimensions of a vector (64: six bits of a hash choose one), and how many of them a word's index vector sets.
+#: Dimensions of a vector (64: six bits of a hash choose one), and how many of them a term's index vector sets.
 DIMS, SET = 64, 8
+#: Rows of the context table (a word's row is chosen by its hash), how many dimensions a neighbour sets, and how far neighbours reach.
+ROWS, SET_NEAR, REACH = 1 << 14, 4, 2
+#: Most characters of one unit; longer words are several.
+UNIT = 64
+#: Parts of the context table that travel by themselves.
+SLICES = 64
 _PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -36,62 +43,136 @@ def index_vectors(found: list[str]) -> np.ndarray:
     return out
 
 
+def units(text: bytes) -> list[bytes]:
+    """The text's words, those of over UNIT characters as consecutive parts."""
+    words = text.split()
+    if max(map(len, words), default=0) <= UNIT:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= UNIT:
+            out.append(w)
+        else:
+            long = w.decode()
+            out += [long[i : i + UNIT].encode() for i in range(0, len(long), UNIT)]
+    return out
+
+
 def terms(word: str) -> list[str]:
-    """What a word is made of: its lower-cased parts, its shape and its marks."""
+    """What a unit is made of: its lower-cased parts, their shapes, and its runs of marks (which ones, and about how many)."""
     out = []
-    for part in _PARTS.findall(word):
+    for part in [word] if word.isalpha() else _PARTS.findall(word):
         if part.isalpha():
             out += [part.lower(), "\\shape:" + ("U" if part.isupper() and len(part) > 1 else "C" if part[0].isupper() else "l")]
+        elif part.isdigit():
+            out.append("\\digits")
         else:
-            out.append("\\digits" if part.isdigit() else "\\marks:" + part[:4])
+            out.append(f"\\marks:{part if len(part) == 1 else ''.join(sorted(set(part)))}:{len(part).bit_length()}")
     return out or ["\\other"]
 
 
-@dataclass
-class WordVectors:
-    """Index vectors, and context vectors of the terms met in the sample."""
+class Rows(dict):
+    """The row of the context table for each unit, by its hash without the marks around it and without regard to case."""
 
-    number: dict[str, int]
-    context: np.ndarray
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh32_intdigest(word.strip(b".,;:!?\"'()[]").lower()) & (ROWS - 1)
+        return value
+
+
+def _near_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the index vectors that stand for a row when it is a neighbour."""
+    rng = np.random.default_rng(23)
+    return rng.integers(0, DIMS, (SET_NEAR, ROWS)), rng.choice(np.array([-1.0, 1.0]), (SET_NEAR, ROWS))
 
-    @staticmethod
-    def fit(documents: list[str], least: int = 3, most: int = 20_000, reach: int = 2) -> WordVectors:
-        """Adds up the index vectors of the neighbours of each of the ``most`` commonest terms met ``least`` times."""
-        split = [[t for w in d.split() for t in terms(w)] for d in documents]
-        counts = Counter(t for d in split for t in d)
-        vocabulary = sorted((t for t, n in counts.items() if n >= least), key=lambda t: (-counts[t], t))[:most]
-        number = {t: i for i, t in enumerate(vocabulary)}
-        index = np.concatenate([index_vectors(vocabulary), np.zeros((1, DIMS), np.float32)])
-        sums = np.zeros_like(index)
-        for at in range(0, len(split), 20):  # a few documents at a time, so that the vectors around their words stay few
-            ids = np.array([number.get(t, len(vocabulary)) for d in split[at : at + 20] for t in [*d, *[""] * reach]], np.int64)
-            around = np.zeros((len(ids), DIMS), np.float32)
-            for k in range(1, min(reach, len(ids) - 1) + 1):
-                around[:-k] += index[ids[k:]]
-                around[k:] += index[ids[:-k]]
-            order = np.argsort(ids, kind="stable")
-            present, starts = np.unique(ids[order], return_index=True)
-            if len(present):
-                sums[present] += np.add.reduceat(around[order], starts, axis=0)
-        sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-        sums[-1] = 0
-        return WordVectors(number, sums)
-
-    def of(self, words: list[str]) -> np.ndarray:
-        """A vector for each word: the index and context vectors of its terms, averaged."""
-        parts = [terms(w) for w in words]
-        at: dict[str, int] = {}
-        flat = np.array([at.setdefault(t, len(at)) for p in parts for t in p], np.int64)
-        rows = index_vectors(list(at)) + self.context[[self.number.get(t, -1) for t in at]]
-        sizes = np.array([len(p) for p in parts])
-        return np.add.reduceat(rows[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+
+def add_contexts(table: np.ndarray, documents: list[np.ndarray]) -> None:
+    """Adds to each row of the table (flat, ROWS * DIMS) the index vectors of its neighbours in documents, given as rows."""
+    places, signs = _near_vectors()
+    seq = np.concatenate([x for d in documents for x in (d, np.full(REACH, -1))]).astype(np.int64)
+    for k in range(1, REACH + 1):
+        both = (seq[:-k] >= 0) & (seq[k:] >= 0)
+        if k > 1:
+            both &= seq[1 : 1 - k] >= 0  # no reach from one document into the next
+        left, right = seq[:-k][both], seq[k:][both]
+        for own, other in ((left, right), (right, left)):
+            for at, sign in zip(places, signs, strict=True):
+                table += np.bincount(own * DIMS + at[other], sign[other], ROWS * DIMS)
+
+
+def fit_contexts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """(ROWS, DIMS): the direction of the sum of the neighbours' index vectors, over every word of every document.
+
+    Each task adds up a table of fixed size (8 MB); tables are summed by slices
+    in two shuffles, first within groups of tasks, as whole numbers. The driver
+    gets the ROWS * DIMS sums, whatever the corpus.
+    """
+    step = ROWS // SLICES
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, table, held, size = Rows(), np.zeros(ROWS * DIMS), [], 0
+        for batch in batches:
+            for text in texts(batch, text_col):
+                own = units(text)
+                held.append(np.fromiter(map(rows.__getitem__, own), np.int32, len(own)))
+                size += len(own)
+                if size > 1_000_000:
+                    add_contexts(table, held)
+                    held, size = [], 0
+                    if len(rows) > 500_000:
+                        rows.clear()
+        if held:
+            add_contexts(table, held)
+            table = table.astype("<i8").reshape(SLICES, -1)
+            used = np.flatnonzero(table.any(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), pa.array(np.full(len(used), TaskContext.get().partitionId() % 64), pa.int32()), pa.array([table[i].tobytes() for i in used], pa.binary())],
+                names=["slice", "salt", "sums"],
+            )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums over (slice, salt); a task has at most SLICES * 64 of these, of 128 kB each, in order."""
+        last, total = None, None
+        for batch in batches:
+            for key, salt, sums in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                if last != (key, salt):
+                    if last:
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((last[0], pa.int32()), (last[1], pa.int32()), (total.tobytes(), pa.binary()))], names=["slice", "salt", "sums"])
+                    last, total = (key, salt), np.zeros(step * DIMS, "<i8")
+                total += np.frombuffer(sums, "<i8")
+        if last:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((last[0], pa.int32()), (last[1], pa.int32()), (total.tobytes(), pa.binary()))], names=["slice", "salt", "sums"])
+
+    kinds = "slice int, salt int, sums binary"
+    found = docs.select(text_col).mapInArrow(gather, kinds)
+    for salt in (F.col("salt"), F.lit(0)):
+        found = found.withColumn("salt", salt).repartition("slice", "salt").sortWithinPartitions("slice", "salt").mapInArrow(add, kinds)
+    out = np.zeros((SLICES, step * DIMS))
+    for r in found.toArrow().to_pylist():
+        out[r["slice"]] = np.frombuffer(r["sums"], "<i8")
+    out = out.reshape(ROWS, DIMS)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def word_vectors(words: list[str], context: np.ndarray) -> np.ndarray:
+    """A vector for each unit: the mean of its terms' index vectors, plus its row of the context table."""
+    parts = [terms(w) for w in words]
+    at: dict[str, int] = {}
+    flat = np.array([at.setdefault(t, len(at)) for p in parts for t in p], np.int64)
+    index, sizes = index_vectors(list(at)), np.array([len(p) for p in parts])
+    starts = np.cumsum(sizes) - sizes
+    out, j = index[flat[starts]], 1
+    while len(more := np.flatnonzero(sizes > j)):
+        out[more] += index[flat[starts[more] + j]]
+        j += 1
+    rows = Rows()
+    return out / sizes[:, None].astype(np.float32) + context[[rows[w.encode()] for w in words]]
 
 
 class Pooler:
-    """Document features: the mean vector over running words, the mean over distinct words, and three sizes."""
+    """Document features: the mean vector over running units, the mean over distinct ones, and three sizes."""
 
-    def __init__(self, vectors: WordVectors, most: int = 200_000):
-        self.vectors, self.most = vectors, most
+    def __init__(self, context: np.ndarray, most: int = 200_000):
+        self.context, self.most = context, most
         self.known: dict[bytes, int] = {}
         self.rows = np.zeros((1024, DIMS), np.float32)
 
@@ -103,12 +184,14 @@ class Pooler:
             self.known.update(zip(new, range(first, first + len(new)), strict=True))
             while len(self.rows) < len(self.known):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[first : first + len(new)] = self.vectors.of([w[:200].decode(errors="ignore") for w in new])
+            for a in range(0, len(new), 20_000):
+                part = new[a : a + 20_000]
+                self.rows[first + a : first + a + len(part)] = word_vectors([w.decode() for w in part], self.context)
 
     def features(self, values: list[bytes]) -> np.ndarray:
         """One row per text, from all of its words; a text without words has zeros."""
         out = np.zeros((len(values), 2 * DIMS + 3), np.float32)
-        split = [v.split() for v in values]
+        split = [units(v) for v in values]
         self._learn(set().union(*split))
         sizes = np.array([len(s) for s in split], np.int64)
         if not sizes.sum():
@@ -125,6 +208,14 @@ class Pooler:
         return out
 
 
+def gradients(values: list[np.ndarray], x: np.ndarray, y: np.ndarray, decay: float) -> list[np.ndarray]:
+    """Of the mean cross-entropy plus half of ``decay`` times the squared weights, by the two layers' weights and offsets."""
+    hidden = np.maximum(x @ values[0] + values[1], 0)
+    error = (1 / (1 + np.exp(-np.clip(hidden @ values[2] + values[3], -30, 30))) - y) / len(x)
+    back = (error[:, None] * values[2]) * (hidden > 0)
+    return [x.T @ back + decay * values[0], back.sum(axis=0), hidden.T @ error + decay * values[2], np.array([error.sum()])]
+
+
 @dataclass
 class Network:
     """Two layers and a temperature."""
@@ -157,12 +248,8 @@ class Network:
         values, step = [net.w1, net.b1, net.w2, np.zeros(1)], 0
         for _ in range(epochs):
             for batch in np.array_split(rng.permutation(rest), max(1, len(rest) // 64)):
-                a, t = z[batch], y[batch]
-                h = np.maximum(a @ values[0] + values[1], 0)
-                d = (1 / (1 + np.exp(-np.clip(h @ values[2] + values[3], -30, 30))) - t) / len(batch)
-                back = (d[:, None] * values[2]) * (h > 0)
                 step += 1
-                for p, g, s in zip(values, (a.T @ back + decay * values[0], back.sum(axis=0), h.T @ d + decay * values[2], np.array([d.sum()])), state, strict=True):
+                for p, g, s in zip(values, gradients(values, z[batch], y[batch], decay), state, strict=True):
                     s[0] += 0.1 * (g - s[0])
                     s[1] += 0.001 * (g * g - s[1])
                     p -= 2e-3 * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.999**step)) + 1e-8)
@@ -179,60 +266,72 @@ class Network:
 
 @dataclass
 class QualityModel:
-    vectors: WordVectors
+    context: np.ndarray
     network: Network | None
     share: float
 
 
+def _pooled(rows: DataFrame, model: QualityModel, with_scores: bool) -> DataFrame:
+    """(id, mark, score) of (id, mark, text), or the texts' features (id, mark, x) themselves."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pooler, network = Pooler(held.value.context), held.value.network
+        for batch in batches:
+            values = texts(batch, "text")
+            for a, b in blocks(values, 1 << 20):
+                x = pooler.features(values[a:b])
+                if with_scores:
+                    out = pa.array((network.scores(x) if network else np.full(b - a, held.value.share)).astype(np.float64))
+                else:
+                    out = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), out], names=["id", "mark", "out"])
+
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("id", "mark")]
+    return rows.mapInArrow(run, f"id {kinds[0]}, mark {kinds[1]}, out {'double' if with_scores else 'array<float>'}")
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 6000, folds: int = 5, held_fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Fits on at most ``most`` labelled documents outside the held-out fold: those with the least hash of the id.
+    """Fits the word vectors on all documents, and the network on at most ``most`` labels outside the held-out fold.
 
-    Each text of the sample is cut at 4,000 words, so the driver holds a bounded
-    amount. Scoring reads whole texts.
+    The labels taken are those with the least hash of the id; of an id that
+    repeats among the documents, the text with the least hash. Their whole texts
+    are pooled where they lie, so the driver gets ``most`` rows of features.
     """
-    own = labels.where(F.col("quality").isin(0, 1) & (fold(id_col, folds) != held_fold)).select(F.col(id_col).alias("id"), "quality")
-    own = own.orderBy(F.xxhash64("id"), "id", "quality").limit(most)
-    cut = F.array_join(F.slice(F.split(F.col("text"), r"[\x20\x09-\x0D]+", 4001), 1, 4000), " ")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id")
-    sample = rows.select("id", cut.alias("text"), "quality").limit(2 * most).toArrow().sort_by([("id", "ascending"), ("text", "ascending"), ("quality", "ascending")])
-    written = [t or "" for t in sample.column("text").to_pylist()]
-    y = sample.column("quality").to_numpy().astype(np.float64)
-    share = float(y.mean()) if len(y) else 0.5
-    vectors = WordVectors.fit(written[:: max(1, len(written) // 1000)])
-    if len(set(y.tolist())) < 2:
-        return QualityModel(vectors, None, share)
-    pooler, encoded = Pooler(vectors, 50_000), [t.encode() for t in written]
-    x = np.concatenate([pooler.features(encoded[a:b]) for a, b in blocks(encoded, 1 << 20)])
-    return QualityModel(vectors, Network.fit(x.astype(np.float64), y), share)
+    own = labels.where(F.col("quality").isin(0, 1) & (fold(id_col, folds) != held_fold)).select(F.col(id_col).alias("id"), F.col("quality").alias("mark"))
+    own = own.orderBy(F.xxhash64("id"), "id", "mark").limit(most)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(own.distinct()), "id")
+    first = F.row_number().over(Window.partitionBy("id", "mark").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("n", first).where(F.col("n") == 1).select("id", "mark", "text")
+    model = QualityModel(fit_contexts(docs, text_col), None, 0.5)
+    sample = _pooled(rows, model, with_scores=False).toArrow().sort_by([("id", "ascending"), ("mark", "ascending")])
+    y = sample.column("mark").to_numpy().astype(np.float64)
+    if len(y):
+        model.share = float(y.mean())
+    if len(set(y.tolist())) == 2:
+        x = sample.column("out").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+        model.network = Network.fit(x.astype(np.float64), y)
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 0) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= ``threshold``).
 
     The score depends on the text alone. Words get random-indexing vectors (a
-    random index vector, plus the context gathered in the sample where it was
-    met), pooled per document over the whole text, and a two-layer network with
-    a temperature gives the probability. Without labels of both kinds the score
-    is the share of label 1 (0.5 if there is none).
-
-    Null text counts as empty. Each row is scored for itself; null ids are not
-    held out. Other columns are ignored. An empty table gives no rows.
+    random index vector, plus the context gathered over the whole corpus),
+    pooled per document over the whole text, and a two-layer network with a
+    temperature gives the probability. Words of over UNIT characters, such as
+    texts without spaces, are several units, all of which count. Without labels
+    of both kinds the score is the share of label 1 (0.5 if there is none).
+
+    Null text counts as empty. Each row is scored for itself, so equal texts
+    have equal scores; null ids are not held out. A very long text is pooled in
+    one go, with memory in proportion to its words. Other columns are ignored.
+    An empty table gives no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pooler, network = Pooler(held.value.vectors), held.value.network
-        for batch in batches:
-            values = texts(batch, "text")
-            for a, b in blocks(values, 1 << 20):
-                x = pooler.features(values[a:b])
-                scores = network.scores(x) if network else np.full(b - a, held.value.share)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(scores.astype(np.float64))], names=["id", "held_out", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(fold(id_col, folds) == held_fold, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(run, f"id {kind}, held_out boolean, score double")
-    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(fold(id_col, folds) == held_fold, F.lit(False)).alias("mark"), F.col(text_col).alias("text"))
+    scored = _pooled(rows, model, with_scores=True)
+    return scored.select(F.col("id").alias(id_col), F.col("mark").alias("held_out"), F.col("out").alias("score"), (F.col("out") >= threshold).cast("int").alias("predicted"))
 
 
 def crc_fold(doc_id: int, n: int) -> int:
