@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.shared import TwoGenerations, blocks, texts
+from ledgerloom.llm.shared import TwoGenerations, blocks, stored, texts
 
 #: A word of letters that lower-case one to one and are composed already, then marks of one pre-token.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!|%$&#*;:?]*)")
@@ -91,118 +91,207 @@ def _word_ids(path: str, most: int) -> WordIds:
     return WordIds(path, most)
 
 
-def differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Deals items to ``k`` windows of near-equal sums by multiway differencing.
+def differencing(sizes: list[int], k: int) -> np.ndarray:
+    """The window (of ``k``) of each item, by multiway differencing: windows of near-equal sums.
 
     Each item begins as a partial partition with one used window. The two
     partitions with the widest spread are merged time and again, the fullest
     windows of one with the emptiest of the other, so that their imbalances
-    cancel. Returns the item numbers of each window.
+    cancel.
     """
-    if not sizes:
-        return [[] for _ in range(k)]
-    heap = []
-    for i, n in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[-1] = n
-        heap.append((-n, i, sums, [()] * (k - 1) + [(i,)]))
+    out = np.zeros(len(sizes), np.int64)
+    if k == 1 or not sizes:
+        return out
+    sums: list[np.ndarray | None] = []
+    for n in sizes:
+        sums.append(np.zeros(k, np.int64))
+        sums[-1][-1] = n
+    heap = [(-n, i) for i, n in enumerate(sizes)]
     heapq.heapify(heap)
-    count = len(sizes)
+    merges = []
     while len(heap) > 1:
-        _, _, a, own = heapq.heappop(heap)
-        _, _, b, other = heapq.heappop(heap)
-        sums = a + b[::-1]
-        order = np.argsort(sums, kind="stable")
-        sums, merged = sums[order], [x + y for x, y in zip(own, reversed(other), strict=True)]
-        sums -= sums[0]
-        heapq.heappush(heap, (-int(sums[-1]), count, sums, [merged[j] for j in order]))
-        count += 1
-    return [list(x) for x in heap[0][3]]
-
-
-def fill(pieces: list[tuple[int, int, int]], capacity: int, cuts: bool) -> list[list[tuple[int, int, int]]]:
-    """Windows of (document, start, length) pieces, none over capacity.
-
-    As few windows as the total needs, made near equal by differencing. What
-    lies over capacity is cut off and moved to windows with room; without
-    ``cuts`` the number of windows rises until nothing is over.
+        a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
+        both = sums[a] + sums[b][::-1]
+        order = both.argsort(kind="stable")
+        both = both[order]
+        both -= both[0]
+        heapq.heappush(heap, (-int(both[-1]), len(sums)))
+        sums.append(both)
+        sums[a] = sums[b] = None
+        merges.append((a, b, order))
+    # from the last merge back to the items: which window each place of a partition has become
+    window: dict[int, np.ndarray] = {heap[0][1]: np.arange(k)}
+    for at in range(len(merges) - 1, -1, -1):
+        a, b, order = merges[at]
+        own = np.empty(k, np.int64)
+        own[order] = window.pop(len(sizes) + at)
+        window[a], window[b] = own, own[::-1]
+    for i in range(len(sizes)):
+        out[i] = window[i][-1]
+    return out
+
+
+#: A piece is (key of a text, start, length); an item is a list of pieces that stay together unless cut.
+Item = list[tuple[int, int, int]]
+
+
+def size_of(item: Item) -> int:
+    return sum(p[2] for p in item)
+
+
+def cut(item: Item, at: int) -> tuple[Item, Item]:
+    """The item's first ``at`` tokens, and the others."""
+    left, right = [], []
+    for key, start, n in item:
+        own = min(n, at)
+        at -= own
+        if own:
+            left.append((key, start, own))
+        if own < n:
+            right.append((key, start + own, n - own))
+    return left, right
+
+
+def fill(items: list[Item], capacity: int, cuts: bool, padding: float = 1 / 80) -> list[Item]:
+    """Windows, none over capacity, made near equal by differencing.
+
+    The number of windows begins at what the total needs and rises by one
+    whenever a window is over capacity. With ``cuts`` it stops rising where more
+    than a share of ``padding`` would stay empty; then the
+    longest items are cut in halves instead, until all fits.
     """
-    sizes = [p[2] for p in pieces]
-    k = max(1, -(-sum(sizes) // capacity))
+    sizes = [size_of(x) for x in items]
+    total = sum(sizes)
+    k = max(1, -(-total // capacity))
+    most = max(k, int(total * (1 + padding) / capacity))
     while True:
-        dealt = differencing(sizes, k)
-        if cuts or max(sum(sizes[i] for i in w) for w in dealt) <= capacity:
+        window = differencing(sizes, k)
+        if np.bincount(window, sizes, k).max(initial=0) <= capacity:
             break
-        k += 1
-    windows, loose = [], []
-    for items in dealt:
-        window, used = [], 0
-        for i in sorted(items, key=lambda i: -sizes[i]):
-            doc, start, n = pieces[i]
-            fits = min(n, capacity - used)
-            if fits:
-                window.append((doc, start, fits))
-            if fits < n:
-                loose.append((doc, start + fits, n - fits))
-            used += fits
-        windows.append((used, window))
-    for used, window in sorted(windows, key=lambda w: w[0]):
-        while loose and used < capacity:
-            doc, start, n = loose.pop()
-            fits = min(n, capacity - used)
-            window.append((doc, start, fits))
-            used += fits
-            if fits < n:
-                loose.append((doc, start + fits, n - fits))
-    return [w for _, w in windows if w]
+        if not cuts or k < most:
+            k += 1
+            continue
+        limit = max(sizes) // 2
+        items = [x for item, n in zip(items, sizes, strict=True) for x in (cut(item, -(-n // 2)) if n > limit else (item,)) if x]
+        sizes = [size_of(x) for x in items]
+    out: list[Item] = [[] for _ in range(k)]
+    for item, w in zip(items, window.tolist(), strict=True):
+        out[w] += item
+    return [w for w in out if w]
 
 
 class _Packer:
-    """Windows of one task, in groups that are closed one after another."""
+    """Windows of one task, in groups that are closed one after another.
+
+    Groups are planned with a little room (1/256 of each window), so that
+    differencing seldom has to be done twice. Pieces of fewer than 1/64 of a
+    window are put together to items of that size first, which bounds the items
+    of a group.
+    """
 
-    def __init__(self, capacity: int, group: int, cuts: bool, with_ids: bool, base: int):
-        self.capacity, self.group, self.cuts, self.with_ids, self.next = capacity, group, cuts, with_ids, base
-        self.pieces, self.ids, self.total = [], {}, 0
+    def __init__(self, capacity: int, group: int, cuts: bool, base: int):
+        self.capacity, self.group, self.cuts, self.next = capacity, group, cuts, base
+        self.room, self.least = max(1, capacity - capacity // 256), max(1, capacity // 64)
+        self.items: list[Item] = []
+        self.small: Item = []
+        self.texts: dict[int, tuple] = {}
+        self.total = self.keys = 0
         self.rows: list[tuple] = []
 
-    def _emit(self, window: list[tuple[int, int, int]], of: dict) -> None:
+    def _emit(self, window: Item) -> None:
         at = 0
-        for doc, start, n in window:
-            doc_id, raw = of[doc]
-            part = raw[4 * start : 4 * (start + n)]
-            self.rows.append((doc_id, start, n, zlib.crc32(part), len(raw) // 4, self.next, at, *([part] if self.with_ids else [])))
+        for key, start, n in window:
+            doc_id, first, raw, tokens = self.texts[key]
+            self.rows.append((doc_id, first + start, n, raw[4 * start : 4 * (start + n)], tokens, self.next, at))
             at += n
         self.next += 1
 
-    def add(self, doc_id, raw: bytes) -> None:
-        n, full = len(raw) // 4, len(raw) // 4 // self.capacity
-        for i in range(full):
-            self._emit([(0, i * self.capacity, self.capacity)], {0: (doc_id, raw)})
-        if rest := n - full * self.capacity:
-            if self.total + rest > self.group * self.capacity:
-                self.close()
-            self.pieces.append((len(self.pieces), full * self.capacity, rest))
-            self.ids[len(self.pieces) - 1] = (doc_id, raw)
-            self.total += rest
-
-    def close(self) -> None:
-        if self.pieces:
-            for window in fill(self.pieces, self.capacity, self.cuts):
-                self._emit(window, self.ids)
-        self.pieces, self.ids, self.total = [], {}, 0
+    def _take(self, item: Item) -> None:
+        self.items.append(item)
+        self.total += size_of(item)
+
+    def add(self, doc_id, first: int, raw: bytes, tokens: int) -> None:
+        """Adds a stretch of a document's ids that begins with id number ``first``; ``tokens`` is the number of all its ids."""
+        n, key = len(raw) // 4, self.keys
+        self.keys += 1
+        whole = n - n % self.capacity
+        if whole:
+            self.texts[key] = (doc_id, first, raw, tokens)
+            for at in range(0, whole, self.capacity):
+                self._emit([(key, at, self.capacity)])
+        if not (n := n - whole):
+            self.texts.pop(key, None)
+            return
+        self.texts[key] = (doc_id, first + whole, raw[4 * whole :], tokens)
+        self.small.append((key, 0, n))
+        if (n if n >= self.least else size_of(self.small)) < self.least:
+            return
+        item, self.small = self.small, []
+        self._take(item)
+        while self.total >= (most := self.group * self.room):
+            rest: Item = []
+            if self.cuts and self.total > most:
+                last = self.items.pop()
+                self.total -= size_of(last)
+                last, rest = cut(last, most - self.total)
+                self._take(last)
+            self.close(self.items)
+            self.items, self.total = [], 0
+            held = {p[0] for p in rest}
+            self.texts = {k: v for k, v in self.texts.items() if k in held}
+            if rest:
+                self._take(rest)
+
+    def close(self, items: list[Item]) -> None:
+        if items:
+            for window in fill(items, self.capacity, self.cuts):
+                self._emit(window)
+
+    def rest(self) -> list[tuple]:
+        """Closes all windows that can be filled; returns (doc_id, start, length, ids, doc_tokens) of what is left, less than one window."""
+        if self.small:
+            self._take(self.small)
+            self.small = []
+        left = self.total % self.room
+        taken: list[Item] = []
+        while self.items and left:
+            item = self.items.pop()
+            part, over = cut(item, max(0, size_of(item) - left))
+            taken.append(over)
+            left -= size_of(over)
+            if part:
+                self.items.append(part)
+        self.close(self.items)
+        self.items, self.total = [], 0
+        out = []
+        for key, start, n in [p for item in taken for p in item]:
+            doc_id, first, raw, tokens = self.texts[key]
+            out.append((doc_id, first + start, n, raw[4 * start : 4 * (start + n)], tokens))
+        return out
+
+    def finish(self) -> None:
+        """Closes everything."""
+        if self.small:
+            self._take(self.small)
+        self.close(self.items)
+        self.items, self.small, self.texts, self.total = [], [], {}, 0
 
     def taken(self) -> list[tuple]:
         out, self.rows = self.rows, []
         return out
 
 
-def _lists(raw: tuple[bytes, ...]) -> pa.ListArray:
+def _lists(raw: list[bytes]) -> pa.ListArray:
     ends = np.cumsum([0, *[len(r) // 4 for r in raw]]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
 
 
+#: Tasks whose rests are packed together.
+TASKS = 256
+
+
 def pack(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group: int = 64, cuts: bool = True, with_ids: bool = True,
+    docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group: int = 128, cuts: bool = True, with_ids: bool = True,
     known_words: int = 600_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Packs every document, followed by ``end_id``, into windows of at most ``capacity`` tokens.
@@ -210,43 +299,73 @@ def pack(
     One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and, ``with_ids``, the token ids. Whole windows are cut
     off long documents first; the rests are dealt by differencing, ``group``
-    windows at a time, in the task that read them: no shuffle, and a task holds
-    one group of windows and a few MB of text. A worker keeps the ids of up to
-    twice ``known_words`` words (200 bytes each). Each task leaves less than one
-    window of padding at its end, each group on the way less than a document's
-    rest.
+    windows at a time, in the task that read them, and the number of windows
+    rises whenever one is over capacity (see ``fill``). What a task cannot fill
+    a window with goes to a second round, in which the rests of TASKS tasks meet
+    (at most that many windows), so padding does not depend on how the table is
+    partitioned. A task holds one group of windows and a few MB of text. A worker
+    keeps the ids of up to twice ``known_words`` words (200 bytes each). The
+    first round is stored. Without ``cuts`` only texts of over a window are cut.
 
     Null text counts as empty: a piece with the end token alone. Each row is
     packed for itself, so repeated rows and ids stay apart (by sequence_id and
-    offset); ids may be null. Other columns are ignored. An empty table gives no
-    rows.
+    offset); ids may be null. Equal lengths are dealt in the order of the rows.
+    The ids of a very long text are held in one piece of memory while it is cut.
+    Other columns are ignored. An empty table gives no rows.
     """
     kind = pa.int64() if isinstance(docs.schema[id_col].dataType, T.LongType) else None
+    ids = [T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []
     schema = T.StructType(
         [
             T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
             T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()),
-            T.StructField("offset", T.LongType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []),
+            T.StructField("offset", T.LongType()), *ids,
         ]
     )
+    first_schema = T.StructType([*schema.fields, T.StructField("rest", T.BinaryType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _word_ids(tokenizer_path, known_words), np.array([end_id], "<u4").tobytes()
-        packer = _Packer(capacity, group, cuts, with_ids, TaskContext.get().partitionId() << 32)
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if rows := packer.taken():
-                cols = list(zip(*rows, strict=True))
-                arrays = [pa.array(cols[0], kind), *[pa.array(c, pa.int64()) for c in cols[1:7]], *([_lists(cols[7])] if with_ids else [])]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+    def batch_of(rows: list[tuple], rest: bool = False) -> pa.RecordBatch:
+        """Of (doc_id, start, length, ids, doc_tokens, sequence_id, offset)."""
+        doc, start, n, raw, tokens, sequence, at = zip(*rows, strict=True)
+        arrays = [pa.array(doc, kind), *[pa.array(c, pa.int64()) for c in (start, n, [zlib.crc32(r) for r in raw], tokens, sequence, at)]]
+        if with_ids:
+            arrays.append(pa.nulls(len(rows), pa.list_(pa.int32())) if rest else _lists(raw))
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(raw if rest else [None] * len(rows), pa.binary())], names=first_schema.names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, end, task = _word_ids(tokenizer_path, known_words), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        packer = _Packer(capacity, group, cuts, task << 32)
         for batch in batches:
             keys, values = batch.column(0).to_pylist(), texts(batch, text_col)
             for a, b in blocks(values, 1 << 22):
                 for key, raw in zip(keys[a:b], words.of(values[a:b]), strict=True):
-                    packer.add(key, raw + end)
-                yield from out()
-        packer.close()
-        yield from out()
+                    packer.add(key, 0, raw + end, len(raw) // 4 + 1)
+                if rows := packer.taken():
+                    yield batch_of(rows)
+        left = packer.rest() if cuts else packer.finish()
+        if rows := packer.taken():
+            yield batch_of(rows)
+        if left:
+            yield batch_of([(*r, None, task // TASKS) for r in left], rest=True)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, last = None, None
+        for batch in batches:
+            for doc_id, start, raw, tokens, key in zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True):
+                if key != last:
+                    if packer:
+                        packer.finish()
+                        if rows := packer.taken():
+                            yield batch_of(rows).select(schema.names)
+                    packer, last = _Packer(capacity, group, cuts, (1 << 62) + (key << 32)), key
+                packer.add(doc_id, start, raw, tokens)
+            if packer and (rows := packer.taken()):
+                yield batch_of(rows).select(schema.names)
+        if packer:
+            packer.finish()
+            if rows := packer.taken():
+                yield batch_of(rows).select(schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    first = stored(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, first_schema), "packed")
+    rests = first.where(F.col("rest").isNotNull()).select(id_col, "start", "rest", "doc_tokens", "offset").repartition("offset").sortWithinPartitions("offset", id_col, "start")
+    return first.where(F.col("rest").isNull()).select(*schema.names).unionByName(rests.mapInArrow(again, schema))

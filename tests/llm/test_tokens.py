@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.packing import WordIds, differencing, fill, pack
+from ledgerloom.llm.packing import WordIds, cut, differencing, fill, pack
 from ledgerloom.llm.token_counts import _tokenizer, token_counts, units
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -34,20 +34,34 @@ def test_units_add_up(text):
 
 def test_differencing_is_near_equal():
     sizes = np.random.default_rng(0).integers(1, 1500, 200).tolist()
-    dealt = differencing(sizes, 16)
-    assert sorted(i for w in dealt for i in w) == list(range(200))
-    sums = [sum(sizes[i] for i in w) for w in dealt]
-    assert max(sums) - min(sums) < 0.02 * sum(sums) / 16
+    window = differencing(sizes, 16)
+    assert sorted(set(window.tolist())) == list(range(16))
+    sums = np.bincount(window, sizes)
+    assert sums.max() - sums.min() < 0.02 * sums.mean()
+    assert differencing([], 3).tolist() == [] and differencing([5, 5], 1).tolist() == [0, 0] and sorted(differencing([5, 5], 2).tolist()) == [0, 1]
+    assert sorted(np.bincount(differencing([8, 7, 6, 5, 4], 2), [8, 7, 6, 5, 4]).tolist()) == [14, 16]  # as worked out by hand
+
+
+def tokens_of(items):
+    return sorted((d, s + k) for x in items for d, s, n in x for k in range(n))
 
 
 @pytest.mark.parametrize("cuts", [True, False])
 def test_fill(cuts):
-    pieces = [(i, 0, n) for i, n in enumerate([60, 60, 60, 5, 5, 90, 100])]
-    windows = fill(pieces, 100, cuts)
-    assert all(0 < sum(p[2] for p in w) <= 100 for w in windows)
-    assert len(windows) == 4 if cuts else len(windows) > 4
-    covered = sorted((d, s + k) for w in windows for d, s, n in w for k in range(n))
-    assert covered == sorted((d, k) for d, _, n in pieces for k in range(n))
+    items = [[(i, 0, n)] for i, n in enumerate([60, 60, 60, 5, 5, 90, 100])]
+    windows = fill(items, 100, cuts)
+    assert all(0 < sum(p[2] for p in w) <= 100 for w in windows) and tokens_of(windows) == tokens_of(items)
+    assert len(windows) == (4 if cuts else 5)  # four windows hold the total, but only if something is cut
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        items = [[(i, 0, int(n))] for i, n in enumerate(rng.integers(1, 400, rng.integers(1, 60)))]
+        windows = fill(items, 400, cuts)
+        assert all(0 < sum(p[2] for p in w) <= 400 for w in windows) and tokens_of(windows) == tokens_of(items)
+        assert not cuts or len(windows) <= sum(x[0][2] for x in items) / 400 * (1 + 1 / 80) + 1
+
+
+def test_cut():
+    assert cut([(1, 5, 3), (2, 0, 4)], 4) == ([(1, 5, 3), (2, 0, 1)], [(2, 1, 3)]) and cut([(1, 0, 2)], 0) == ([], [(1, 0, 2)])
 
 
 def docs_of(spark, extra=()):
@@ -81,10 +95,19 @@ def test_pack_round_trip(spark):
     assert pack(docs.limit(0), WORD).count() == 0
 
 
-def test_pack_wastes_little(spark):
-    df = pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), WORD, with_ids=False)
+@pytest.mark.parametrize("partitions", [1, 16, 64, 211])
+def test_pack_wastes_little(spark, partitions):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    df = pack(docs.repartition(partitions, "doc_id"), WORD, with_ids=False)
     lengths = [r[0] for r in df.groupBy("sequence_id").sum("length").select("sum(length)").collect()]
-    assert sum(4096 - n for n in lengths) < 0.02 * 4096 * len(lengths)
+    assert 0 < max(lengths) <= 4096 and sum(4096 - n for n in lengths) < 0.02 * 4096 * len(lengths)
+
+
+def test_pack_many_empty_texts(spark):
+    """One-token documents are put together first, so a group stays small."""
+    out = pack(spark.range(0, 40_000, 1, 2).selectExpr("id as doc_id", "cast(null as string) as text"), WORD, with_ids=False)
+    sizes = [r[0] for r in out.groupBy("sequence_id").sum("length").select("sum(length)").collect()]
+    assert out.select("doc_id").distinct().count() == out.count() == sum(sizes) == 40_000 and len(sizes) == 10
 
 
 def test_token_counts(spark):
