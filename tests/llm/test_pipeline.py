@@ -69,6 +69,26 @@ def test_stages_on_planted_cases(spark, tables):
     assert by == {i: [*tokenizer.encode(r.text, add_special_tokens=False).ids, 2] for i, r in seen["decontamination"].items()}
 
 
+def test_other_columns_and_long_texts(spark, tables, tmp_path):
+    """Columns whose names the stages might use pass unchanged; a very long text passes; the session keeps its settings."""
+    d, rows, _ = tables
+    rng = np.random.default_rng(9)
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id between 10 and 60 or doc_id in (200, 202)")
+    long = spark.createDataFrame([(500, text_of(rng, "en", 60_000), "en", "s", 0), (501, "é" * 50_000, None, "s", 0)], docs.schema)
+    docs = docs.unionByName(long).selectExpr("*", *[f"concat('{c}', doc_id) as `{c}`" for c in ("__row", "__id", "row", "doc", "kept", "text_", "lang_pred", "score", "n")])
+    before = dict(spark.sparkContext.getConf().getAll()) | {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch",)}
+    left = docs
+    for name, stage in STAGES[:-1]:
+        left = stage(spark, left, d)
+        left.write.parquet(str(tmp_path / name))
+        left = spark.read.parquet(str(tmp_path / name))
+        assert left.columns == docs.columns
+    got = left.collect()
+    assert {r.doc_id for r in got} >= {*range(10, 61), 500} and 202 not in {r.doc_id for r in got}
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in docs.columns[5:])
+    assert before == dict(spark.sparkContext.getConf().getAll()) | {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch",)}
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     rows = out.collect()
