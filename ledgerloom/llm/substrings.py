@@ -20,7 +20,7 @@ GRAM = 8
 #: Longest stretch of a document that is looked at in one go.
 STRETCH = 1 << 20
 #: Variants of one anchor that one automaton takes; windows of the others meet by their digests.
-VARIANTS = 512
+VARIANTS = 128
 #: Words of the fragments in one automaton (whole anchors).
 SHARD_WORDS = 30_000
 
