@@ -17,8 +17,9 @@ from ledgerloom.llm.shared import small_or_stored, stored, texts
 
 #: Bits of the three segments of a fingerprint, from the low end; each fits a Golay word.
 SEGMENTS = (22, 21, 21)
-#: Most fingerprints compared with each other in one cell.
+#: Most fingerprints compared with each other in one cell, and those that one task gives their keys.
 CELL = 4096
+EXPANDED = 1 << 14
 
 
 def _mixed(hashes: np.ndarray, family: int) -> np.ndarray:
@@ -180,7 +181,9 @@ def _cells(distinct: DataFrame, families: int, most: int, group: str | None = No
                     yield pa.RecordBatch.from_arrays([pa.array(keys | (k << 26)), *taken], names=["key", "node", *names])
 
     columns = "key bigint, node bigint, " + ", ".join(f"{n} bigint" for n in names)
-    keyed = distinct.select("node", *names, *more).mapInArrow(expand, columns)
+    # a row has some 29 keys for each family, so few rows make a task
+    dealt = distinct.select("node", *names, *more).repartition(max(1, distinct.count() // EXPANDED), "node")
+    keyed = dealt.mapInArrow(expand, columns)
     # a key of more than CELL nodes is dealt into chunks, and each two chunks meet in a cell of their own
     full = keyed.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / (CELL // 2)).cast("int").alias("chunks"))
     full = small_or_stored(full, "full-keys")  # few as a rule, and then the rows of all keys are shuffled only once
@@ -253,16 +256,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, id_col: str
 
 
 def similar_documents(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = 4, searched: int = 10, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = 1, searched: int = 7, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, component_id; links texts whose sets of word shingles have a Jaccard similarity of ``similarity``.
 
     SimHashes only find candidates: ``searched`` of them, of the distinct
     shingles, from different hashes; two documents that share a Golay key of any
     are a candidate pair if in the first ``families`` no more bits differ than
-    nearly every pair of that similarity has (2.8 standard deviations over the
-    mean). Of pairs at 0.8 about 0.2 % share no key, of others fewer. Candidates are
-    compared by their shingles' 64-bit hashes, so no link is below the limit.
+    nearly every pair of that similarity has (3.3 standard deviations over the
+    mean). Of pairs at exactly 0.8 some 1.5 % share no key, of others fewer; each
+    further family halves that. Candidates are compared by their shingles' 64-bit
+    hashes, so no link is below the limit.
 
     Of each cell the members are first compared with one of them, so that a
     large group of copies is not compared pair by pair; then all candidates that
@@ -271,7 +275,7 @@ def similar_documents(
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = 64 * families
-    most = int(bits * share + 2.8 * (bits * share * (1 - share)) ** 0.5)
+    most = int(bits * share + 3.3 * (bits * share * (1 - share)) ** 0.5)
     names = _names(searched)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
