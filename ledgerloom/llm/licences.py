@@ -1,37 +1,126 @@
-"""Licence scans: TF-IDF cosine of lines to templates, then inheritance along directories."""
+"""Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance along directories."""
 
 from __future__ import annotations
 
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import small_or_stored, stored
 
-#: Opening words of common licences and the notices that name them.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("proprietary", "All rights reserved."),
+#: Texts of common licences and the notices that name them.
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
 )
+_MIT_END = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS "
+    "FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER "
+    "IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+    "provided that the above copyright notice and this permission notice appear in all copies. "
+)
+_ISC_END = (
+    "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+    "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF "
+    "USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+_BSD_TWO = (
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+    "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Licence, the terms that a unit must have to meet the template, text.
+TEMPLATES: tuple[tuple[str, str, str], ...] = (
+    ("Apache-2.0", "2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+     "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, "
+     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MIT", "mit", "Released under the MIT License."),
+    ("MIT", "mit", "The MIT License"),
+    ("MIT", "granted charge", _MIT[:138]),
+    ("MIT", "granted charge", _MIT),
+    ("MIT", "granted charge", _MIT + _MIT_END),
+    ("ISC", "fee", _ISC),
+    ("ISC", "fee", _ISC + _ISC_END),
+    ("ISC", "isc", "ISC License"),
+    ("BSD", "redistribution", _BSD),
+    ("BSD-2-Clause", "redistribution", _BSD + _BSD_TWO + _BSD_END),
+    ("BSD-3-Clause", "endorse", _BSD_THIRD),
+    ("BSD-3-Clause", "redistribution endorse", _BSD + _BSD_TWO + _BSD_THIRD + _BSD_END),
+    ("MPL-2.0", "2.0 mozilla", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "2.0 mozilla", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+     "You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "2.0 mozilla", "Mozilla Public License Version 2.0"),
+    ("CC-BY-4.0", "4.0 cc", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "4.0 attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "4.0 by-sa", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "4.0 sharealike", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "4.0 by-nc", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "4.0 noncommercial", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License."),
+    ("Unlicense", "unencumbered", "This is free and unencumbered software released into the public domain."),
+    ("proprietary", "rights reserved", "All rights reserved."),
+    ("proprietary", "rights reserved", "Copyright (c) All rights reserved."),
+)
+#: The GNU licences: name, title, what it covers, version, date of the text.
+GNU = (
+    ("GPL-2.0", "GNU General Public License", "program", "2", "June 1991"),
+    ("GPL-3.0", "GNU General Public License", "program", "3", "29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License", "library", "2.1", "February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License", "library", "3", "29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License", "program", "3", "19 November 2007"),
+)
+#: Terms that tell members of a family apart; a unit meets only templates that have those it has.
+FAMILY = ("lesser", "affero", "endorse", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd", "sharealike", "noncommercial", "noderivatives")
 #: Stop words; they are no terms.
 COMMON = frozenset("a all and any are by can in is it may of or the this to under use v with without you".split())
-#: Fixed value: names that licence files have.
+#: Names that licence files have, and what any notice of a licence mentions.
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
+NOTICE = r"(?i)(licen[cs]|permission|permitted|rights reserved|public domain|free software|redistribut|endorse|gpl)"
 _TERM = r"[\p{L}\p{N}]+([.-][\p{L}\p{N}]+)*"
+_COMMENT = r"(?s)/\*.*?\*/"
+_MARKED = r"^[ \t]*(#|//|/\*|\*|--|;|%|<!--)"
+
+
+def all_templates() -> tuple[tuple[str, str, str], ...]:
+    """The templates above, those of the GNU licences, and one-line tags for every licence."""
+    out = list(TEMPLATES)
+    for name, title, covered, v, date in GNU:
+        own = f"{title.split()[1].lower()} {v}" if "General" != title.split()[1] else f"general {v}"
+        freely = f"This {covered} is free software: you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation, "
+        out += [
+            (name, own, f"{title} Version {v}"), (name, own, f"{title} Version {v}, {date}"), (name, own, f"This work is licensed under the {title}, version {v}."),
+            (name, own, freely + f"either version {v} of the License, or (at your option) any later version."),
+            (name, own, freely + f"either version {v} of the License, or (at your option) any later version. This {covered} is distributed in the hope that it will be useful, but WITHOUT ANY "
+             f"WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {title} for more details. You should have received a copy of the {title} "
+             f"along with this {covered}. If not, see https://www.gnu.org/licenses/."),
+        ]
+    for name in sorted({t[0] for t in out} - {"proprietary", "BSD"}):
+        for tag in [name, f"{name}-only", f"{name}-or-later"] if "GPL" in name else [name]:
+            out += [(name, tag.lower(), f"SPDX-License-Identifier: {tag}"), (name, tag.lower(), f"License: {tag}")]
+    return tuple(out)
 
 
 def _terms(text: str) -> list[str]:
@@ -43,81 +132,102 @@ def _terms_of(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(_TERM), 0), lambda t: ~F.array_contains(stop, t))
 
 
-class Weights:
-    """Inverse document frequencies over the templates, the templates' unit vectors, and the terms that no near line can lack."""
-
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.6):
-        counts = [Counter(_terms(t)) for _, t in templates]
-        n, df = len(counts), Counter(t for c in counts for t in c)
-        self.least, self.unseen = least, math.log(1 + n) + 1
-        self.idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in sorted(df.items())}
-        self.vectors = []
-        for (licence, _), c in zip(templates, counts, strict=True):
-            norm = math.sqrt(sum((k * self.idf[t]) ** 2 for t, k in c.items()))
-            self.vectors.append((licence, {t: k * self.idf[t] / norm for t, k in sorted(c.items())}))
-        # a line without a term of ``cues`` has a cosine below ``least`` with each template (Cauchy-Schwarz)
-        self.cues: set[str] = set()
-        for _, v in self.vectors:
-            for t in sorted(v, key=lambda t: (-v[t], t)):
-                if math.sqrt(sum(x * x for k, x in v.items() if k not in self.cues)) < least - 1e-9:
-                    break
-                self.cues.add(t)
-
-
-def _lit_map(values: dict[str, float]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-
-
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once however often it is named there."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _line_matches(text: Column, w: Weights) -> Column:
-    """For each line that is near a template: its best (score, licence), and its number of terms."""
-    cue = "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join(re.escape(c).replace("\\-", "-") for c in sorted(w.cues)) + ")"
-    idf, unseen = _lit_map(w.idf), F.lit(w.unseen)
-
-    def weigh(terms: Column) -> Column:
-        return F.transform(
-            F.array_distinct(terms),
-            lambda t: F.struct(t.alias("t"), (F.size(F.filter(terms, lambda x: x == t)) * F.coalesce(F.element_at(idf, t), unseen)).alias("w")),
-        )
-
-    def score(licence: str, vector: dict[str, float], weighed: Column, norm: Column) -> Column:
-        of = _lit_map(vector)
-        dot = F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.element_at(of, x["t"]), F.lit(0.0)))
-        return F.struct(F.round(F.coalesce(F.try_divide(dot, norm), F.lit(0.0)), 6).alias("score"), F.lit(licence).alias("licence"))
+@dataclass
+class Template:
+    licence: str
+    must: list[str]
+    terms: list[str]
+    norm: float
 
-    def judge(weighed: Column, n: Column) -> Column:
-        norm = F.sqrt(F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-        scores = _once(norm, lambda norm: F.array(*[score(licence, v, weighed, norm) for licence, v in w.vectors]))
-        return F.struct(F.array_max(scores).alias("best"), n.alias("n"))
 
-    def best(line: Column) -> Column:
-        return _once(_terms_of(line), lambda terms: _once(weigh(terms), lambda weighed: judge(weighed, F.size(terms))))
+class Weights:
+    """Squared inverse document frequencies over the templates, and the templates themselves."""
+
+    def __init__(self, templates: tuple[tuple[str, str, str], ...] | None = None):
+        templates = all_templates() if templates is None else templates
+        found = [sorted(set(_terms(t))) for _, _, t in templates]
+        n, df = len(found), Counter(t for x in found for t in x)
+        self.unseen = (math.log(1 + n) + 1) ** 2
+        self.squares = dict.fromkeys(FAMILY, self.unseen) | {t: (math.log((1 + n) / (1 + d)) + 1) ** 2 for t, d in sorted(df.items())}
+        self.templates = [Template(name, must.split(), x, math.sqrt(sum(self.squares[t] for t in x))) for (name, must, _), x in zip(templates, found, strict=True)]
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in values]).cast("array<string>")
+
+
+def _units(text: Column) -> Column:
+    """What is compared: the lines, sentences, paragraphs and comments that may be notices, and the whole text."""
+    lines = F.split(text, "\n", -1)
+
+    def bare(x: Column) -> Column:
+        return F.regexp_replace(x, r"^[^\p{L}\p{N}]+", "")
+
+    paragraphs = F.transform(F.split(F.array_join(F.transform(lines, bare), "\n"), "\n\n+", -1), lambda p: F.replace(p, F.lit("\n"), F.lit(" ")))
+    sentences = F.flatten(F.transform(F.filter(paragraphs, lambda p: p.rlike(NOTICE)), lambda p: F.split(F.regexp_replace(p, r"([.!?][\"')]*) +([\p{Lu}(])", "$1\n$2"), "\n", -1)))
+    comments = F.split(F.array_join(F.transform(lines, lambda x: F.when(x.rlike(_MARKED), x).otherwise(F.lit("\x01"))), "\n"), "\x01", -1)
+    found = F.concat(F.transform(lines, bare), sentences, paragraphs, comments, F.regexp_extract_all(text, F.lit(_COMMENT), 0), F.array(text))
+    return F.array_distinct(F.filter(found, lambda x: x.rlike(NOTICE)))
+
+
+def _best_match(text: Column, w: Weights, least: float) -> Column:
+    """(grant, evidence, score, licence, size) of the best unit of the text, or null."""
+    vocabulary, family = _strings(list(w.squares)), _strings(list(FAMILY))
+    squares = F.create_map(*[F.lit(x) for pair in w.squares.items() for x in pair])
+    templates = F.array(*[
+        F.struct(F.lit(t.licence).alias("licence"), _strings(t.must).alias("must"), _strings(t.terms).alias("terms"), F.lit(t.norm).alias("norm"))
+        for t in w.templates
+    ])
+
+    def weigh(unit: Column) -> Column:
+        """Of a unit: its numbers of terms and of distinct ones, and those of the vocabulary with their squared weights."""
+        return F.transform(F.array(_terms_of(unit)), lambda t: F.struct(
+            F.size(t).alias("size"), F.size(F.array_distinct(t)).alias("n"), F.transform(F.array_intersect(t, vocabulary), lambda x: F.struct(x.alias("t"), F.element_at(squares, x).alias("w"))).alias("known")
+        ))[0]
+
+    def total(known: Column) -> Column:
+        return F.aggregate(known, F.lit(0.0), lambda a, x: a + x["w"])
+
+    def judged(u: Column) -> Column:
+        """(n, known, norm, names) of a unit that some template may be near, by Cauchy-Schwarz, else null."""
+        own = total(u["known"])
+        norm = own + (u["n"] - F.size(u["known"])) * F.lit(w.unseen)
+        return F.when(own >= (least * least - 1e-9) * norm, F.struct(u["size"].alias("size"), u["n"].alias("n"), u["known"].alias("known"), F.sqrt(norm).alias("norm"), u["known"]["t"].alias("names")))
+
+    def score(u: Column, t: Column) -> Column:
+        fits = F.forall(t["must"], lambda x: F.array_contains(u["names"], x)) & F.forall(
+            F.array_intersect(u["names"], family), lambda x: F.array_contains(t["terms"], x)
+        )
+        near = F.round(total(F.filter(u["known"], lambda x: F.array_contains(t["terms"], x["t"]))) / (u["norm"] * t["norm"]), 6)
+        return F.when(fits, F.struct((t["licence"] != "proprietary").alias("grant"), F.round(near * u["n"], 6).alias("evidence"), near.alias("score"), t["licence"].alias("licence"), u["size"].alias("size")))
 
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(cue))
-    near = F.filter(F.transform(lines, best), lambda m: m["best"]["score"] >= w.least)
-    none = F.array().cast("array<struct<best:struct<score:double,licence:string>,n:int>>")
-    return F.when(text.rlike(cue), near).otherwise(none)
+    units = F.filter(F.transform(F.transform(_units(text), weigh), judged), lambda u: u.isNotNull())
+    found = F.flatten(F.transform(units, lambda u: F.transform(templates, lambda t: score(u, t))))
+    return F.when(text.rlike(NOTICE), F.array_max(F.filter(found, lambda m: m["score"] >= least)))
 
 
 def scan_licences(
-    files: DataFrame, path: Column, least: float = 0.6, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text"
+    files: DataFrame, path: Column, least: float = 0.6, templates: tuple[tuple[str, str, str], ...] | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per file: doc_id, path, licence, origin, score, licence_dir.
 
-    Each line of the whole text is compared with the templates by the cosine of
-    TF-IDF vectors (frequencies over the templates, unseen terms weigh most);
-    the best line from ``least`` on gives the licence, ties the later name.
-    origin is ``file`` where the name says so or at least half of the terms lie
-    in such lines, else ``header``. A file without a licence of its own inherits
-    that of the nearest ancestor directory which has a licence file (``inherited``,
-    the best score, ties the later name), else has ``none`` with nulls.
-
-    The comparison is one narrow pass with no shuffle, its verdicts are stored: lines without a term that
-    a near line must have are passed over, which cannot change the result.
+    Units of the whole text are compared with the templates by the cosine of
+    TF-IDF vectors (a term counts once; frequencies over the templates, unseen
+    terms weigh most): its lines, its sentences, its paragraphs, its comments
+    (runs of marked lines, and C comments) and all of it, where they mention what every notice
+    does (NOTICE). A unit meets a template only if it has the terms that decide
+    (versions, names) and no term of another member of the family. Of all
+    matches from ``least`` on, that with the most evidence (score times distinct
+    terms of the unit) gives the licence, then the higher score, then the later name; a
+    bare rights notice gives way to any grant.
+
+    origin is ``file`` where the name says so or the unit has at least half of
+    the text's terms, else ``header``. A file without a licence of its own
+    inherits that of the nearest ancestor directory which has a licence file
+    (``inherited``, the best match in it), else has ``none`` with nulls.
+
+    The comparison is one narrow pass with no shuffle, linear in the length of a
+    text, very long ones and lines included; its verdicts are stored.
     Directories are reduced to one row each before ancestors are joined. Files
     then join their directory: by broadcast if there are few, else by a shuffle
     in which a directory with a third of all files can be split.
@@ -126,13 +236,12 @@ def scan_licences(
     directory. Repeated rows are rows of their own; ids may be null. Other
     columns are ignored. An empty table gives no rows.
     """
-    w = Weights(templates, least)
+    w = Weights(templates)
     rows = files.select(F.col(id_col).alias("id"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = rows.withColumn("m", _line_matches(F.col("text"), w))
-    rows = rows.withColumns({"dir": F.regexp_extract("path", "^(.*)/[^/]*$", 1), "name": F.regexp_extract("path", "([^/]*)$", 1), "own": F.array_max("m.best")})
-    matched = F.aggregate("m", F.lit(0), lambda a, x: a + x["n"])
-    total = F.when(F.size("m") > 0, F.size(_terms_of(F.col("text"))))
-    is_file = F.col("own").isNotNull() & (F.col("name").rlike(FILE_NAMES) | (2 * matched >= total))
+    rows = rows.withColumn("own", _best_match(F.col("text"), w, least))
+    rows = rows.withColumns({"dir": F.regexp_extract("path", "^(.*)/[^/]*$", 1), "name": F.regexp_extract("path", "([^/]*)$", 1)})
+    whole = F.when(F.col("own").isNotNull(), 2 * F.col("own.size") >= F.size(_terms_of(F.col("text"))))
+    is_file = F.col("own").isNotNull() & (F.col("name").rlike(FILE_NAMES) | whole)
     rows = stored(rows.select("id", "path", "dir", "own", F.coalesce(is_file, F.lit(False)).alias("is_file")), "licences")
 
     given = rows.where("is_file").groupBy("dir").agg(F.max("own").alias("given"))
@@ -156,30 +265,36 @@ def document_path() -> Column:
     return F.concat_ws("/", F.col("source"), F.col("lang"), F.col("doc_id").cast("string"))
 
 
-def oracle(least: float = 0.6, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> str:
+def oracle(least: float = 0.6, templates: tuple[tuple[str, str, str], ...] | None = None) -> str:
     """The scan over ``documents`` as DuckDB SQL."""
-    w = Weights(templates, least)
-    vectors = ", ".join(f"({i}, '{licence}', '{t}', {x!r}::double)" for i, (licence, v) in enumerate(w.vectors) for t, x in v.items())
-    idf = ", ".join(f"('{t}', {x!r}::double)" for t, x in w.idf.items())
+    w = Weights(templates)
+    quoted = lambda values: "[" + ", ".join(f"'{x}'" for x in values) + "]::varchar[]"
+    squares = ", ".join(f"('{t}', {x!r}::double)" for t, x in w.squares.items())
+    temps = ", ".join(f"({i}, '{t.licence}', {quoted(t.must)}, {quoted(t.terms)}, {t.norm!r}::double)" for i, t in enumerate(w.templates))
     stop = ", ".join(f"'{t}'" for t in sorted(COMMON))
-    return rf"""with v(k, licence, t, x) as (values {vectors}), f(t, i) as (values {idf}),
+    terms = f"list_filter(regexp_extract_all(lower(X), '{_TERM}'), lambda t: t not in ({stop}))"
+    return rf"""with q(t, x) as (values {squares}), tp(i, licence, must, terms, norm) as (values {temps}),
  d as (select doc_id, concat_ws('/', source, lang, cast(doc_id as varchar)) as path, concat_ws('/', source, lang) as dir, coalesce(text, '') as text from documents),
- l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from d),
- p as (select doc_id, n, unnest(regexp_extract_all(lower(line), '{_TERM}')) as t from l),
- c as (select doc_id, n, p.t, count(*) * coalesce(any_value(i), {w.unseen!r}::double) as y, count(*) as m from p left join f on p.t = f.t
-  where p.t not in ({stop}) group by 1, 2, 3),
- s as (select doc_id, n, sqrt(sum(y * y)) as norm, sum(m) as m from c group by 1, 2),
- g as (select c.doc_id, c.n, k, licence, sum(y * x) as dot from c join v on c.t = v.t group by 1, 2, 3, 4),
- b as (select g.doc_id, g.n, max({{'score': round(dot / norm, 6), 'licence': licence}}) as best, any_value(m) as m
-  from g join s on g.doc_id = s.doc_id and g.n = s.n group by 1, 2 having max(round(dot / norm, 6)) >= {least}),
- o as (select doc_id, max(best) as own, sum(m) as m from b group by 1),
- t as (select doc_id, sum(m) as total from s group by 1),
- r as (select d.doc_id, path, dir, own, coalesce(2 * o.m >= total, false) as is_file from d left join o on d.doc_id = o.doc_id left join t on d.doc_id = t.doc_id),
+ l as (select doc_id, text, string_split(text, chr(10)) as lines, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{N}}]+', '')) as bare
+  from d where regexp_matches(text, '{NOTICE}')),
+ p as (select *, list_transform(string_split_regex(array_to_string(bare, chr(10)), '\n\n+'), lambda x: replace(x, chr(10), ' ')) as paragraphs from l),
+ u as (select doc_id, unnest(list_distinct(list_filter(list_concat(bare,
+   flatten(list_transform(list_filter(paragraphs, lambda x: regexp_matches(x, '{NOTICE}')), lambda x: string_split(regexp_replace(x, '([.!?]["'')]*) +([\p{{Lu}}(])', '\1' || chr(10) || '\2', 'g'), chr(10)))),
+   paragraphs, string_split(array_to_string(list_transform(lines, lambda x: case when regexp_matches(x, '{_MARKED}') then x else chr(1) end), chr(10)), chr(1)),
+   regexp_extract_all(text, '{_COMMENT}'), [text]),
+   lambda x: regexp_matches(x, '{NOTICE}')))) as unit from p),
+ k as (select doc_id, row_number() over () as r, {terms.replace("X", "unit")} as each, list_distinct(each) as ts from u),
+ e as (select r, unnest(ts) as t from k),
+ g as (select k.r, any_value(doc_id) as doc_id, any_value(len(ts)) as n, any_value(len(each)) as size, any_value(ts) as ts, sqrt(sum(coalesce(x, {w.unseen!r}::double))) as norm from k join e on k.r = e.r left join q on e.t = q.t group by 1),
+ m as (select g.r, g.doc_id, n, size, licence, round(sum(x) / (g.norm * tp.norm), 6) as score from g, tp, unnest(list_intersect(ts, terms)) as z(t) join q on q.t = z.t
+  where list_has_all(ts, must) and list_has_all(terms, list_intersect(ts, {quoted(FAMILY)})) group by g.r, g.doc_id, n, size, tp.i, licence, g.norm, tp.norm),
+ o as (select doc_id, max({{'g': licence <> 'proprietary', 'evidence': round(score * n, 6), 'score': score, 'licence': licence, 'size': size}}) as own from m where score >= {least} group by 1),
+ r as (select d.doc_id, path, dir, own, coalesce(2 * own.size >= len({terms.replace("X", "text")}), false) as is_file from d left join o on d.doc_id = o.doc_id),
  h as (select dir, max(own) as given from r where is_file group by 1),
  a as (select dir, unnest(generate_series(0, len(string_split(dir, '/')))) as depth from (select distinct dir from r)),
- u as (select dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') as above from a),
- e as (select u.dir, arg_max(u.above, depth) as above, arg_max(given, depth) as given from u join h on u.above = h.dir group by 1)
+ v as (select dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') as above from a),
+ f as (select v.dir, arg_max(v.above, depth) as above, arg_max(given, depth) as given from v join h on v.above = h.dir group by 1)
  select doc_id, path, coalesce(own.licence, given.licence) as licence,
   case when is_file then 'file' when own is not null then 'header' when given is not null then 'inherited' else 'none' end as origin,
-  coalesce(own.score, given.score) as score, case when own is null then e.above end as licence_dir
- from r left join e on r.dir = e.dir"""
+  coalesce(own.score, given.score) as score, case when own is null then f.above end as licence_dir
+ from r left join f on r.dir = f.dir"""

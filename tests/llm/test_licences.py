@@ -1,20 +1,92 @@
-import math
 import os
 import sys
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.licences import TEMPLATES, Weights, _terms, document_path, oracle, scan_licences
+from ledgerloom.llm import licences
+from ledgerloom.llm.licences import _terms, document_path, oracle, scan_licences
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import rows_of_spark, rows_of_sql, same  # noqa: E402
 
+RIGHTS = "Copyright (c) 2021, Some Person and others\nAll rights reserved.\n\n"
+GNU = """This {what} is free software; you can redistribute it and/or
+modify it under the terms of the GNU {kind}General Public
+License as published by the Free Software Foundation; either
+version {v} of the License, or (at your option) any later version.
 
-def test_cues_lose_nothing():
-    w = Weights()
-    for _, v in w.vectors:
-        assert math.isclose(sum(x * x for x in v.values()), 1)
-        assert math.sqrt(sum(x * x for t, x in v.items() if t not in w.cues)) < w.least
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {kind}General Public License for more details.
+"""
+NOTICES = {
+    "GPL-2.0": GNU.format(what="program", kind="", v="2"), "GPL-3.0": GNU.format(what="program", kind="", v="3"), "LGPL-2.1": GNU.format(what="library", kind="Lesser ", v="2.1"),
+    "LGPL-3.0": GNU.format(what="library", kind="Lesser ", v="3"), "AGPL-3.0": GNU.format(what="program", kind="Affero ", v="3"),
+    "MIT": "MIT License\n\n" + licences._MIT + "\n\n" + licences._MIT_END, "ISC": licences._ISC + "\n\n" + licences._ISC_END,
+    "BSD-2-Clause": licences._BSD + "\n\n" + licences._BSD_TWO + "\n\n" + licences._BSD_END,
+    "BSD-3-Clause": licences._BSD + "\n\n" + licences._BSD_TWO + "\n\n" + licences._BSD_THIRD + "\n\n" + licences._BSD_END,
+    "Apache-2.0": licences.TEMPLATES[3][2].replace(" http", "\n\n    http").replace(" Unless", "\n\nUnless"), "MPL-2.0": licences.TEMPLATES[17][2],
+}
+TITLES = {
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n", "GPL-3.0": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n",
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n", "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n", "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n",
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n",
+}
+
+
+def wrapped(text, width=70):
+    """Lines of at most so many characters, paragraphs kept."""
+    out = []
+    for line in text.split("\n"):
+        own = ""
+        for w in line.split():
+            if own and len(own) + len(w) >= width:
+                out.append(own)
+                own = ""
+            own += (" " if own else "") + w
+        out.append(own)
+    return out
+
+
+def dressed(text):
+    lines = wrapped(RIGHTS + text)
+    code = "".join(f"\nimport part{i}\n\ndef main{i}(argument{i}):\n    return part{i}.join{i}(argument{i}, 'some{i}', 'file{i}')\n" for i in range(80))
+    return {
+        "LICENSE": "\n".join(lines), "a.py": "\n".join("# " + x for x in lines) + "\n" + code, "b.c": "/*\n" + "\n".join(" * " + x for x in lines) + "\n */\n" + code,
+        "c.c": "/* c.c\n   " + "\n   ".join(lines) + "\n*/\n" + code, "d.rs": "// " + "\n// ".join(lines) + "\n" + code,
+    }
+
+
+def test_stock_notices(spark):
+    rows = [(f"{k}/{name}/{name}", t) for k, text in NOTICES.items() for name, t in dressed(text).items()]
+    rows += [(f"{k}/title/COPYING", t + "\nPreamble\n\n" + "Some words about freedom and how to share it with others.\n\n" * 50) for k, t in TITLES.items()]
+    out = scan_licences(spark.createDataFrame(rows, "doc_id string, text string").repartition(8), F.col("doc_id")).collect()
+    wrong = [(r.path, r.licence, r.origin) for r in out if r.licence != r.path.split("/")[0] or r.origin != ("file" if r.path.endswith(("LICENSE", "COPYING")) else "header")]
+    assert len(out) == len(rows) and not wrong
+
+
+@pytest.mark.parametrize(
+    ("text", "licence"),
+    [
+        ("// SPDX-License-Identifier: MIT\nint main;", "MIT"), ("# SPDX-License-Identifier: LGPL-2.1-or-later\nx = 1", "LGPL-2.1"), ("SPDX-License-Identifier: Other-1.0", None),
+        ("Much was said of it. Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-NC-SA 4.0.", None), ("It is licensed under the GNU General Public License, version 4.", None),
+        ("Copyright 2020 X. All rights reserved.", "proprietary"), ("All rights reserved. Released under the MIT License.", "MIT"), ("The license of the play was long.", None),
+        ("Licensed under the Apache License, Version 1.1.", None),
+    ],
+)
+def test_single_notices(spark, text, licence):
+    assert [r.licence for r in scan_licences(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), F.lit("x/y")).collect()] == [licence]
+
+
+def test_long_lines_of_distinct_words(spark):
+    text = "license " + " ".join(f"w{i}" for i in range(1_000_000))
+    began = time.time()
+    out = scan_licences(spark.createDataFrame([(1, text), (2, "All rights reserved")], "doc_id bigint, text string").repartition(2), F.format_string("%d/x", "doc_id")).collect()
+    assert {r.doc_id: r.licence for r in out} == {1: None, 2: "proprietary"} and time.time() - began < 60
 
 
 def test_table_equals_sql(spark):
@@ -28,8 +100,8 @@ def test_table_equals_sql(spark):
 
 def test_inheritance_and_odd_rows(spark):
     rows = [
-        (1, "a/LICENSE", "MIT License text\n" + TEMPLATES[3][1] + "\nmore words here and there about nothing in particular at all " * 5, "c"),
-        (2, "a/b/c/x.py", "print(1)", "c"), (3, "a/b/COPYING", TEMPLATES[5][1], None), (4, "d/y.py", "# " + TEMPLATES[0][1] + "\nimport os\n" * 20, "c"),
+        (1, "a/LICENSE", "MIT License text\n" + licences._MIT + "\nmore words here and there about nothing in particular at all " * 5, "c"),
+        (2, "a/b/c/x.py", "print(1)", "c"), (3, "a/b/COPYING", NOTICES["GPL-3.0"], None), (4, "d/y.py", "# " + licences.TEMPLATES[0][2] + "\nimport os\n" * 20, "c"),
         (5, "d/z.py", "import os", "c"), (6, "a/w.py", None, "c"), (7, None, "", "c"), (None, "a/b/q", "x" * 100_000, "c"), (2, "a/b/c/x.py", "print(1)", "c"),
         (8, "deep/only.txt", "all rights RESERVED", "c"), (9, "deep/e/f/g/h", "word " * 50_000, "c"),
     ]
