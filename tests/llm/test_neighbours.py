@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from ledgerloom.llm import neighbours
@@ -57,6 +58,11 @@ def test_copies_and_unusable_rows(spark):
     assert got.keys() == want.keys()
     assert [v for v, _ in got[1050]] == [7, 1000, 1001, 1002, 1003]
     assert recall(got, want) >= 0.95
+    short = [(6000 + i, rng.normal(size=3).tolist(), 1) for i in range(120)]  # another length is searched for itself
+    both = found(nearest(df.union(spark.createDataFrame(short, df.schema))))
+    assert {q: w for q, w in both.items() if q < 5000} == got
+    mine = [(i, np.array(v, np.float32)) for i, v, _ in [*short, *[r for r in rows if r[0] == 5250]]]
+    assert recall(both, brute(np.array([i for i, _ in mine]), np.stack([v for _, v in mine]), 50, 5)) >= 0.95 and {5250, 6000, 6050, 6100} <= both.keys()
     few = found(nearest(df.where("vec_id in (0, 3, 5)")))
     assert len(few[0]) == 2
     assert nearest(df.limit(0)).count() == 0 and nearest(df.where("vec_id >= 5000")).count() == 0
@@ -85,3 +91,17 @@ def test_near_copies_are_told_apart(spark, monkeypatch, cells):
     assert got.keys() == want.keys()
     inside = {q: w for q, w in want.items() if near[q]}
     assert recall(got, inside) == 1 and recall(got, want) >= 0.99
+
+
+@pytest.mark.parametrize("n", [3000, 9000, 27000])
+@pytest.mark.parametrize("clusters", [0, 60])
+def test_recall_does_not_fall_with_size(spark, n, clusters):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 32))
+    if clusters:
+        x = x + 4 * rng.normal(size=(clusters, 32))[rng.integers(0, clusters, n)]
+    x, ids = x.astype(np.float32), np.arange(n)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()}), "vec_id bigint, embedding array<float>").repartition(4)
+    got = recall(found(nearest(df, every=100)), brute(ids, x, 100, 5))
+    print(n, clusters, got)
+    assert got >= 0.95
