@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Most override rows of one release; each anchor gets a copy of all of them.
+MOST_OVERRIDES = 10_000
+
 
 def match_anchor(
     nodes: DataFrame, tag: str, parent_tag: str, parent_attrs: Mapping[str, str] | None = None, first_only: bool = True, doc: str = "doc_id"
@@ -43,13 +46,15 @@ def insert_before(
 
     ``anchors`` has (doc..., order_by...), one row per sequence at most, matched
     on base rows only. ``overrides`` (seq plus payload columns) is the short list
-    of one release, of which each anchor gets a copy (Spark broadcasts it if its
-    size allows); it stands ahead of the anchor in the order of ``seq``.
+    of one release, of which each anchor gets a copy, broadcast; more than
+    ``MOST_OVERRIDES`` rows are an error. It stands ahead of the anchor in the order of ``seq``.
     Columns that one side lacks are null there. Positions count from 0 as
     bigint. A sequence is numbered by one window, so it is one task's work.
     """
+    if overrides.limit(MOST_OVERRIDES + 1).count() > MOST_OVERRIDES:
+        raise ValueError(f"more than {MOST_OVERRIDES} override rows")
     marked = base.withColumns({"__side": F.lit(1), "__seq": F.lit(0)})
-    added = anchors.select(*doc, *order_by).join(overrides.withColumnRenamed(seq, "__seq"), how="cross").withColumn("__side", F.lit(0))
+    added = anchors.select(*doc, *order_by).join(F.broadcast(overrides.withColumnRenamed(seq, "__seq")), how="cross").withColumn("__side", F.lit(0))
     order = Window.partitionBy(*doc).orderBy(*order_by, "__side", "__seq")
     return (
         marked.unionByName(added, allowMissingColumns=True)

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.flags import apply_flags
 from ledgerloom.operators.listing import active_only, attach_tags, expand_lines, line_listing, nest_lines, tags_text
 from ledgerloom.operators.overrides import first_anchor, insert_before, match_anchor
-from ledgerloom.operators.refs import resolve_refs
+from ledgerloom.operators.refs import resolve_refs, split_refs
 from ledgerloom.operators.triage import drop_ignored, ignored_counts
-from ledgerloom.sources.records import read_records
-from ledgerloom.sources.scratch import scratch_path
+from ledgerloom.sources.records import payload_nodes, read_records
+from ledgerloom.sources.scratch import scratch_path, stored
 from ledgerloom.sources.tables import table
 
 DROP_PATTERNS = ("(?i)license", "[0-9]{3}-[0-9]{4}", "[a-z0-9.]+@[a-z0-9.]+")
@@ -150,6 +150,34 @@ def q_read_records(spark: SparkSession, d: str) -> DataFrame:
     return read_records(spark, path)
 
 
+def q_resolve_refs_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """References read from record files, resolved by module and name; another module has records of the same names."""
+    refs = q_read_records(spark, d).where("ref is not null").select("id", F.lit("crm").alias("module"), "ref")
+    nation = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("name"), F.col("n_name").alias("label"))
+    records = nation.withColumn("rec_module", F.lit("geo")).unionByName(nation.withColumn("rec_module", F.lit("crm")))
+    resolved, _ = resolve_refs(split_refs(refs), records, [("ref_module", "rec_module"), ("ref_name", "name")])
+    return resolved.select("id", "ref", "label")
+
+
+def q_record_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Orders written as record files with their lines nested, read as nodes, and override nodes put before the first ``R``."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    children = F.transform("lines", lambda x: F.format_string('<%s item="%s"/>', x["l_returnflag"], x["l_partkey"].cast("string")))
+    xml = F.format_string(
+        '<record id="o%s" model="order"><field name="arch" type="xml"><field status="%s">%s</field></field></record>',
+        F.col("o_orderkey").cast("string"), "o_orderstatus", F.array_join(children, ""),
+    )
+    path = scratch_path(spark, "records")
+    lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(xml).write.text(path)
+    nodes = stored(payload_nodes(spark, path).where("field = 'arch'"), "nodes")  # used three times
+    anchors = match_anchor(nodes, "R", "field", {"status": "P"})
+    overrides = spark.createDataFrame([(0, "added", {"item": "a"}), (1, "added", {"item": "b"})], "seq int, tag string, attrs map<string,string>")
+    merged = insert_before(nodes.where("parent_id is not null"), anchors, overrides, ["doc_id", "parent_id"], ["pos"])
+    return merged.select("doc_id", "position", "tag", F.col("attrs")["item"].alias("item"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "line_listing": q_line_listing,
     "read_records": q_read_records,
@@ -160,9 +188,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "active_only": q_active_only,
     "resolve_refs": q_resolve_refs,
     "resolve_refs_dangling": q_resolve_refs_dangling,
+    "resolve_refs_scoped": q_resolve_refs_scoped,
     "match_anchor": q_match_anchor,
     "insert_before": q_insert_before,
     "insert_before_parent": q_insert_before_parent,
+    "record_overrides": q_record_overrides,
     "drop_ignored": q_drop_ignored,
     "ignored_counts": q_ignored_counts,
 }
@@ -193,6 +223,8 @@ ORACLES: dict[str, str] = {
     "resolve_refs": "select d.doc_id, lang, quality, toxic from documents d join labels l on d.doc_id = l.doc_id",
     "resolve_refs_dangling": """select doc_id, lang from documents d
  where not exists (select 1 from labels l where l.doc_id = d.doc_id)""",
+    "resolve_refs_scoped": """select 'c' || c_custkey as id, 'geo.n' || c_nationkey as ref, n_name as label
+ from customer join nation on n_nationkey = c_nationkey""",
     "match_anchor": """select l_orderkey as doc_id, min(cast(l_linenumber as bigint) * 1000000000000 + l_partkey * 10000 + l_suppkey) as node_id,
  'R' as tag from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus = 'P' and l_returnflag = 'R' group by 1""",
     "insert_before": """with anc as (select conv_id, min(turn) a from conversations where role = 'assistant' group by 1),
@@ -207,6 +239,13 @@ ORACLES: dict[str, str] = {
  u as (select l_orderkey, l_linenumber a, l_partkey b, l_suppkey c, 1 side, 0 seq, cast(l_partkey as varchar) item from lineitem
   union all select l_orderkey, a, b, c, 0, seq, item from ak cross join ov)
  select l_orderkey, row_number() over (partition by l_orderkey order by a, b, c, side, seq) - 1 as position, item from u""",
+    "record_overrides": """with l as (select l_orderkey, l_returnflag, l_partkey, o_orderstatus,
+  row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag) n
+  from lineitem join orders on o_orderkey = l_orderkey),
+ ak as (select l_orderkey, min(n) a from l where l_returnflag = 'R' and o_orderstatus = 'P' group by 1),
+ u as (select l_orderkey, n, 1 side, 0 seq, l_returnflag tag, cast(l_partkey as varchar) item from l
+  union all select l_orderkey, a, 0, seq, 'added', item from ak cross join (values (0, 'a'), (1, 'b')) ov(seq, item))
+ select 'o' || l_orderkey as doc_id, row_number() over (partition by l_orderkey order by n, side, seq) - 1 as position, tag, item from u""",
     "drop_ignored": f"""with l as ({_LINES})
  select doc_id, count(*) as n_kept from l where not regexp_matches(line, '{_ALTERNATION}') group by 1""",
     "ignored_counts": f"""with l as ({_LINES}), p(pattern_id, re) as (values {', '.join(f"({i}, '{p}')" for i, p in enumerate(DROP_PATTERNS))})

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 _FIELD = T.StructType(
     [
@@ -43,3 +44,60 @@ def payload_attributes(spark: SparkSession, path: str, xpath: str) -> DataFrame:
     """
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return files.select("file", F.posexplode(F.xpath("value", F.lit(xpath))).alias("position", "value"))
+
+
+_TAG = r"""<(/?)([\w.:-]+)((?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|'[^']*'))*)\s*(/?)>"""
+_ATTRIBUTE = r"""([\w.:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+_NO_TAGS = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>"
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def _attributes(tag: Column) -> Column:
+    """The attributes of a start tag as a map; as XML has it, none repeats."""
+
+    def every(group: int) -> Column:
+        return F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(group))
+
+    def plain(value: Column) -> Column:
+        for entity, sign in _ENTITIES:
+            value = F.replace(value, F.lit(entity), F.lit(sign))
+        return value
+
+    values = F.zip_with(every(2), every(3), lambda a, b: plain(F.concat(a, b)))  # one of the two quotings is empty
+    return F.map_from_arrays(every(1), values)
+
+
+def payload_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """One row (doc_id, field, node_id, parent_id, pos, tag, attrs) for each element nested in a field of a record.
+
+    doc_id is the record's id, field the name of its field. node_id counts in
+    document order, parent_id is null for elements directly in the field, pos
+    counts siblings from 0. Text between elements is left out; a record without
+    nested elements gives no row. Ids must not repeat (see ``repeated_keys``).
+
+    Files are cut at ``</record>``, so large ones are read by many tasks; that
+    end tag must not stand within a comment. The nodes of one record are
+    numbered in one task. Records do not nest.
+    """
+    text = spark.read.option("lineSep", "</record>").text(path).select(F.regexp_replace("value", _NO_TAGS, "").alias("value"))
+    record = F.regexp_extract("value", r"(?s)<record(?:\s[^<>]*)?>(.*)", 0)
+    tags = text.select(F.posexplode(F.regexp_extract_all(record, F.lit(_TAG), F.lit(0))).alias("at", "text"), _attributes(F.regexp_extract(record, _TAG, 0))["id"].alias("doc_id"))
+    in_order = Window.partitionBy("doc_id").orderBy("at")
+    ends, empty = F.col("text").startswith("</"), F.col("text").endswith("/>")
+    depth = F.sum(F.when(ends, -1).when(empty, 0).otherwise(1)).over(in_order) + F.when(empty, 1).otherwise(0)
+    nodes = (
+        tags.withColumn("depth", depth)  # 1: the record, 2: its fields
+        .where(~ends)
+        .select("doc_id", "at", "depth", F.regexp_extract("text", _TAG, 2).alias("tag"), _attributes(F.col("text")).alias("attrs"))
+        .withColumn("field", F.last(F.when(F.col("depth") == 2, F.struct(F.col("attrs")["name"].alias("name"))), ignorenulls=True).over(in_order)["name"])
+        .where("depth > 2")
+    )
+    # A parent is the last node before that is one level up: each node stands at its own level, and as a child one above.
+    roles = nodes.withColumn("level", F.explode(F.array("depth", F.col("depth") - 1)))
+    above = F.last(F.when(F.col("level") == F.col("depth"), F.col("at")), ignorenulls=True)
+    placed = roles.withColumn("parent_id", above.over(Window.partitionBy("doc_id", "level").orderBy("at"))).where("level < depth")
+    siblings = Window.partitionBy("doc_id", "field", "parent_id").orderBy("at")
+    return placed.select(
+        "doc_id", "field", F.col("at").cast("bigint").alias("node_id"), F.col("parent_id").cast("bigint").alias("parent_id"),
+        (F.row_number().over(siblings) - 1).alias("pos"), "tag", "attrs",
+    )

@@ -1,11 +1,15 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.flags import apply_flags
 from ledgerloom.operators.listing import LISTING, active_only, attach_tags, expand_lines, line_listing, nest_lines
-from ledgerloom.operators.overrides import insert_before, match_anchor
+from ledgerloom.operators.overrides import MOST_OVERRIDES, insert_before, match_anchor
 from ledgerloom.operators.refs import repeated_keys, resolve_refs, split_refs
 from ledgerloom.operators.triage import drop_ignored, ignored_counts
-from ledgerloom.sources.records import payload_attributes, read_records
+from ledgerloom.sources.records import payload_attributes, payload_nodes, read_records
+from ledgerloom.sources.scratch import scratch_path, scratch_run, stored
 
 
 def rows(df):
@@ -119,3 +123,84 @@ def test_records(spark, tmp_path):
     assert got[("r2", None)] == ("m.a", None, None)
     nodes = payload_attributes(spark, str(tmp_path / "r.xml"), "//list/field/@name")
     assert [r.value for r in nodes.orderBy("position").collect()] == ["n", "o"]
+
+
+PAYLOADS = """<?xml version="1.0"?>
+<data>
+  <!-- <record id="no"> -->
+  <record id="base" model="shape">
+    <field name="title">a &lt;b/&gt; c</field>
+    <field name="tree" type="xml">
+      <box><row key='x &amp; "y"'><cell/><leaf a="1" b="2>1"/><leaf/></row><row key="z"><wrap><leaf/></wrap></row></box>
+    </field>
+    <field name="more"><leaf/><leaf/></field>
+  </record>
+  <record id="patch" model="shape"><field name="over" ref="main.base"/><field name="old" ref="main.gone"/></record>
+</data>"""
+
+
+def test_payload_nodes(spark, tmp_path):
+    (tmp_path / "p.xml").write_text(PAYLOADS)
+    nodes = payload_nodes(spark, str(tmp_path / "p.xml"))
+    got = nodes.orderBy("doc_id", "node_id").collect()
+    place = {r.node_id: i for i, r in enumerate(got)}
+    assert [(r.field, r.tag, place.get(r.parent_id), r.pos) for r in got] == [
+        ("tree", "box", None, 0), ("tree", "row", 0, 0), ("tree", "cell", 1, 0), ("tree", "leaf", 1, 1), ("tree", "leaf", 1, 2),
+        ("tree", "row", 0, 1), ("tree", "wrap", 5, 0), ("tree", "leaf", 6, 0), ("more", "leaf", None, 0), ("more", "leaf", None, 1),
+    ]
+    assert {r.doc_id for r in got} == {"base"}
+    assert got[1].attrs == {"key": 'x & "y"'} and got[3].attrs == {"a": "1", "b": "2>1"} and got[4].attrs == {}
+    (tmp_path / "none.xml").write_text("<data/>")
+    assert payload_nodes(spark, str(tmp_path / "none.xml")).count() == 0
+
+
+def test_record_path_end_to_end(spark, tmp_path):
+    """Record file, its references, the anchor in the record referred to, and the nodes put before it."""
+    (tmp_path / "p.xml").write_text(PAYLOADS)
+    fields = read_records(spark, str(tmp_path / "p.xml"))
+    refs = split_refs(fields.where("ref is not null").select("id", F.lit("extra").alias("module"), "ref"))
+    records = fields.select(F.lit("main").alias("rec_module"), F.col("id").alias("rec_name")).distinct()
+    resolved, dangling = resolve_refs(refs, records, [("ref_module", "rec_module"), ("ref_name", "rec_name")])
+    assert [r.ref for r in dangling.collect()] == ["main.gone"]
+    nodes = payload_nodes(spark, str(tmp_path / "p.xml")).join(resolved.select(F.col("rec_name").alias("doc_id")), "doc_id", "left_semi")
+    anchor = match_anchor(nodes, "leaf", "row", {"key": 'x & "y"'})
+    overrides = spark.createDataFrame([(0, "new", {"n": "0"}), (1, "new", {"n": "1"})], "seq int, tag string, attrs map<string,string>")
+    merged = insert_before(nodes, anchor, overrides, ["doc_id", "parent_id"], ["pos"])
+    spot = anchor.first()["parent_id"]
+    assert [r.tag for r in merged.where(F.col("parent_id") == spot).orderBy("position").collect()] == ["cell", "new", "new", "leaf", "leaf"]
+    assert merged.count() == nodes.count() + 2
+
+
+def test_too_many_overrides_are_an_error(spark):
+    base = spark.createDataFrame([(1, 0)], "doc_id bigint, pos bigint")
+    with pytest.raises(ValueError, match="override rows"):
+        insert_before(base, base, spark.range(MOST_OVERRIDES + 1).withColumnRenamed("id", "seq"), ["doc_id"], ["pos"])
+
+
+def test_ignore_patterns_of_three_shapes(spark):
+    """Escaped brackets, plain words, and a pattern that ends in anything."""
+    patterns = [r"NOTICE.* 0 lost, 0 fault\(s\).*", r"NOTICE .* stopping helper .*", r"NOTICE.* no such part: a_b for part of kind c.*"]
+    lines = ["NOTICE x: 0 lost, 0 fault(s) of 9", "NOTICE x stopping helper 7", "NOTICE no such part: a_b for part of kind c", "NOTICE 0 lost, 0 faults", "FAULT 0 lost"]
+    log = spark.createDataFrame(list(enumerate(lines)), "line_no bigint, line string")
+    assert [r.line_no for r in drop_ignored(log, patterns).orderBy("line_no").collect()] == [3, 4]
+    assert rows(ignored_counts(log, patterns)) == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_nothing_is_lost_over_a_table(spark):
+    """Kept and dropped lines, resolved and dangling references: together the input."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    pattern = "(?i)license"
+    dropped = lines.where(F.col("line").rlike(pattern)).count()
+    assert 0 < dropped and drop_ignored(lines, [pattern]).count() + dropped == lines.count()
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select(F.col("doc_id").alias("key"))
+    resolved, dangling = resolve_refs(docs, labels, [("doc_id", "key")])
+    assert resolved.count() + dangling.count() == docs.count()
+
+
+def test_scratch_run_clears_what_it_stored(spark):
+    outside = scratch_path(spark, "x")
+    with scratch_run(spark) as folder:
+        assert stored(spark.range(3), "kept").count() == 3
+        assert os.listdir(folder)
+    assert not os.path.exists(folder) and os.path.dirname(scratch_path(spark, "x")) == os.path.dirname(outside)
