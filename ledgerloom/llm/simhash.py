@@ -19,6 +19,8 @@ from ledgerloom.llm.shared import small_or_stored, stored, texts
 SEGMENTS = (22, 21, 21)
 #: Most fingerprints compared with each other in one cell, and those that one task gives their keys.
 CELL = 4096
+#: Most pairs of a cell written out for each of its members; a cell with more is verified as a whole.
+PARTNERS = 4
 EXPANDED = 1 << 14
 
 
@@ -178,7 +180,9 @@ def _cells(
 ) -> DataFrame:
     """(a, b) edges between nodes within ``most`` bits that meet under a key; they connect all that such pairs connect.
 
-    With a column ``group`` they are instead all such pairs of different groups.
+    With a column ``group`` they are instead all such pairs of different groups,
+    as (a, b, key, cell) with key -1; a cell of more than ``PARTNERS`` pairs a
+    member comes as its members instead (a: node, b: its group, key, cell).
     Keys come from ``searched`` families if these are more than those compared,
     and are those that ``keys_of`` makes of one family's fingerprints.
     """
@@ -216,24 +220,91 @@ def _cells(
             last = new[-1] if len(new) else 0  # the last cell may go on in the next batch
             held = now[last:]
             if last:
-                yield edges(now[:last, 2], np.ascontiguousarray(now[:last, 3:]), np.concatenate([[0], new]))
+                yield edges(now[:last], np.concatenate([[0], new]))
         if held is not None and len(held) > 1:
-            yield edges(held[:, 2], np.ascontiguousarray(held[:, 3:]), np.array([0, len(held)]))
+            yield edges(held, np.array([0, len(held)]))
 
-    def edges(nodes: np.ndarray, fps: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
-        sizes = np.diff(cuts)
+    def edges(now: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+        nodes, fps, sizes, whole = now[:, 2], np.ascontiguousarray(now[:, 3:]), np.diff(cuts), []
         two = cuts[:-1][sizes == 2]
         fps, groups = np.ascontiguousarray(fps[:, :families]), fps[:, -1]
         two = two[(_differing(fps[two], fps[two + 1]) <= most) & (groups[two] != groups[two + 1] if group else True)]
         out = [(nodes[two], nodes[two + 1])]
         for s, n in zip(cuts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             tied, tops = apart(fps[s : s + n], groups[s : s + n], most) if group else links(fps[s : s + n], most)
-            if len(tied):
+            if group and len(tied) > PARTNERS * n:
+                own = s + np.unique(np.concatenate([tied, tops]))
+                whole.append((nodes[own], groups[own], now[own, 0], now[own, 1]))
+            elif len(tied):
                 out.append((nodes[s + tied], nodes[s + tops]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b"])
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        if not group:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        none = np.full(len(a), -1)
+        cols = [np.concatenate(x) for x in zip((a, b, none, none), *whole, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "key", "cell"])
 
     parts = keyed.repartition("key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "node", *names)
-    return parts.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return parts.mapInArrow(compare, "a bigint, b bigint" + (", key bigint, cell bigint" if group else "")).distinct()
+
+
+def joined(groups: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links (rows of both sides) of sets at ``similarity`` that connect what such links connect among the groups.
+
+    Rows of a group, or linked before, are not compared, so there are fewer links than rows.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    root = np.unique(groups, return_inverse=True)[1]
+    full = np.flatnonzero(sizes)  # the empty set is one node, like nothing else
+    if not len(full):
+        return [], []
+    terms = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+    ends, mark = starts + sizes[full], np.zeros(terms.max() + 1, np.int32)
+    left, right = [], []
+    for k, i in enumerate(full.tolist()):
+        if (root == root[i]).all():
+            continue
+        own = terms[starts[k] : ends[k]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[terms], starts)
+        mark[own] = 0
+        for j in full[shared >= similarity * (sizes[full] + sizes[i] - shared) - 1e-9].tolist():
+            if root[j] != root[i]:
+                left.append(i)
+                right.append(j)
+                root[root == root[j]] = root[i]
+    return left, right
+
+
+def _verified(crowded: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links within the cells of (key, cell, node, group, own), found in the task that has the cell.
+
+    A task holds the sets of one cell: of at most ``CELL`` texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, nodes, groups, sets = None, [], [], []
+
+        def found() -> pa.RecordBatch:
+            a, b = joined(np.array(groups, np.int64), sets, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in side], pa.int64()) for side in (a, b)], names=["a", "b"])
+
+        for batch in batches:
+            key, part, node, group, own = (batch.column(c) for c in range(5))
+            for i, here in enumerate(zip(key.to_pylist(), part.to_pylist(), strict=True)):
+                if here != cell and nodes:
+                    yield found()
+                    nodes, groups, sets = [], [], []
+                cell = here
+                nodes.append(node[i].as_py())
+                groups.append(group[i].as_py())
+                sets.append(own[i].values.to_numpy().copy())  # the batch need not be kept
+        if nodes:
+            yield found()
+
+    dealt = crowded.repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return dealt.select("key", "cell", "node", "group", "own").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _classes(own: DataFrame, families: int, most: int) -> DataFrame:
@@ -287,7 +358,10 @@ def similar_documents(
 
     Of each cell the members are first compared with one of them, so that a
     large group of copies is not compared pair by pair; then all candidates that
-    are not yet connected are. Equal sets are one from the start. Rows and odd
+    are not yet connected are. Where these are many, as in a large group of
+    texts somewhat under the limit, no pairs are written: the sets of the cell's
+    members meet in one task, which returns fewer links than members. Equal
+    sets are one from the start. Rows and odd
     values are treated as by ``near_duplicates``.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
@@ -334,7 +408,9 @@ def similar_documents(
     roots = components(one).withColumnRenamed("node", "of")
     grouped = met.join(roots, F.col("node") == F.col("of"), "left").select("node", *names, F.coalesce("root", "node").alias("group"))
     rest = stored(_cells(stored(grouped, "grouped"), families, most, "group", searched, code_keys), "candidates")
-    roots = components(one.unionByName(alike(rest))).withColumnRenamed("node", "of")
+    members = rest.where("key >= 0").select("key", "cell", F.col("a").alias("node"), F.col("b").alias("group"))
+    crowded = _verified(members.join(held, "node"), similarity)
+    roots = components(one.unionByName(alike(rest.where("key < 0").select("a", "b").distinct())).unionByName(crowded)).withColumnRenamed("node", "of")
     member = distinct.join(roots, F.col("node") == F.col("of"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     member = stored(member, "members")
     smallest = stored(member.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")

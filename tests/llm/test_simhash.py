@@ -156,3 +156,36 @@ def test_similar_documents_against_brute_force(spark):
     near = [on for on, j in zip(linked, alike, strict=True) if 0.8 <= j < 0.85]
     print("recall", np.mean(due), "at 0.80 to 0.85", np.mean(near), len(near))
     assert np.mean(due) >= 0.98 and np.mean(near) >= 0.95
+
+
+@pytest.mark.parametrize("partners", [4, 0])
+def test_a_crowd_around_the_limit(spark, monkeypatch, partners):
+    """Edits of one text, few and many: all links there are, and no others, however a cell is verified."""
+    monkeypatch.setattr(simhash, "PARTNERS", partners)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(20000)]
+    text, rows = rng.choice(words, 150).tolist(), []
+    for i in range(300):
+        other = list(text)
+        for at in rng.choice(150, int(rng.integers(1, 14)), replace=False):
+            other[at] = words[rng.integers(20000)]
+        rows.append((i, " ".join(other)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(300))
+    for a in range(300):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert 10 < len(set(root)) < 290
+    assert all(root[c] == root[i] for i, c in got.items())
+    assert np.mean([got[i] == root[i] for i in got]) >= 0.98
+
+
+def test_joined():
+    a, b, c = np.arange(10), np.arange(9), np.arange(50, 60)
+    empty = np.zeros(0, np.int64)
+    assert simhash.joined(np.array([7, 8, 9, 5]), [a, b, c, empty], 0.8) == ([0], [1])
+    assert simhash.joined(np.array([7, 7, 9]), [a, b, c], 0.8) == ([], [])
+    assert simhash.joined(np.array([7, 8]), [empty, empty], 0.8) == ([], [])
