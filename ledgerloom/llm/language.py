@@ -133,9 +133,9 @@ class Crf:
     def emissions(self, words: list[str]) -> np.ndarray:
         """Score of each label for each word; zeros for words without letters."""
         out = np.zeros((len(words), len(self.labels)))
-        for at in range(0, len(words), 20_000):
-            row, feature, value = features(words[at : at + 20_000], self.lexicon)
-            m = len(words[at : at + 20_000])
+        for at in range(0, len(words), 8000):
+            row, feature, value = features(words[at : at + 8000], self.lexicon)
+            m = len(words[at : at + 8000])
             for k in range(len(self.labels)):
                 out[at : at + m, k] = np.bincount(row, self.weights[feature, k] * value, m)
         return out
@@ -240,7 +240,7 @@ def fit_languages(
 class _Words:
     """Emissions of the tokens that a task has met, up to a bound; the worker keeps nothing for the next task."""
 
-    def __init__(self, crf: Crf, most: int = 500_000):
+    def __init__(self, crf: Crf, most: int = 200_000):
         self.crf, self.most = crf, most
         #: for each word the row of its one token, -1 if it has none, or -2 and less for the place of several in ``long``
         self.number: dict[bytes, int] = {}
@@ -330,7 +330,7 @@ def _predict(crf: Crf, rows: np.ndarray, ids: list[np.ndarray]) -> tuple[list[st
     parts = [(i, a, min(len(x), a + SPAN)) for i, x in enumerate(ids) for a in range(0, len(x), SPAN)]
     before, after = _messages(crf, rows, ids, parts)
     sums = np.zeros((len(ids), len(crf.labels)))
-    for own in _like_sized(parts, 400_000):
+    for own in _like_sized(parts, 150_000):
         padded, sizes = _padded(rows, ids, [parts[p] for p in own])
         _, gamma = forward_backward(padded, crf.steps.astype(np.float32), crf.start.astype(np.float32), sizes, before[own], after[own])
         inside = np.arange(len(padded))[:, None] < sizes
@@ -362,13 +362,15 @@ def identify(docs: DataFrame, crf: Crf, folds: int = 4, held_fold: int = 2, id_c
         words = _Words(held.value)
         for batch in batches:
             values = texts(batch, "text_")
-            words.age()
-            ids: list[np.ndarray] = []
-            for a, b in blocks(values, 1 << 20):
-                ids += words.of(values[a:b])
-            names, scores = _predict(held.value, words.rows, ids) if held.value.labels else ([UNKNOWN] * len(values), np.zeros(len(values)))
-            kept, own = [batch.column(i) for i in range(batch.num_columns - 1)], [batch.column(batch.num_columns - 1)] if with_text else []
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64()), *own], names=out_names)
+            for start, end in blocks(values, 8 << 20):  # batches of long texts are large
+                words.age()
+                ids: list[np.ndarray] = []
+                for a, b in blocks(values[start:end], 1 << 20):
+                    ids += words.of(values[start + a : start + b])
+                n = end - start
+                names, scores = _predict(held.value, words.rows, ids) if held.value.labels else ([UNKNOWN] * n, np.zeros(n))
+                *kept, own = batch.slice(start, n).columns
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64()), *([own] if with_text else [])], names=out_names)
 
     out_names = [*[f"keep_{i}" for i in range(len(keep))], "id", "held_out", "lang_pred", "score", *(["text_"] if with_text else [])]
     rows = docs.select(
