@@ -88,7 +88,7 @@ class Templates:
 
     @staticmethod
     def of(split: list[list[bytes]], forms: Forms) -> Templates:
-        if len(forms) > 500_000:
+        if len(forms) > 150_000:
             forms.clear()
         words = [w for own in split for w in own]
         value = np.fromiter(map(forms.__getitem__, words), np.uint64, len(words))
