@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import licences, mixing, sharding, substrings
+from ledgerloom.llm import licences, mixing, search, sharding, substrings
 from ledgerloom.llm.decontamination import contaminated
 from ledgerloom.llm.language import fit_languages, identify
 from ledgerloom.llm.neighbours import nearest
@@ -66,6 +66,10 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, _table(spark, d, "labels")))
 
 
+def op12_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.ranked_search(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+
+
 def op13_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, d, "documents"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op12_search": op12_search,
     "op13_mixing": op13_mixing,
 }
 
@@ -88,5 +93,6 @@ ORACLES: dict[str, str] = {
     "op4_licences": licences.oracle(),
     "op5_sharding": sharding.oracle(SHARD_BYTES),
     "op6_substring_dedup": substrings.oracle(REPEATED_WORDS),
+    "op12_search": search.oracle(),
     "op13_mixing": mixing.oracle(),
 }
