@@ -14,6 +14,7 @@ from ledgerloom.llm.neighbours import nearest
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import fit_quality, score_quality
 from ledgerloom.llm.simhash import near_duplicates
+from ledgerloom.llm.spelling import spelling_variants
 from ledgerloom.llm.token_counts import token_counts
 
 SHARD_BYTES = 1 << 20
@@ -66,6 +67,10 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, _table(spark, d, "labels")))
 
 
+def op11_spelling(spark: SparkSession, d: str) -> DataFrame:
+    return spelling_variants(_table(spark, d, "documents"))
+
+
 def op12_search(spark: SparkSession, d: str) -> DataFrame:
     return search.ranked_search(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_spelling": op11_spelling,
     "op12_search": op12_search,
     "op13_mixing": op13_mixing,
 }

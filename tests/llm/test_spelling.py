@@ -1,0 +1,138 @@
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ledgerloom.llm import spelling
+from ledgerloom.llm.spelling import Acceptor, near_pairs, near_words, roots, spelling_variants
+
+LETTERS = "abcdefghijklmnopqrstuvwxyzéß"
+
+
+def one_edit(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
+
+
+def counted(docs):
+    words = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            words[run] += 1
+    return {w: n for w, n in words.items() if len(w) >= 5 and n >= 3}
+
+
+def brute(docs):
+    words = counted(docs)
+    deleted = {}
+    for w in words:
+        for i in range(len(w)):
+            deleted.setdefault(w[:i] + w[i + 1 :], set()).add(w)
+    near = {w: set() for w in words}
+    for short, group in deleted.items():
+        for a in group:
+            near[a] |= {b for b in group | ({short} & words.keys()) if one_edit(a, b)}
+    for a in words:
+        for b in near[a]:
+            near[b].add(a)
+    form = {}
+    for w, n in words.items():
+        if near[w] and words[best := min(near[w], key=lambda x: (-words[x], x))] >= 2 * n:
+            form[w] = best
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return sorted((w, n, len(near[w]), form.get(w), words.get(form.get(w)), root(w)) for w, n in words.items())
+
+
+def rows(df):
+    return sorted(((r.word, r.n, r.n_near, r.form, r.form_n, r.root) for r in df.collect()), key=lambda r: r[0])
+
+
+def test_brute_force_itself():
+    assert one_edit("abc", "abd") and one_edit("abc", "ab") and one_edit("b", "ab") and one_edit("aab", "ab")
+    assert not one_edit("abc", "abc") and not one_edit("ab", "ba") and not one_edit("abc", "a")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.text("abc", max_size=6), max_size=25))
+def test_composition_finds_all_pairs(words):
+    words = list(words)
+    assert near_pairs(words) == {(i, j) for j in range(len(words)) for i in range(j) if one_edit(words[i], words[j])}
+
+
+def test_acceptor_is_minimal():
+    words = sorted(a + b + c for a in "xyz" for b in "pq" for c in ("ing", "ed"))
+    a = Acceptor(words)
+    reached = {0}
+    while more := {s for r in reached for s in a.arcs[r].values()} - reached:
+        reached |= more
+    assert len(reached) == 7 and a.words[0] == len(words)  # 0, after one letter, after two, i, in, e, end
+    for k, w in enumerate(words):
+        state, n = 0, 0
+        for c in w:
+            state, n = next((s, n + i) for x, s, i in a.steps(state) if x == c)
+        assert a.final[state] and n == k
+
+
+@pytest.mark.parametrize("cell", [1 << 14, 6])
+def test_every_pair_once_with_cells_of_any_size(spark, monkeypatch, cell):
+    monkeypatch.setattr(spelling, "CELL", cell)
+    rng = random.Random(1)
+    words = {"".join(rng.choice("ab") for _ in range(rng.choice([5, 6, 7]))) for _ in range(200)}
+    words |= {"stem" * 5 + "".join(rng.choice("abc") for _ in range(rng.choice([3, 4]))) for _ in range(60)} | {"a" * n for n in (5, 6, 7, 20, 21)}
+    words = sorted(words)
+    got = [(r.word, r.near, r.near_n) for r in near_words(spark.createDataFrame(list(zip(words, range(len(words)), strict=True)), "word string, n bigint")).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b, j) for a in words for j, b in enumerate(words) if one_edit(a, b)}
+
+
+def test_whole_table_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = rows(spelling_variants(docs))
+    assert got == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    assert any(r[3] for r in got) and any(r[5] not in (r[0], r[3]) for r in got)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hot_stems_nulls_and_clashing_columns(spark, monkeypatch, seed):
+    monkeypatch.setattr(spelling, "CELL", 20)
+    monkeypatch.setattr(spelling, "COUNTED", 5000)
+    rng = random.Random(seed)
+
+    def word():
+        w = rng.choice(["Letters", "straße", "VARIANTS", "ÉTÉSÀÿ", "common" * 3, "ab", "quite×odd"])
+        for _ in range(rng.choice([0, 0, 0, 1, 1, 2])):
+            i = rng.randrange(len(w))
+            w = rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice(LETTERS[:3]) + w[i:], w[:i] + rng.choice(LETTERS) + w[i + 1 :]]) or "x"
+        return w
+
+    docs = [(rng.choice([i, 5, None]), rng.choice([" ", "’", "1", "\n"]).join(word() for _ in range(60))) for i in range(120)]
+    docs += [(1, None), (2, ""), (3, "1 2 ..")] + docs[:7]
+    df = spark.createDataFrame([(*d, 1, "n") for d in docs], "doc_id bigint, text string, n int, word string").repartition(5)
+    got = rows(spelling_variants(df))
+    assert got == brute(docs) and any(r[3] for r in got)
+
+
+def test_chains_of_forms(spark):
+    chain = spark.createDataFrame([(f"w{i:03}", f"w{i + 1:03}") for i in range(100)] + [("x", "w050")], "word string, form string")
+    assert {r.root for r in roots(chain).collect()} == {"w100"}
+
+
+def test_empty_table_and_long_runs(spark):
+    docs = spark.createDataFrame([(i, "a" * 900 + " " + "a" * 901 + " " + "b" * 700 + "c") for i in range(4)], "doc_id bigint, text string")
+    assert spelling_variants(docs.limit(0)).collect() == []
+    assert rows(spelling_variants(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
+    with pytest.raises(ValueError):
+        spelling_variants(docs, ratio=1)
