@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import blocks, stored, texts
+from ledgerloom.llm.shared import LONG, blocks, frugal, stored, texts
 
 #: Words that stand for numbers, and for units.
 NUMBER_WORDS = frozenset(
@@ -52,7 +52,7 @@ def bare(word: bytes) -> str:
 
 
 class Forms(dict):
-    """For each word the number of its lower-cased form, with flags that tell what else it may be; forgets all at a bound."""
+    """For each word the number of its lower-cased form, with flags that tell what else it may be; forgets all at a bound, and long words at once."""
 
     def __missing__(self, word: bytes) -> int:
         text, own = word.decode(), bare(word)
@@ -68,7 +68,8 @@ class Forms(dict):
             else:
                 flags |= (_IS_UNIT if low in UNIT_WORDS else 0) | (_CAPITAL if own[0].isupper() and not own.isupper() else 0)
             value = _number_of(low) | flags
-        self[word] = value
+        if len(word) <= LONG:
+            self[word] = value
         return value
 
 
@@ -302,7 +303,7 @@ def contaminated(
                     )
                 row += b - a
 
-    hits = stored(docs.select(id_col, text_col).mapInArrow(run, f"row bigint, doc_id {kind}, pos bigint, hash bigint, slots array<string>"), "hits")
+    hits = stored(docs.select(id_col, text_col).mapInArrow(frugal(run), f"row bigint, doc_id {kind}, pos bigint, hash bigint, slots array<string>"), "hits")
     met = hits.select("row", "hash").join(items.select("hash", "item", "item_pos", "width", "item_forms"), "hash")
     near = met.groupBy("row", "item", "item_forms").agg(F.collect_set(F.struct("item_pos", "width")).alias("met"))
     near = stored(near.where(F.size(_covered(F.col("met"))) >= least * F.col("item_forms")).select("row", "item"), "near")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.shared import blocks, small_or_stored, texts
+from ledgerloom.llm.shared import blocks, frugal, small_or_stored, texts
 
 #: Label of texts that are null or have no letter.
 UNKNOWN = "und"
@@ -238,26 +238,27 @@ def fit_languages(
 
 
 class _Words:
-    """Emissions of the tokens that a task has met, up to a bound; the worker keeps nothing for the next task."""
+    """Emissions of the tokens that a task has met, up to bounds of tokens and bytes; the worker keeps nothing for the next task."""
 
-    def __init__(self, crf: Crf, most: int = 200_000):
-        self.crf, self.most = crf, most
+    def __init__(self, crf: Crf, most: int = 200_000, most_bytes: int = 1 << 25):
+        self.crf, self.most, self.most_bytes, self.held = crf, most, most_bytes, 0
         #: for each word the row of its one token, -1 if it has none, or -2 and less for the place of several in ``long``
         self.number: dict[bytes, int] = {}
         self.long: list[np.ndarray] = []
         self.rows, self.used = np.zeros((1024, len(crf.labels)), np.float32), 0
 
     def age(self) -> None:
-        if self.used > self.most:
+        if self.used > self.most or self.held > self.most_bytes:
             self.number.clear()
             self.long.clear()
-            self.used = 0
+            self.used = self.held = 0
 
     def of(self, values: list[bytes]) -> list[np.ndarray]:
         """Row numbers of each text's tokens."""
         split = [v.split() for v in values]
         if new := [w for w in set().union(*split) if w not in self.number]:
             flat: list[str] = []
+            self.held += sum(map(len, new)) + 100 * len(new)
             for w in new:
                 own = letters(w)
                 at = self.used + len(flat)
@@ -378,5 +379,5 @@ def identify(docs: DataFrame, crf: Crf, folds: int = 4, held_fold: int = 2, id_c
         F.coalesce(fold(id_col, folds) == held_fold, F.lit(False)).alias("held_out"), F.col(text_col).alias("text_"),
     )
     kinds = [*[rows.schema[f"keep_{i}"].dataType.simpleString() for i in range(len(keep))], rows.schema["id"].dataType.simpleString(), "boolean", "string", "double", *(["string"] if with_text else [])]
-    found = rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(out_names, kinds, strict=True)))
+    found = rows.mapInArrow(frugal(run), ", ".join(f"{n} {k}" for n, k in zip(out_names, kinds, strict=True)))
     return found.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], F.col("id").alias(id_col), "held_out", "lang_pred", "score", *(["text_"] if with_text else []))

@@ -6,7 +6,6 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.shared import TwoGenerations, blocks, stored, texts
+from ledgerloom.llm.shared import LONG, TwoGenerations, blocks, frugal, kept, stored, texts
 
 #: A word of letters that lower-case one to one and are composed already, then marks of one pre-token.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!|%$&#*;:?]*)")
@@ -28,7 +27,8 @@ class WordIds:
     ids are its words' ids in order. Ids are kept as little-endian unsigned
     32-bit bytes. Words of plain letters with trailing marks are split into the
     two, lower-cased, so that their many spellings share one entry; all others
-    go to the library whole.
+    go to the library whole. Words of over LONG bytes are not kept. ``most``
+    bounds each generation of what is kept, in bytes.
     """
 
     def __init__(self, path: str, most: int):
@@ -40,9 +40,10 @@ class WordIds:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
 
-    def _library(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+    def _library(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        for a, b in blocks(words, 1 << 18):  # the library's results take some 50 times the text
+            for w, e in zip(words[a:b], self.tokenizer.encode_batch_fast([w.decode() for w in words[a:b]], add_special_tokens=False), strict=True):
+                yield w, np.array(e.ids, "<u4").tobytes()
 
     def _single(self, words: list[bytes]) -> None:
         """Words that are one pre-token each, many to a call."""
@@ -51,11 +52,12 @@ class WordIds:
             ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):
-                self._library(part)
+                for w, own in self._library(part):
+                    self.known.put(w, own)
                 continue
             raw, start = ids.tobytes(), 0
             for w, end in zip(part, (ends * 4).tolist(), strict=True):
-                self.known[w] = raw[start:end]
+                self.known.put(w, raw[start:end])
                 start = end
 
     def learn(self, words: set[bytes]) -> None:
@@ -73,22 +75,22 @@ class WordIds:
         parts.discard(b"")
         self._single(self.known.lacking(parts))
         for w, core, marks in plain:
-            self.known[w] = self.known[core] + self.known[marks] if marks else self.known[core]
-        if other:
-            self._library(other)
+            if w != core:
+                self.known.put(w, self.known[core] + self.known[marks] if marks else self.known[core])
+        for w, own in self._library(other):
+            self.known.put(w, own)
 
     def of(self, values: list[bytes]) -> list[bytes]:
         """The ids of each text."""
         split = [v.split() for v in values]
-        self.learn(set().union(*split))
+        words = set().union(*split)
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-@lru_cache(maxsize=1)
-def _word_ids(path: str, most: int) -> WordIds:
-    """Kept by a Python worker from task to task."""
-    return WordIds(path, most)
+        if long := [w for w in words if len(w) > LONG]:
+            words.difference_update(long)
+            once, short = dict(self._library(long)), get
+            get = lambda w: once[w] if len(w) > LONG else short(w)
+        self.learn(words)
+        return [b"".join(map(get, own)) for own in split]
 
 
 def differencing(sizes: list[int], k: int) -> np.ndarray:
@@ -292,7 +294,7 @@ TASKS = 256
 
 def pack(
     docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group: int = 128, cuts: bool = True, with_ids: bool = True,
-    known_words: int = 600_000, id_col: str = "doc_id", text_col: str = "text",
+    known_bytes: int = 1 << 26, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Packs every document, followed by ``end_id``, into windows of at most ``capacity`` tokens.
 
@@ -304,7 +306,7 @@ def pack(
     a window with goes to a second round, in which the rests of TASKS tasks meet
     (at most that many windows), so padding does not depend on how the table is
     partitioned. A task holds one group of windows and a few MB of text. A worker
-    keeps the ids of up to twice ``known_words`` words (200 bytes each). The
+    keeps up to twice ``known_bytes`` of words and their ids. The
     first round is stored. Without ``cuts`` only texts of over a window are cut.
 
     Null text counts as empty: a piece with the end token alone. Each row is
@@ -333,7 +335,7 @@ def pack(
         return pa.RecordBatch.from_arrays([*arrays, pa.array(raw if rest else [None] * len(rows), pa.binary())], names=first_schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, task = _word_ids(tokenizer_path, known_words), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        words, end, task = kept(("word ids", tokenizer_path, known_bytes), lambda: WordIds(tokenizer_path, known_bytes)), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         packer = _Packer(capacity, group, cuts, task << 32)
         for batch in batches:
             keys, values = batch.column(0).to_pylist(), texts(batch, text_col)
@@ -366,6 +368,6 @@ def pack(
             if rows := packer.taken():
                 yield batch_of(rows).select(schema.names)
 
-    first = stored(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, first_schema), "packed")
+    first = stored(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(run), first_schema), "packed")
     rests = first.where(F.col("rest").isNotNull()).select(id_col, "start", "rest", "doc_tokens", "offset").repartition("offset").sortWithinPartitions("offset", id_col, "start")
-    return first.where(F.col("rest").isNull()).select(*schema.names).unionByName(rests.mapInArrow(again, schema))
+    return first.where(F.col("rest").isNull()).select(*schema.names).unionByName(rests.mapInArrow(frugal(again), schema))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,10 +14,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.sources.scratch import stored
 
-__all__ = ["TwoGenerations", "blocks", "small_or_stored", "stored", "texts"]
+__all__ = ["LONG", "TwoGenerations", "blocks", "frugal", "kept", "small_or_stored", "stored", "texts"]
 
 #: Most rows of narrow tables that are broadcast.
 SMALL = 100_000
+#: Bytes of a word from which on no worker keeps what it has worked out for it: in unspaced text a word is a whole line, which seldom comes again.
+LONG = 64
 
 
 def small_or_stored(df: DataFrame, name: str) -> DataFrame:
@@ -44,17 +50,26 @@ def blocks(values: list[bytes], most_bytes: int) -> Iterator[tuple[int, int]]:
 
 
 class TwoGenerations(dict):
-    """A mapping of bounded size: ``age`` drops entries unused for a generation of ``most`` entries."""
+    """A mapping of bytes to bytes of bounded size: ``age`` drops entries unused for a generation of ``most`` bytes.
+
+    Entries count with 200 bytes besides their own. Both generations together
+    hold twice ``most`` and what one piece of work adds.
+    """
 
     def __init__(self, most: int):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.held, self.old = most, 0, {}
+
+    def put(self, key: bytes, value: bytes) -> None:
+        self[key] = value
+        self.held += len(key) + len(value) + 200
 
     def age(self) -> None:
         """To be called between pieces of work; what a piece has looked up stays until it ends."""
-        if len(self) > self.most:
+        if self.held > self.most:
             self.old = dict(self)
             self.clear()
+            self.held = 0
 
     def lacking(self, keys: set) -> list:
         """Keys held in neither generation; those in the old one move up."""
@@ -63,5 +78,40 @@ class TwoGenerations(dict):
             if (v := self.old.get(k)) is None:
                 out.append(k)
             else:
-                self[k] = v
+                self.put(k, v)
         return out
+
+
+_KEPT: dict[tuple, Any] = {}
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by a Python worker from task to task until another key is asked for."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _give_back()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system, which allocators otherwise keep for the worker's next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work; a worker, which lives on for other stages, gives back what a task of it took."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import golay
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import small_or_stored, stored, texts
+from ledgerloom.llm.shared import blocks, frugal, small_or_stored, stored, texts
 
 #: Bits of the three segments of a fingerprint, from the low end; each fits a Golay word.
 SEGMENTS = (22, 21, 21)
@@ -22,6 +22,8 @@ CELL = 4096
 #: Most pairs of a cell written out for each of its members; a cell with more is verified as a whole.
 PARTNERS = 4
 EXPANDED = 1 << 14
+#: Most shingle hashes, of 8 bytes, of a crowded cell that one task compares.
+HASHES = 1 << 22
 
 
 def _mixed(hashes: np.ndarray, family: int) -> np.ndarray:
@@ -96,7 +98,7 @@ def fingerprints(docs: DataFrame, words: int, families: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(families)]], names=names)
 
     schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *[f"{n} bigint" for n in names[1:]]])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), schema)
 
 
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +203,7 @@ def _cells(
     columns = "key bigint, node bigint, " + ", ".join(f"{n} bigint" for n in names)
     # a row has 3 or some 29 keys for each family, so few rows make a task
     dealt = distinct.select("node", *names, *more).repartition(max(1, distinct.count() // EXPANDED), "node")
-    keyed = dealt.mapInArrow(expand, columns)
+    keyed = dealt.mapInArrow(frugal(expand), columns)
     # a key of more than CELL nodes is dealt into chunks, and each two chunks meet in a cell of their own
     full = keyed.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / (CELL // 2)).cast("int").alias("chunks"))
     full = small_or_stored(full, "full-keys")  # few as a rule, and then the rows of all keys are shuffled only once
@@ -245,7 +247,7 @@ def _cells(
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "key", "cell"])
 
     parts = keyed.repartition("key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "node", *names)
-    return parts.mapInArrow(compare, "a bigint, b bigint" + (", key bigint, cell bigint" if group else "")).distinct()
+    return parts.mapInArrow(frugal(compare), "a bigint, b bigint" + (", key bigint, cell bigint" if group else "")).distinct()
 
 
 def joined(groups: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -280,8 +282,14 @@ def joined(groups: np.ndarray, sets: list[np.ndarray], similarity: float) -> tup
 def _verified(crowded: DataFrame, similarity: float) -> DataFrame:
     """(a, b) links within the cells of (key, cell, node, group, own), found in the task that has the cell.
 
-    A task holds the sets of one cell: of at most ``CELL`` texts.
+    A task holds the sets of one cell. A cell of over HASHES hashes is dealt
+    into chunks first, of which each two meet in a cell of their own.
     """
+    sizes = crowded.groupBy("key", "cell").agg(F.sum(F.size("own").cast("bigint")).alias("hashes")).where(F.col("hashes") > HASHES)
+    sizes = small_or_stored(sizes.select("key", "cell", F.ceil(F.col("hashes") / (HASHES // 2)).cast("int").alias("chunks")), "large-cells")
+    own = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int")
+    with_other = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda o: F.least(own, o).cast("bigint") * (1 << 31) + F.greatest(own, o))
+    crowded = crowded.join(sizes, ["key", "cell"], "left").withColumn("chunk", F.explode(with_other)).withColumn("cell", F.struct("cell", "chunk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, nodes, groups, sets = None, [], [], []
@@ -304,7 +312,7 @@ def _verified(crowded: DataFrame, similarity: float) -> DataFrame:
             yield found()
 
     dealt = crowded.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return dealt.select("key", "cell", "node", "group", "own").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.select("key", F.xxhash64("cell"), "node", "group", "own").mapInArrow(frugal(run), "a bigint, b bigint").distinct()
 
 
 def _classes(own: DataFrame, families: int, most: int) -> DataFrame:
@@ -329,8 +337,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, id_col: str
     of them. Cells give stars instead of all their pairs, which connect the
     same documents.
 
-    Null or empty text has fingerprint zero and is linked like any other. Null
-    ids keep their rows; a component of null ids alone has a null component_id.
+    Null or empty text has fingerprint zero and is linked like any other. A very
+    long text takes memory in proportion to its words. Null ids keep their rows; a component of null ids alone has a null component_id.
     Repeated rows stay. Other columns are ignored. An empty table gives no rows.
     """
     if not 0 <= most <= 3:
@@ -372,9 +380,10 @@ def similar_documents(
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = [shingles(t, words) for t in texts(part, "text")]
+            values = texts(batch, "text")
+            for a, b in blocks(values, 1 << 20):
+                part = batch.slice(a, b - a)
+                sets = [shingles(t, words) for t in values[a:b]]
                 fps = np.array([set_fingerprint(x, searched) for x in sets], np.uint64).view(np.int64)
                 node = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
                 cols = [part.column(0), part.column(1), pa.array(node), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(searched)]]
@@ -382,20 +391,21 @@ def similar_documents(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                sets = [shingles(t, words) for t in texts(part, "text")]
+            values = texts(batch, "text")
+            for a, b in blocks(values, 1 << 20):
+                part = batch.slice(a, b - a)
+                sets = [shingles(t, words) for t in values[a:b]]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"])
 
     schema = ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, written bigint, node bigint", *[f"{n} bigint" for n in names]])
-    own = stored(rows.select("doc_id", F.xxhash64("text").alias("written"), "text").mapInArrow(sign, schema), "fingerprints")
+    own = stored(rows.select("doc_id", F.xxhash64("text").alias("written"), "text").mapInArrow(frugal(sign), schema), "fingerprints")
     least = [F.min("doc_id").alias("least"), F.min("written").alias("written"), *[F.min(n).alias(n) for n in names]]
     distinct = stored(own.groupBy("node").agg(*least), "distinct")
     near = stored(_cells(distinct, families, most, searched=searched, keys_of=code_keys), "candidates")
     met = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     met = stored(distinct.join(met, "node", "left_semi"), "met")
     wanted = small_or_stored(met.select("node", "written"), "wanted")
-    held = rows.withColumn("written", F.xxhash64("text")).join(wanted, "written").select("node", "text").mapInArrow(cut, "node bigint, own array<bigint>")
+    held = rows.withColumn("written", F.xxhash64("text")).join(wanted, "written").select("node", "text").mapInArrow(frugal(cut), "node bigint, own array<bigint>")
     held = stored(held.dropDuplicates(["node"]), "shingles")
 
     def alike(pairs: DataFrame) -> DataFrame:

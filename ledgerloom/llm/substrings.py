@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.automaton import SuffixAutomaton
-from ledgerloom.llm.shared import blocks, stored, texts
+from ledgerloom.llm.shared import LONG, blocks, frugal, stored, texts
 
 #: Words of the grams from which a window's anchor is chosen.
 GRAM = 8
@@ -26,10 +26,12 @@ SHARD_WORDS = 30_000
 
 
 class _Numbers(dict):
-    """64-bit hashes of words, each worked out once; forgets all at a bound."""
+    """64-bit hashes of words, each worked out once; forgets all at a bound, and long words at once."""
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONG:
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -96,13 +98,13 @@ def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
-    return keyed.select("k", "t", "text").mapInArrow(run, "k bigint, t bigint, start bigint, n bigint, anchor bigint, digest bigint")
+    return keyed.select("k", "t", "text").mapInArrow(frugal(run), "k bigint, t bigint, start bigint, n bigint, anchor bigint, digest bigint")
 
 
 def _fragment_words(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """(anchor, digest, weight, n, many, words): the wanted fragments with their words."""
     lists = wanted.groupBy("k", "t").agg(F.collect_list(F.struct("start", "n", "anchor", "digest", "weight", "many")).alias("w"))
-    both = keyed.select("k", "t", "text").join(lists, ["k", "t"]).dropDuplicates(["k", "t"]).select("text", *[F.col(f"w.{c}").alias(c) for c in ("start", "n", "anchor", "digest", "weight", "many")])
+    both = keyed.select("k", "t", "text").join(stored(lists, "wanted"), ["k", "t"]).dropDuplicates(["k", "t"]).select("text", *[F.col(f"w.{c}").alias(c) for c in ("start", "n", "anchor", "digest", "weight", "many")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +122,7 @@ def _fragment_words(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFra
                         [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "digest", "weight", "n", "many", "words"]
                     )
 
-    return both.mapInArrow(run, "anchor bigint, digest bigint, weight bigint, n bigint, many boolean, words binary")
+    return both.mapInArrow(frugal(run), "anchor bigint, digest bigint, weight bigint, n bigint, many boolean, words binary")
 
 
 def repeated_in_shard(rows: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
@@ -162,7 +164,7 @@ def _by_automata(words: DataFrame, window: int) -> DataFrame:
             yield judged()
 
     few = words.where(~F.col("many")).select("anchor", "digest", "weight", "words")
-    return few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor bigint, digest bigint, mask bigint")
+    return few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(frugal(run), "anchor bigint, digest bigint, mask bigint")
 
 
 def _signed(value: int) -> int:
@@ -203,11 +205,11 @@ def _by_digests(words: DataFrame, window: int) -> DataFrame:
                 out += [(anchor, digest, weight, i, _signed(xxhash.xxh3_64_intdigest(b" ".join(part[i : i + window])))) for i in range(a, b)]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], names=["anchor", "digest", "weight", "place", "own"])
 
-    sides = stored(many.mapInArrow(halves, "anchor bigint, digest bigint, weight bigint, a bigint, b bigint, own bigint"), "halves")
+    sides = stored(many.mapInArrow(frugal(halves), "anchor bigint, digest bigint, weight bigint, a bigint, b bigint, own bigint"), "halves")
     again = stored(sides.groupBy("anchor", "own").agg(F.sum("weight").alias("times")).where("times > 1").drop("times"), "again")
     wanted = sides.join(again, ["anchor", "own"]).select("anchor", "digest", "weight", "a", "b")
     wanted = wanted.join(many.select("anchor", "digest", "words"), ["anchor", "digest"]).select("anchor", "digest", "weight", "a", "b", "words")
-    windows = stored(wanted.mapInArrow(each, "anchor bigint, digest bigint, weight bigint, place bigint, own bigint"), "windows")
+    windows = stored(wanted.mapInArrow(frugal(each), "anchor bigint, digest bigint, weight bigint, place bigint, own bigint"), "windows")
     often = stored(windows.groupBy("anchor", "own").agg(F.sum("weight").alias("times")).where("times > 1").drop("times"), "often")
     hit = windows.where("weight = 1").join(often, ["anchor", "own"])
     return hit.groupBy("anchor", "digest").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("mask"))
@@ -231,8 +233,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     with over VARIANTS different fragments are not gathered: their windows are
     counted by digest, with the same result. Digests are 128 bits in effect.
 
-    Null text has no words. Each row is judged for itself and rows that repeat
-    count as elsewhere; null ids are allowed. Documents shorter than a window
+    Null text has no words. A very long text takes memory in proportion to its
+    words. Each row is judged for itself and rows that repeat count as elsewhere; null ids are allowed. Documents shorter than a window
     keep all. Other columns are ignored. An empty table gives no rows.
     """
     if not GRAM <= window <= GRAM + 61:
@@ -253,7 +255,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     masks = masks.unionByName(kinds.where("weight > 1").select("anchor", "digest", F.expr("shiftleft(1L, cast(n as int)) - 1").alias("mask")))
 
     spans = found.join(masks, ["anchor", "digest"]).groupBy("k", "t").agg(F.collect_set(F.struct("start", "mask")).alias("s"))
-    both = keyed.join(spans, ["k", "t"], "left").select("id", "text", F.col("s.start").alias("start"), F.col("s.mask").alias("mask"))
+    both = keyed.join(stored(spans, "spans"), ["k", "t"], "left").select("id", "text", F.col("s.start").alias("start"), F.col("s.mask").alias("mask"))
     names = [id_col, "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +282,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays(arrays + ([pa.array(cols[3], pa.binary()).cast(pa.string())] if with_text else []), names=names)
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return both.mapInArrow(run, f"`{id_col}` {id_type}, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string" if with_text else ""))
+    return both.mapInArrow(frugal(run), f"`{id_col}` {id_type}, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string" if with_text else ""))
 
 
 def oracle(window: int) -> str:

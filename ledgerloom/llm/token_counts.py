@@ -5,14 +5,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import stored
+from ledgerloom.llm.shared import LONG, blocks, frugal, kept, stored
 
 #: The white space of Unicode.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -20,35 +19,45 @@ _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 _UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
-def units(text: str, special: tuple[str, ...]) -> list[str]:
-    """Cuts a text where byte-level BPE always cuts it; the parts' token counts add up to the text's.
+class _Library:
+    """The tokenizer of a file, and where it always cuts a text."""
 
-    Strings of special tokens are parts of their own, as the library takes them
-    out of a text before anything else.
-    """
-    if not any(s in text for s in special):
-        return _UNIT.findall(text)
-    out = []
-    for part in re.split("(" + "|".join(map(re.escape, special)) + ")", text):
-        out += [part] if part in special else _UNIT.findall(part)
-    return out
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.special = tuple(sorted((a.content for a in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True))
+
+    def units(self, text: str) -> list[str]:
+        """Cuts a text where byte-level BPE always cuts it; the parts' token counts add up to the text's.
+
+        Parts are words with the space before; one of over LONG signs, as all are in
+        unspaced scripts, is cut into its pre-tokens, which come again elsewhere.
+        Strings of special tokens are parts of their own, as the library takes them
+        out of a text before anything else.
+        """
+        if any(s in text for s in self.special):
+            return [u for part in re.split("(" + "|".join(map(re.escape, self.special)) + ")", text) for u in ([part] if part in self.special else self._words(part))]
+        return self._words(text)
 
+    def _words(self, text: str) -> list[str]:
+        found = _UNIT.findall(text)
+        if max(map(len, found), default=0) > LONG:
+            found = [p for u in found for p in ([u[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(u)] if len(u) > LONG else (u,))]
+        return found
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t, tuple(sorted((a.content for a in t.get_added_tokens_decoder().values()), key=len, reverse=True))
+def _library(path: str) -> _Library:
+    return kept(("token counts", path), lambda: _Library(path))
 
 
-def distinct_units(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(unit, n): every distinct pre-token of the corpus and how often it occurs."""
+def distinct_units(docs: DataFrame, path: str, text_col: str = "text", most: int = 1 << 26) -> DataFrame:
+    """(unit, n): every distinct pre-token of the corpus and how often it occurs; a task holds ``most`` bytes of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special, counts = _tokenizer(path)[1], Counter()
+        library, counts, held, large = _library(path), Counter(), 0, 0
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
@@ -58,36 +67,42 @@ def distinct_units(docs: DataFrame, path: str, text_col: str = "text") -> DataFr
         for batch in batches:
             for text in batch.column(0):
                 if (text := text.as_py()) is not None:
-                    counts.update(units(text, special))
-                    if len(counts) > 400_000:
+                    before, found = len(counts), library.units(text)
+                    counts.update(found)
+                    held += 150 * (len(counts) - before)
+                    large += sum(len(u) for u in found if len(u) > LONG)  # repeats counted: at most the bytes that are held
+                    if held + large > most:
                         yield out()
+                        held = large = 0
         yield out()
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col)).mapInArrow(frugal(run), "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def piece_counts(distinct: DataFrame, path: str) -> DataFrame:
     """Adds ``pieces``, the number of tokens of each unit; no ids leave the library call."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)[0]
+        tokenizer = _library(path).tokenizer
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                pieces = [len(e) for e in tokenizer.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)]
+            values = batch.column(0).to_pylist()
+            for a, b in blocks(values, 1 << 16):  # the library's results take many times the text
+                pieces = [len(e) for e in tokenizer.encode_batch_fast(values[a:b], add_special_tokens=False)]
+                part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pieces, pa.int32())], names=["unit", "n", "pieces"])
 
-    return distinct.mapInArrow(run, "unit string, n bigint, pieces int")
+    return distinct.mapInArrow(frugal(run), "unit string, n bigint, pieces int")
 
 
 def frequent(counted: DataFrame, most: int) -> DataFrame:
-    """The most frequent units, ``most`` of them at the utmost.
+    """The most frequent units of up to LONG bytes, ``most`` of them at the utmost.
 
     Counts are put in at most a few hundred classes, eight to each power of
     two; whole classes are taken from the top as long as they fit.
     """
     level = F.floor(F.log2("n") * 8)
     left, least = most, None
+    counted = counted.where(F.octet_length("unit") <= LONG)
     for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
         if r["count"] > left:
             break
@@ -96,7 +111,7 @@ def frequent(counted: DataFrame, most: int) -> DataFrame:
 
 
 def token_counts(
-    docs: DataFrame, tokenizer_path: str, limit: int = 1024, hot: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, limit: int = 1024, hot: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``).
 
@@ -104,11 +119,13 @@ def token_counts(
     frequent pre-tokens, at most ``hot``, are joined where documents are read;
     the frequencies of all others are shuffled to their counts and summed per
     document, so no key of that shuffle is a frequent one. Nothing but the hot
-    list (a few MB at any size of input) passes the driver.
+    list passes the driver: at most ``hot`` pre-tokens of LONG bytes each (8 MB),
+    at any size of input. Longer ones always go through the shuffle.
 
     Null text counts as empty (0 bytes, 0 tokens). Each row keeps its own
-    result, so ids may repeat or be null. Other columns are ignored. An empty
-    table gives no rows.
+    result, so ids may repeat or be null. A very long text takes memory in
+    proportion to its pre-tokens in the task that reads it. Other columns are
+    ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     counted = stored(piece_counts(distinct_units(docs, tokenizer_path, text_col), tokenizer_path), "pieces")
@@ -116,14 +133,15 @@ def token_counts(
     known = spark.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).to_pylist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special, get = _tokenizer(tokenizer_path)[1], dict(zip(*known.value, strict=True)).get
+        library, get = _library(tokenizer_path), dict(zip(*known.value, strict=True)).get
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            written = batch.column(1).to_pylist()
+            for a, b in blocks([t or "" for t in written], 1 << 20):
+                part = batch.slice(a, b - a)
                 sums, n_bytes, rare, rare_rows, times = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    values = list(map(get, found := units(text or "", special)))
+                for text in written[a:b]:
+                    values = list(map(get, found := library.units(text or "")))
                     if None in values:
                         for u, n in Counter(u for u, v in zip(found, values, strict=True) if v is None).items():
                             rare_rows.append(row)
@@ -148,7 +166,7 @@ def token_counts(
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(
-        run, f"row bigint, id {id_type}, own boolean, n_bytes bigint, unit string, n bigint"
+        frugal(run), f"row bigint, id {id_type}, own boolean, n_bytes bigint, unit string, n bigint"
     )
     # a document's own row joins nothing; its key only spreads such rows over the partitions
     pieces = counted.select(F.lit(False).alias("own"), "unit", "pieces")

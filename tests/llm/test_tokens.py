@@ -7,12 +7,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from ledgerloom.llm import token_counts as counting
 from ledgerloom.llm.packing import WordIds, cut, differencing, fill, pack
-from ledgerloom.llm.token_counts import _tokenizer, token_counts, units
+from ledgerloom.llm.token_counts import _Library, token_counts
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 TEXT = st.lists(st.sampled_from([*"abA\u00c9\u00df\u00e9'st.,!1 \n\t\r\x0b\x0c\x1c\x85\xa0\u2003\u0301\u200d\u0130\u0399\u03a3\uff12<|>_\x00", "<|endoftext|>", "  ", "don't ", "<|startoftext|>"]), max_size=30).map("".join)
-SAMPLES = ["", " ", "Hello,  world!!\n\n x", "Éréaux.%%% $$$", "a  b  <|endoftext|>  c<|endoftext|><|endoftext|>", "'s 'll don't", "x" * 3000, "İΣΑΣ ǅ é ́a"]
+SAMPLES = ["", " ", "Hello,  world!!\n\n x", "Éréaux.%%% $$$", "a  b  <|endoftext|>  c<|endoftext|><|endoftext|>", "'s 'll don't", "x" * 3000, "字符和𝒳中文,12标点。don't" * 40, "İΣΑΣ ǅ é ́a"]
 
 
 @settings(max_examples=300, deadline=None)
@@ -21,15 +22,20 @@ def test_word_ids_are_the_librarys(text):
     assert np.frombuffer(W.of([text.encode()])[0], "<u4").tolist() == T.encode(text, add_special_tokens=False).ids
 
 
-W, T = WordIds(WORD, 50), Tokenizer.from_file(WORD)
-B, SPECIAL = _tokenizer(BYTE)
+W, T = WordIds(WORD, 5000), Tokenizer.from_file(WORD)
+L = _Library(BYTE)
+B = L.tokenizer
 
 
-@settings(max_examples=300, deadline=None)
+@pytest.mark.parametrize("long", [0, 64])
+@settings(max_examples=200, deadline=None)
 @given(TEXT)
-def test_units_add_up(text):
-    assert "".join(units(text, SPECIAL)) == text
-    assert sum(len(B.encode(u, add_special_tokens=False).ids) for u in units(text, SPECIAL)) == len(B.encode(text, add_special_tokens=False).ids)
+def test_units_add_up(long, text):
+    counting.LONG = long
+    found = L.units(text)
+    counting.LONG = 64
+    assert "".join(found) == text
+    assert sum(len(B.encode(u, add_special_tokens=False).ids) for u in found) == len(B.encode(text, add_special_tokens=False).ids)
 
 
 def test_differencing_is_near_equal():
@@ -124,3 +130,51 @@ def test_token_counts_of_a_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id: r.n_tokens for r in token_counts(docs, BYTE, hot=2000).collect()}
     assert got == {r.doc_id: len(B.encode(r.text, add_special_tokens=False).ids) for r in docs.collect()}
+
+
+UNSPACED = """
+import glob, random, sys
+import public_tokenizers
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from ledgerloom.llm.decontamination import contaminated
+from ledgerloom.llm.packing import pack
+from ledgerloom.llm.substrings import remove_repeats
+from ledgerloom.llm.token_counts import token_counts
+
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1]).config("spark.driver.memory", "3g").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+# 10 kB of letters, signs and digits without a space, no two alike
+line = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(156)), lambda i: F.translate(F.sha2(F.concat_ws(":", "id", i).cast("string"), 256), "0369cf", "中,文xé7")))
+spark.range(0, 5000, 1, 8).select(F.col("id").alias("doc_id"), line.alias("text")).write.parquet(sys.argv[1] + "/docs")
+docs = spark.read.parquet(sys.argv[1] + "/docs")
+items = spark.createDataFrame([(1, "six words that are never there")], "item_id bigint, text string")
+word, byte = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+assert contaminated(docs, items).count() == 0
+assert {r.n_removed for r in remove_repeats(docs, with_text=False).collect()} == {0}
+packed = {r.doc_id: r.doc_tokens for r in pack(docs, word, with_ids=False).collect()}
+counted = {r.doc_id: r.n_tokens for r in token_counts(docs, byte).collect()}
+for r in docs.where("doc_id % 500 = 0").collect():
+    assert packed[r.doc_id] == len(Tokenizer.from_file(word).encode(r.text, add_special_tokens=False).ids) + 1
+    assert counted[r.doc_id] == len(Tokenizer.from_file(byte).encode(r.text, add_special_tokens=False).ids)
+peaks = []
+for path in glob.glob("/proc/[0-9]*"):
+    try:
+        if "pyspark/daemon" in (said := open(path + "/cmdline").read()) or "pyspark.daemon" in said:
+            own = open(path + "/status").read()
+            peaks.append(int(own.split("VmHWM:")[1].split()[0]) // 1024)
+    except OSError:
+        pass
+print("peak MB", max(peaks))
+"""
+
+
+def test_workers_stay_small_on_unspaced_texts(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", UNSPACED, str(tmp_path)], capture_output=True, text=True, timeout=900, env=os.environ)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert int(done.stdout.rsplit("peak MB", 1)[1]) < 400, done.stdout
