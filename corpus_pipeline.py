@@ -60,8 +60,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     rows = _marked(docs)
     found = similar_documents(rows.select("text", F.struct("doc_id", F.xxhash64("text").alias("h"), "row").alias("doc_id")))
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id.row").distinct()
-    # partitioned by the row once, for the join and for repeated rows
+    # stored, since a join right on an aggregate cannot split rows that repeat
+    first = stored(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id.row").distinct(), "first")
     return _documents(rows.select("doc", "row").join(first, "row", "left_semi").dropDuplicates(["row"]), docs)
 
 
@@ -88,7 +88,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 4096 tokens; null and empty texts are an end token alone."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), known_words=100_000)  # workers also hold other stages' modules
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), known_bytes=1 << 24)  # workers also hold other stages' modules
 
 
 STAGES = [
