@@ -126,6 +126,10 @@ class Templates:
     def slot_places(self, reading: int, start: int, size: int) -> list[int]:
         return (np.flatnonzero(self.slots[reading][start : start + size]) + start).tolist()
 
+    def slot_names(self, reading: int, start: int, size: int) -> list[bool]:
+        """Whether each of the window's placeholders is a name."""
+        return [self.values[reading][i] == _PLACEHOLDERS[_CAPITAL] for i in self.slot_places(reading, start, size)]
+
     def slot_values(self, reading: int, start: int, size: int) -> list[str]:
         """What the window's placeholders stand for."""
         return [bare(self.words[self.places[i]]) for i in self.slot_places(reading, start, size)]
@@ -186,18 +190,18 @@ class Templates:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, shortest: int, id_col: str, text_col: str) -> DataFrame:
-    """(hash, item, item_id, item_pos, width, item_forms, item_slots, item_at, base): the windows of each item.
+    """(hash, item, item_id, item_pos, width, item_forms, item_slots, item_at, item_names, base): the windows of each item.
 
-    item numbers the rows, item_at has the places of the slots. base is the
+    item numbers the rows, item_at has the places of the slots, item_names tells which are names. base is the
     width of the item's windows before any was widened; 0 for an item of fewer
     than ``shortest`` forms, which has one window, as a whole sentence.
     """
-    names = ["hash", "item", "item_id", "item_pos", "width", "item_forms", "item_slots", "item_at", "base"]
+    names = ["hash", "item", "item_id", "item_pos", "width", "item_forms", "item_slots", "item_at", "item_names", "base"]
     kind = benchmark.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms, item = Forms(), TaskContext.get().partitionId() << 40
-        kinds = [pa.int64(), pa.int64(), None, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), None, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64()]
         for batch in batches:
             out = []
             for item_id, text in zip(batch.column(0).to_pylist(), texts(batch, text_col), strict=True):
@@ -208,12 +212,12 @@ def benchmark_windows(benchmark: DataFrame, window: int, shortest: int, id_col:
                     t.begins[0] = t.ends[-1] = True
                 for reading, *found in t.windows(base) if base else t.sentences(n) if n else ():
                     for i, size, value in zip(*(x.tolist() for x in found), strict=True):
-                        out.append((value, item, item_id, i, size, n, t.slot_values(reading, i, size), t.slot_places(reading, i, size), base))
-            cols = list(zip(*out, strict=True)) or [()] * 9
+                        out.append((value, item, item_id, i, size, n, t.slot_values(reading, i, size), t.slot_places(reading, i, size), t.slot_names(reading, i, size), base))
+            cols = list(zip(*out, strict=True)) or [()] * 10
             kinds[2] = batch.column(0).type
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    schema = f"hash bigint, item bigint, item_id {kind}, item_pos bigint, width bigint, item_forms bigint, item_slots array<string>, item_at array<bigint>, base bigint"
+    schema = f"hash bigint, item bigint, item_id {kind}, item_pos bigint, width bigint, item_forms bigint, item_slots array<string>, item_at array<bigint>, item_names array<boolean>, base bigint"
     return benchmark.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -227,7 +231,11 @@ def _table_of(items: DataFrame) -> np.ndarray:
 
 
 def _values(x: Column) -> Column:
-    return F.struct(x["a"].alias("a"), x["b"].alias("b"))
+    return F.struct(x["a"].alias("a"), x["name"].alias("name"), x["b"].alias("b"))
+
+
+def _stands(x: Column) -> Column:
+    return F.struct(x["a"], x["name"])
 
 
 def _covered(windows: Column) -> Column:
@@ -254,9 +262,12 @@ def contaminated(
     Matches of a document with an item are followed along each alignment. A
     window with the item's own values always counts. The others count if each
     value of the item stands for one value of the document there: that which it
-    has at most places; windows with another are left out, and if two are
-    equally frequent for a value, all are. So a question with other values in it
-    is caught while a mere likeness of form is not. A document is contaminated
+    has at most places; windows with another are left out. A number, quantity or
+    unit that recurs in the item may stand for two values, since equal numbers
+    are often two parameters; if it has more, and two are equally frequent, its
+    windows are left out. A name with two equally frequent values is no name of
+    the document's, and all windows with other values are left out. So a question
+    with other values in it is caught while a mere likeness of form is not. A document is contaminated
     by an item if at least ``least`` of the item's forms lie in windows that
     count; others give no row. An item of fewer than ``shortest`` forms has no
     template: it is found as a whole sentence of the same words.
@@ -309,17 +320,22 @@ def contaminated(
     near = stored(near.where(F.size(_covered(F.col("met"))) >= least * F.col("item_forms")).select("row", "item"), "near")
     both = hits.join(items, "hash").where(F.size("slots") == F.size("item_slots")).join(near, ["row", "item"], "left_semi")
 
-    pairs = F.transform(F.arrays_zip("item_at", "item_slots", "slots"), lambda x: F.struct(x["item_at"].alias("at"), x["item_slots"].alias("a"), x["slots"].alias("b")))
+    zipped = F.arrays_zip("item_at", "item_slots", "item_names", "slots")
+    pairs = F.transform(zipped, lambda x: F.struct(x["item_at"].alias("at"), x["item_slots"].alias("a"), x["item_names"].alias("name"), x["slots"].alias("b")))
     window_of = F.struct("item_pos", "width", (F.col("slots") == F.col("item_slots")).alias("same"), pairs.alias("pairs"))
     pair = ["row", "doc_id", "item", "item_id", "item_forms"]
     along = both.groupBy(*pair, (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set(window_of).alias("met"))
     along = along.withColumn("all", F.array_distinct(F.flatten("met.pairs")))
     along = along.withColumn("kinds", F.array_distinct(F.transform("all", _values)))
-    counted = F.transform("kinds", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.size(F.filter("all", lambda x: _values(x) == p)).alias("n")))
+    counted = F.transform("kinds", lambda p: F.struct(p["a"].alias("a"), p["name"].alias("name"), p["b"].alias("b"), F.size(F.filter("all", lambda x: _values(x) == p)).alias("n")))
     along = along.withColumn("counted", counted)
-    lead = F.filter("counted", lambda p: ~F.exists("counted", lambda q: (q["a"] == p["a"]) & (q["b"] != p["b"]) & (q["n"] >= p["n"])))
-    along = along.withColumn("lead", F.transform(lead, _values))
-    mapped = F.size("lead") == F.size(F.array_distinct("kinds.a"))
+
+    def leads(p: Column) -> Column:
+        others = F.filter("counted", lambda q: (_stands(q) == _stands(p)) & (q["b"] != p["b"]))
+        return (~p["name"] & (F.size(others) <= 1)) | ~F.exists(others, lambda q: q["n"] >= p["n"])
+
+    along = along.withColumn("lead", F.transform(F.filter("counted", leads), _values))
+    mapped = F.forall("kinds", lambda p: ~p["name"] | F.exists("lead", lambda q: _stands(q) == _stands(p)))
     kept = F.filter("met", lambda w: w["same"] | (mapped & F.forall(w["pairs"], lambda x: F.array_contains("lead", _values(x)))))
     each = along.withColumn("met", kept).where(F.size("met") > 0)
     each = each.select(

@@ -76,14 +76,17 @@ def brute(docs, items, window=6, least=0.5, shortest=5):
                     n = len(key) - (key[-1] == "wide")
                     at = [q + j for j in range(n) if slot(key[j])] if values else []
                     for p, other in places.get(key, []):
-                        alignments.setdefault(p - q, []).append((q, n, list(zip(at, values, other, strict=True))))
+                        kinds = [k for k in key[:n] if slot(k)] if values else []
+                        alignments.setdefault(p - q, []).append((q, n, list(zip(at, values, other, kinds, strict=True))))
                 for hits in alignments.values():
-                    votes = {}
-                    for place, a, b in {x for _, _, pairs in hits for x in pairs}:
-                        votes.setdefault(a, {}).setdefault(b, set()).add(place)
+                    votes = {}  # for each value, with whether it is a name, the places of each value of the document
+                    for place, a, b, kind in {x for _, _, pairs in hits for x in pairs}:
+                        votes.setdefault((a, kind == "<name>"), {}).setdefault(b, set()).add(place)
                     best = {a: [b for b in by if all(len(by[c]) < len(by[b]) for c in by if c != b)] for a, by in votes.items()}
+                    best |= {(a, name): list(by) for (a, name), by in votes.items() if not name and len(by) == 2}
+                    named = all(own for (_, name), own in best.items() if name)
                     for q, n, pairs in hits:
-                        if all(a == b for _, a, b in pairs) or (all(best.values()) and all(best[a] == [b] for _, a, b in pairs)):
+                        if all(a == b for _, a, b, _ in pairs) or (named and all(b in best[a, kind == "<name>"] for _, a, b, kind in pairs)):
                             covered |= set(range(q, q + n))
             if covered and len(covered) / size >= least:
                 out.append((d, i, len(covered) / size))
@@ -170,6 +173,18 @@ def test_values_that_differ_at_one_place(spark):
     assert found(spark, [merged], [two]) == {(0, 0): 1.0}
 
 
+def test_one_value_becomes_two(spark):
+    pens = "Mia buys 4 pens for 2 dollars each and 4 books for 9 dollars each. How much does Mia pay?"
+    rows = "there are 5 rows of 5 marbles in a box and somebody counts them"
+    many = "take 4 cups and 4 spoons and 4 forks and 4 knives then 4 bowls and so on"
+    docs = [
+        pens.replace("4 pens", "6 pens").replace("4 books", "7 books").replace("Mia", "Lea"), rows.replace("5 rows", "8 rows").replace("5 marbles", "6 marbles"),
+        "take 1 cups and 2 spoons and 3 forks and 5 knives then 6 bowls and so on",
+    ]
+    got = found(spark, docs, [pens, rows, many])
+    assert got == {(0, 0): 1.0, (1, 1): 1.0}
+
+
 def test_items_dense_in_placeholders(spark):
     items = [
         "What Is The Capital Of France And Which River Flows Through It", "add 3 4 5 6 7 8 then take 9 10 11 12 13 away and add 14 15 16 17 18 more",
