@@ -30,8 +30,11 @@ def fold(id_col: str, n: int) -> Column:
 
 
 def letters(word: bytes) -> list[str]:
-    """The word's letters in lower case, as tokens of at most LETTERS each; none if it has no letter."""
-    found = "".join(_LETTERS.findall(word.decode())).lower()
+    """The word's letters (Unicode's categories L) in lower case, as tokens of at most LETTERS each; none if it has no letter."""
+    found = "".join(_LETTERS.findall(word.decode()))
+    if not found.isalpha():  # numbers such as ² and Ⅷ
+        found = "".join(filter(str.isalpha, found))
+    found = found.lower()
     return [found[i : i + LETTERS] for i in range(0, len(found), LETTERS)]
 
 
@@ -141,11 +144,11 @@ class Crf:
         return out
 
     @staticmethod
-    def fit(documents: list[tuple[str, str]], seed: int = 5, epochs: int = 4, lexicon_size: int = 4000, snippets: int = 4) -> Crf:
-        """Fits on (text, language) documents.
+    def fit(documents: list[tuple[str, str]], seed: int = 5, epochs: int = 3, lexicon_size: int = 4000) -> Crf:
+        """Fits on (text, language) documents, with every token of each.
 
-        Word sequences are spliced from short stretches of documents, one in
-        three with a change of language inside, so that transitions are learned
+        Texts are cut into sequences of 5 to 24 tokens. To one in three a
+        stretch of another document is spliced, so that transitions are learned
         for code-switched text. Gradients are expected feature counts by
         forward-backward, steps are AdaGrad's.
         """
@@ -160,14 +163,17 @@ class Crf:
         if not split or len(labels) < 2:
             return crf
         cut = []
-        for _ in range(snippets * len(split)):
-            words, gold = [], []
-            for _ in range(1 if rng.random() < 2 / 3 else 2):
-                own, k = split[rng.integers(len(split))]
-                at, size = int(rng.integers(max(1, len(own) - 5))), int(rng.integers(5, 25))
-                words += own[at : at + size]
-                gold += [k] * len(own[at : at + size])
-            cut.append((words, gold))
+        for words, k in split:
+            at = 0
+            while at < len(words):
+                size = int(rng.integers(5, 25))
+                own, gold = words[at : at + size], [k] * len(words[at : at + size])
+                if rng.random() < 1 / 3:
+                    more, other = split[rng.integers(len(split))]
+                    start, n = int(rng.integers(max(1, len(more) - 5))), int(rng.integers(5, 25))
+                    own, gold = own + more[start : start + n], gold + [other] * len(more[start : start + n])
+                cut.append((own, gold))
+                at += size
         squares = [np.full_like(p, 1e-3) for p in (crf.weights, crf.steps, crf.start)]
         for _ in range(epochs):
             for batch in np.array_split(rng.permutation(len(cut)), max(1, len(cut) // 64)):
@@ -200,40 +206,24 @@ class Crf:
             p[where] -= rate * g / np.sqrt(s[where])
 
 
-def excerpt(text: bytes, stretches: int, size: int, seed: int) -> str:
-    """The text's tokens, or if it has more than ``stretches`` of ``size`` tokens, so many stretches from anywhere in it."""
-    found = tokens(text)
-    if len(found) > stretches * size:
-        starts = np.random.default_rng(seed).integers(0, len(found) - size + 1, stretches).tolist()
-        found = [x for at in starts for x in found[at : at + size]]
-    return " ".join(found)
-
-
 def fit_languages(
-    docs: DataFrame, most: int = 400, stretches: int = 12, size: int = 25, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, most: int = 150, preferred: int = 1 << 15, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> Crf:
-    """Fits on at most ``most`` documents of each language outside the held-out fold: those with the least hash of the id.
+    """Fits on at most ``most`` documents of each language outside the held-out fold, on all of their texts.
 
-    So a rare language is learned too. Of each document the driver gets
-    ``stretches`` stretches of ``size`` tokens, each from anywhere in the whole
-    text, or all of it if it has no more.
+    So a rare language is learned too. They are those with the least hash of
+    the id among the texts of at most ``preferred`` bytes; longer ones only
+    fill up, since the sample passes the driver.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(fold(id_col, folds) != held_fold, F.lit(False)))
-    known = known.select(F.xxhash64(id_col, F.lit(1)).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = small_or_stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    # a share that leaves some more than enough of each language, so that few texts are read into Python
+    order = ["long", "h", "text"]
+    known = known.select(F.xxhash64(id_col, F.lit(1)).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.octet_length(text_col) > preferred).alias("long"))
+    counts = small_or_stored(known.groupBy("lang", "long").agg(F.count(F.lit(1)).alias("n")), "languages")
+    # a share that leaves some more than enough of each language, so that few texts are put in order
     share = F.pmod("h", F.lit(1 << 20)) <= F.lit(3.0 * most * (1 << 20)) / F.col("n")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, values = batch.column(0).to_pylist(), texts(batch, "text")
-            for a, b in blocks(values, 1 << 20):
-                own = [excerpt(v, stretches, size, h & 0xFFFFFFFF) for h, v in zip(hashes[a:b], values[a:b], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(own, pa.string())], names=["h", "lang", "text"])
-
-    rows = known.join(counts, "lang").where(share).select("h", "lang", "text").mapInArrow(cut, "h bigint, lang string, text string")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    sample = rows.withColumn("rank", rank).where(F.col("rank") <= most).select("h", "lang", "text").toArrow().sort_by([("h", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    rows = known.join(counts, ["lang", "long"]).where(share).withColumn("rank", rank).where(F.col("rank") <= most)
+    sample = rows.select("h", "lang", "text").toArrow().sort_by([("h", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     return Crf.fit(list(zip(sample.column("text").to_pylist(), sample.column("lang").to_pylist(), strict=True)))
 
 

@@ -33,6 +33,7 @@ def test_forward_backward_against_enumeration():
 def test_features():
     assert letters("L'Été,3!".encode()) == ["lété"] and letters(b"12|") == [] and "".join(letters(b"ab" * 250)) == "ab" * 250
     assert max(map(len, letters(b"x" * 500))) == 30
+    assert [letters(w.encode()) for w in ("²", "½ⅷ", "٣", "x²", "字ª")] == [[], [], [], ["x"], ["字ª"]]
     row, feature, value = features(["ab", "", "ab", "abcd"], {"ab": 7})
     by = [sorted(zip(feature[row == i].tolist(), value[row == i].round(6).tolist(), strict=True)) for i in range(4)]
     assert by[0] == by[2] and by[0] != by[3] and feature.max() == (1 << 16) + 7
@@ -49,6 +50,16 @@ def test_labels_words_in_switched_text():
     assert crf.steps.trace() > crf.steps.sum() - crf.steps.trace()
 
 
+def test_every_token_of_a_fitting_text_counts():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(700)]
+    other = [(" ".join(rng.permutation(words)[:80]), "bb")]
+    base = Crf.fit([(" ".join(words), "aa"), *other], epochs=1).weights
+    for at in (0, 1, 317, 350, 698, 699):
+        changed = [*words[:at], "zyx", *words[at + 1 :]]
+        assert np.abs(Crf.fit([(" ".join(changed), "aa"), *other], epochs=1).weights - base).max() > 1e-3
+
+
 def test_cut_chains_are_labelled_as_whole_ones(monkeypatch):
     rng = np.random.default_rng(3)
     crf = Crf(["a", "b", "c"], {}, np.zeros((1, 3)), 3 * rng.normal(size=(3, 3)), rng.normal(size=3))
@@ -151,7 +162,7 @@ def test_held_out_accuracy(spark):
 def test_odd_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     crf = fit_languages(docs, most=150)
-    rows = [(1, None, "c", 1), (2, "", "c", 1), (3, "12 || !!", None, 1), (4, "the and of " * 20_000, "c", 2), (4, "the and of", "c", 2), (None, "der die das und", "c", 1), (5, "x" * 9000, "c", 1)]
+    rows = [(1, None, "c", 1), (2, "", "c", 1), (3, "12 || !! ² ½ Ⅷ", None, 1), (4, "the and of " * 20_000, "c", 2), (4, "the and of", "c", 2), (None, "der die das und", "c", 1), (5, "x" * 9000, "c", 1)]
     odd = spark.createDataFrame(rows, "doc_id bigint, text string, lang_pred string, id int")
     out = identify(odd, crf, keep=("lang_pred", "id")).drop("id").toDF("kept", "doc_id", "held_out", "pred", "score").collect()
     assert [r.pred for r in sorted(out, key=lambda r: r.doc_id or 99) if r.doc_id in (1, 2, 3)] == ["und"] * 3
