@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,14 +22,48 @@ def split_refs(refs: DataFrame, ref: str = "ref", module: str = "module") -> Dat
     )
 
 
-def resolve_refs(refs: DataFrame, records: DataFrame, on: Sequence[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+def _matches(refs: DataFrame, on: Sequence[tuple[str, str]]) -> Column:
+    out = F.lit(True)
+    for i, (a, _) in enumerate(on):
+        out = out & (refs[a] == F.col(f"__k{i}"))
+    return out
+
+
+def _keyed(records: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
+    """The records with their key as __k0, ...; those with a null in it are left out, since nothing matches them."""
+    out = records.withColumns({f"__k{i}": F.col(b) for i, (_, b) in enumerate(on)})
+    for i in range(len(on)):
+        out = out.where(F.col(f"__k{i}").isNotNull())
+    return out
+
+
+def resolve_refs(refs: DataFrame, records: DataFrame, on: Sequence[tuple[str, str]], repeated: str = "error") -> tuple[DataFrame, DataFrame]:
     """(resolved, dangling) references; ``on`` lists (reference column, record column).
 
-    Resolved rows carry the columns of both sides. Null keys dangle. Keys must
-    be unique among the records: see ``repeated_keys``.
+    Resolved rows carry the columns of both sides. Null keys dangle. A key must
+    be that of one record: the records are reduced to one row for each key ahead of
+    the join, so a reference is never multiplied. If any key repeats, a query
+    over the resolved rows fails when it runs; with ``repeated="apart"`` its
+    references are left out of them and are those of ``ambiguous_refs``.
     """
-    condition = [refs[a] == records[b] for a, b in on]
-    return refs.join(records, condition, "inner"), refs.join(records, condition, "left_anti")
+    if repeated not in ("error", "apart"):
+        raise ValueError("repeated is 'error' or 'apart'")
+    keys = [f"__k{i}" for i in range(len(on))]
+    keyed = _keyed(records, on)
+    one = keyed.groupBy(*keys).agg(F.first(F.struct(*records.columns)).alias("__record"), F.count(F.lit(1)).alias("__n"))
+    if repeated == "apart":
+        one = one.where("__n = 1")
+    else:
+        said = F.concat(F.lit("more than one record has the key "), F.to_json(F.struct(*keys)))
+        one = one.where(F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+    resolved = refs.join(one, _matches(refs, on)).select(*[refs[c] for c in refs.columns], *[F.col(f"__record.`{c}`").alias(c) for c in records.columns])
+    return resolved, refs.join(keyed.select(*keys), _matches(refs, on), "left_anti")
+
+
+def ambiguous_refs(refs: DataFrame, records: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
+    """References whose key several records have, with ``n_records``, each once."""
+    keys = [f"__k{i}" for i in range(len(on))]
+    return refs.join(repeated_keys(_keyed(records, on), keys), _matches(refs, on)).drop(*keys)
 
 
 def repeated_keys(records: DataFrame, keys: Sequence[str]) -> DataFrame:

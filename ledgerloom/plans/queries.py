@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.flags import apply_flags
 from ledgerloom.operators.listing import active_only, attach_tags, expand_lines, line_listing, nest_lines, tags_text
-from ledgerloom.operators.overrides import first_anchor, insert_before, match_anchor
-from ledgerloom.operators.refs import resolve_refs, split_refs
+from ledgerloom.operators.overrides import first_anchor, insert_before, match_anchor, match_anchors
+from ledgerloom.operators.refs import ambiguous_refs, resolve_refs, split_refs
 from ledgerloom.operators.triage import drop_ignored, ignored_counts
 from ledgerloom.sources.records import payload_nodes, read_records
 from ledgerloom.sources.scratch import scratch_path, stored
@@ -88,7 +88,21 @@ def q_resolve_refs_dangling(spark: SparkSession, d: str) -> DataFrame:
     return dangling
 
 
-def q_match_anchor(spark: SparkSession, d: str) -> DataFrame:
+def q_resolve_refs_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as references to their lines: those of one line resolve, those of several are reported, none is multiplied."""
+    refs = table(spark, d, "orders").select("o_orderkey")
+    records = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    on = [("o_orderkey", "l_orderkey")]
+    resolved, dangling = resolve_refs(refs, records, on, repeated="apart")
+    several = ambiguous_refs(refs, records, on)
+    return (
+        resolved.select("o_orderkey", F.lit("resolved").alias("state"), F.lit(1).cast("bigint").alias("n_records"), "l_partkey")
+        .unionByName(several.select("o_orderkey", F.lit("ambiguous").alias("state"), "n_records"), allowMissingColumns=True)
+        .unionByName(dangling.select("o_orderkey", F.lit("dangling").alias("state"), F.lit(0).cast("bigint").alias("n_records")), allowMissingColumns=True)
+    )
+
+
+def _order_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Each order as a small tree: the order node, then its lines as children tagged by return flag."""
     orders = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("doc_id"), F.lit(0).cast("bigint").alias("node_id"), F.lit(None).cast("bigint").alias("parent_id"),
@@ -99,8 +113,16 @@ def q_match_anchor(spark: SparkSession, d: str) -> DataFrame:
         (F.col("l_linenumber") * F.lit(10**12).cast("bigint") + F.col("l_partkey") * 10**4 + F.col("l_suppkey")).alias("node_id"),
         F.lit(0).cast("bigint").alias("parent_id"), F.col("l_returnflag").alias("tag"), F.create_map(F.lit("s"), F.col("l_linestatus")).alias("attrs"),
     )
-    found = match_anchor(orders.unionByName(lines), "R", "order", {"status": "P"})
-    return found.select("doc_id", "node_id", "tag")
+    return orders.unionByName(lines)
+
+
+def q_match_anchor(spark: SparkSession, d: str) -> DataFrame:
+    return match_anchor(_order_nodes(spark, d), "R", "order", {"status": "P"}).select("doc_id", "node_id", "tag")
+
+
+def q_match_anchor_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    _, unmatched = match_anchors(_order_nodes(spark, d), "R", "order", {"status": "P"})
+    return unmatched
 
 
 def q_insert_before(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +211,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "resolve_refs": q_resolve_refs,
     "resolve_refs_dangling": q_resolve_refs_dangling,
     "resolve_refs_scoped": q_resolve_refs_scoped,
+    "resolve_refs_repeated": q_resolve_refs_repeated,
     "match_anchor": q_match_anchor,
+    "match_anchor_unmatched": q_match_anchor_unmatched,
     "insert_before": q_insert_before,
     "insert_before_parent": q_insert_before_parent,
     "record_overrides": q_record_overrides,
@@ -227,6 +251,11 @@ ORACLES: dict[str, str] = {
  from customer join nation on n_nationkey = c_nationkey""",
     "match_anchor": """select l_orderkey as doc_id, min(cast(l_linenumber as bigint) * 1000000000000 + l_partkey * 10000 + l_suppkey) as node_id,
  'R' as tag from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus = 'P' and l_returnflag = 'R' group by 1""",
+    "resolve_refs_repeated": """select o_orderkey, case count(l_orderkey) when 0 then 'dangling' when 1 then 'resolved' else 'ambiguous' end as state,
+ count(l_orderkey) as n_records, case when count(l_orderkey) = 1 then max(l_partkey) end as l_partkey
+ from orders left join lineitem on l_orderkey = o_orderkey group by 1""",
+    "match_anchor_unmatched": """select o_orderkey as doc_id from orders where o_orderstatus <> 'P'
+ or not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')""",
     "insert_before": """with anc as (select conv_id, min(turn) a from conversations where role = 'assistant' group by 1),
  ov(seq, text) as (values (0, 'policy'), (1, 'notice')),
  u as (select conv_id, turn k, 1 side, 0 seq, role, text from conversations

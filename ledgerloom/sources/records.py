@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 _FIELD = T.StructType(
     [
@@ -46,10 +47,34 @@ def payload_attributes(spark: SparkSession, path: str, xpath: str) -> DataFrame:
     return files.select("file", F.posexplode(F.xpath("value", F.lit(xpath))).alias("position", "value"))
 
 
-_TAG = r"""<(/?)([\w.:-]+)((?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|'[^']*'))*)\s*(/?)>"""
-_ATTRIBUTE = r"""([\w.:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+# Possessive groups: the scan never turns back, so a tag with any number of attributes takes no stack.
+_ATTRIBUTES = r"""(?:\s++[\w.:-]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'))*+"""
+_TAG = r"""<(/?+)([\w.:-]++)(""" + _ATTRIBUTES + r""")\s*+(/?+)>"""
+_ATTRIBUTE = r"""([\w.:-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)')"""
+_RECORD = r"(?s)<record" + _ATTRIBUTES + r"\s*+>.*"
+_EMPTY_RECORD = "<record" + _ATTRIBUTES + r"\s*+/>"
 _NO_TAGS = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>"
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+#: The entities that XML itself defines.
+_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+#: Tags that one step of the walk over a record copies its nodes for.
+CHUNK = 512
+
+
+def _plain(value: Column) -> Column:
+    """The value with its entities and character references replaced, each once; unknown ones stay."""
+
+    def decoded(part: Column) -> Column:
+        end = F.instr(part, ";")
+        name, rest = F.substring(part, F.lit(1), end - 1), F.substring(part, end + 1, F.length(part))
+        digits = F.when(name.rlike("^#[0-9]{1,8}$"), F.substring(name, 2, 8)).when(name.rlike("^#x[0-9A-Fa-f]{1,6}$"), F.conv(F.substring(name, 3, 6), 16, 10)).cast("bigint")
+        known = digits.between(1, 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
+        sign = F.when(known, F.decode(F.unhex(F.lpad(F.hex(F.when(known, digits)), 8, "0")), "UTF-32"))
+        for entity, plain in _ENTITIES.items():
+            sign = F.when(name == entity, F.lit(plain)).otherwise(sign)
+        return F.coalesce(F.concat(sign, rest), F.concat(F.lit("&"), part))
+
+    parts = F.split(value, "&", -1)
+    return F.when(F.instr(value, "&") == 0, value).otherwise(F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(decoded(x))), ""))
 
 
 def _attributes(tag: Column) -> Column:
@@ -58,46 +83,67 @@ def _attributes(tag: Column) -> Column:
     def every(group: int) -> Column:
         return F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(group))
 
-    def plain(value: Column) -> Column:
-        for entity, sign in _ENTITIES:
-            value = F.replace(value, F.lit(entity), F.lit(sign))
-        return value
+    return F.map_from_arrays(every(1), F.zip_with(every(2), every(3), lambda a, b: _plain(F.concat(a, b))))  # one of the two quotings is empty
 
-    values = F.zip_with(every(2), every(3), lambda a, b: plain(F.concat(a, b)))  # one of the two quotings is empty
-    return F.map_from_arrays(every(1), values)
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _walked(tags: Column) -> Column:
+    """(at, parent, pos, field, text) of each node among the tags of one record, in their order.
+
+    One walk with a stack of the elements that are open: the record, its field,
+    then nodes, each with its place and the number of its children so far. What
+    the walk has found is put together from chunks, so that it is not copied
+    for every tag.
+    """
+    open_type, node_type = "array<struct<at:int,kids:int>>", "array<struct<at:int,parent:int,pos:int,field:string,text:string>>"
+
+    def step(state: Column, tag: Column) -> Column:
+        at, stack = state["at"], state["stack"]
+        depth = F.size(stack)  # of what the tag stands in: 0 for the record, 1 for a field, 2 for a node right in a field
+        top = F.when(depth > 0, F.element_at(stack, -1))
+        below = F.slice(stack, 1, F.greatest(depth - 1, F.lit(0)))
+        counted = F.when(depth > 0, F.concat(below, F.array(F.struct(top["at"].alias("at"), (top["kids"] + 1).alias("kids"))))).otherwise(stack)
+        opened = F.when(tag.endswith("/>"), counted).otherwise(F.concat(counted, F.array(F.struct(at.alias("at"), F.lit(0).alias("kids")))))
+        node = F.struct(at.alias("at"), F.when(depth > 2, top["at"]).alias("parent"), top["kids"].alias("pos"), state["field"].alias("field"), tag.alias("text"))
+        ends = tag.startswith("</")
+        return F.struct(
+            (at + 1).alias("at"), F.when(ends, below).otherwise(opened).alias("stack"),
+            F.when(~ends & (depth == 1), _attributes(tag)["name"]).otherwise(state["field"]).alias("field"),
+            F.when(~ends & (depth > 1), F.concat(state["nodes"], F.array(node))).otherwise(state["nodes"]).alias("nodes"),
+        )
+
+    def chunk(state: Column, first: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), state["stack"].alias("stack"), state["field"].alias("field"), F.array().cast(node_type).alias("nodes"))
+        walked = F.aggregate(F.slice(tags, first, CHUNK), start, step)
+        return _bound(walked, lambda x: F.struct(x["at"].alias("at"), x["stack"].alias("stack"), x["field"].alias("field"), F.concat(state["nodes"], x["nodes"]).alias("nodes")))
+
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(open_type).alias("stack"), F.lit(None).cast("string").alias("field"), F.array().cast(node_type).alias("nodes"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(tags), F.lit(1)), F.lit(CHUNK)), nothing, chunk, lambda x: x["nodes"])
 
 
 def payload_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """One row (doc_id, field, node_id, parent_id, pos, tag, attrs) for each element nested in a field of a record.
+    """One row (record, doc_id, field, node_id, parent_id, pos, tag, attrs) for each element nested in a field of a record.
 
-    doc_id is the record's id, field the name of its field. node_id counts in
-    document order, parent_id is null for elements directly in the field, pos
-    counts siblings from 0. Text between elements is left out; a record without
-    nested elements gives no row. Ids must not repeat (see ``repeated_keys``).
+    record numbers the records, doc_id is the record's id, null if it has none,
+    field the name of its field. node_id counts in document order, parent_id is
+    null for elements directly in the field, pos counts siblings from 0. Text
+    between elements is left out; a record without nested elements gives no
+    row. Each record is a tree of its own, with its own id, that of another, or none.
 
     Files are cut at ``</record>``, so large ones are read by many tasks; that
-    end tag must not stand within a comment. The nodes of one record are
-    numbered in one task. Records do not nest.
+    end tag must not stand within a comment. The tree of a record is built
+    where it is read, nothing is shuffled; a record of many nodes takes memory
+    in proportion. Records do not nest.
     """
-    text = spark.read.option("lineSep", "</record>").text(path).select(F.regexp_replace("value", _NO_TAGS, "").alias("value"))
-    record = F.regexp_extract("value", r"(?s)<record(?:\s[^<>]*)?>(.*)", 0)
-    tags = text.select(F.posexplode(F.regexp_extract_all(record, F.lit(_TAG), F.lit(0))).alias("at", "text"), _attributes(F.regexp_extract(record, _TAG, 0))["id"].alias("doc_id"))
-    in_order = Window.partitionBy("doc_id").orderBy("at")
-    ends, empty = F.col("text").startswith("</"), F.col("text").endswith("/>")
-    depth = F.sum(F.when(ends, -1).when(empty, 0).otherwise(1)).over(in_order) + F.when(empty, 1).otherwise(0)
-    nodes = (
-        tags.withColumn("depth", depth)  # 1: the record, 2: its fields
-        .where(~ends)
-        .select("doc_id", "at", "depth", F.regexp_extract("text", _TAG, 2).alias("tag"), _attributes(F.col("text")).alias("attrs"))
-        .withColumn("field", F.last(F.when(F.col("depth") == 2, F.struct(F.col("attrs")["name"].alias("name"))), ignorenulls=True).over(in_order)["name"])
-        .where("depth > 2")
-    )
-    # A parent is the last node before that is one level up: each node stands at its own level, and as a child one above.
-    roles = nodes.withColumn("level", F.explode(F.array("depth", F.col("depth") - 1)))
-    above = F.last(F.when(F.col("level") == F.col("depth"), F.col("at")), ignorenulls=True)
-    placed = roles.withColumn("parent_id", above.over(Window.partitionBy("doc_id", "level").orderBy("at"))).where("level < depth")
-    siblings = Window.partitionBy("doc_id", "field", "parent_id").orderBy("at")
-    return placed.select(
-        "doc_id", "field", F.col("at").cast("bigint").alias("node_id"), F.col("parent_id").cast("bigint").alias("parent_id"),
-        (F.row_number().over(siblings) - 1).alias("pos"), "tag", "attrs",
+    text = spark.read.option("lineSep", "</record>").text(path).select(F.regexp_replace(F.regexp_replace("value", _NO_TAGS, ""), _EMPTY_RECORD, "").alias("value"))
+    record = text.select(F.regexp_extract("value", _RECORD, 0).alias("value")).where("value <> ''")
+    tags = record.select(F.monotonically_increasing_id().alias("record"), F.regexp_extract_all("value", F.lit(_TAG), F.lit(0)).alias("tags"))
+    nodes = tags.select("record", _attributes(F.col("tags")[0])["id"].alias("doc_id"), F.inline(_walked(F.col("tags"))))
+    return nodes.select(
+        "record", "doc_id", "field", F.col("at").cast("bigint").alias("node_id"), F.col("parent").cast("bigint").alias("parent_id"),
+        "pos", F.regexp_extract("text", _TAG, 2).alias("tag"), _attributes(F.col("text")).alias("attrs"),
     )

@@ -2,12 +2,15 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.operators.flags import apply_flags
 from ledgerloom.operators.listing import LISTING, active_only, attach_tags, expand_lines, line_listing, nest_lines
-from ledgerloom.operators.overrides import MOST_OVERRIDES, insert_before, match_anchor
-from ledgerloom.operators.refs import repeated_keys, resolve_refs, split_refs
+from ledgerloom.operators.numbering import numbered, with_ranges
+from ledgerloom.operators.overrides import MOST_OVERRIDES, insert_before, match_anchor, match_anchors
+from ledgerloom.operators.refs import ambiguous_refs, repeated_keys, resolve_refs, split_refs
 from ledgerloom.operators.triage import drop_ignored, ignored_counts
+from ledgerloom.plans.queries import _order_nodes
 from ledgerloom.sources.records import payload_attributes, payload_nodes, read_records
 from ledgerloom.sources.scratch import scratch_path, scratch_run, stored
 
@@ -64,25 +67,82 @@ NODES = "doc_id bigint, node_id bigint, parent_id bigint, pos int, tag string, a
 
 
 def test_anchor_and_insert(spark):
+    """Book 1 has two notes right in its second shelf, book 2 one on a shelf of another colour, book 3 one a level too deep, book 4 nothing."""
     nodes = spark.createDataFrame(
         [
-            (1, 0, None, 0, "form", {}), (1, 1, 0, 0, "field", {"name": "line_ids"}), (1, 2, 1, 0, "kanban", {}), (1, 3, 1, 1, "kanban", {"a": "b"}),
-            (2, 0, None, 0, "form", {}), (2, 1, 0, 0, "field", {"name": "other"}), (2, 2, 1, 0, "kanban", {}),
-            (3, 0, None, 0, "field", {"name": "line_ids"}), (3, 1, 0, 0, "group", {}), (3, 2, 1, 0, "kanban", {}),
+            (1, 0, None, 0, "room", {}), (1, 1, 0, 0, "shelf", {"colour": "red"}), (1, 2, 1, 0, "note", {}), (1, 3, 0, 1, "shelf", {"colour": "blue"}),
+            (1, 4, 3, 0, "pen", {}), (1, 5, 3, 1, "note", {}), (1, 6, 3, 2, "note", {"old": "yes"}),
+            (2, 0, None, 0, "room", {}), (2, 1, 0, 0, "shelf", {"colour": "green"}), (2, 2, 1, 0, "note", {}),
+            (3, 0, None, 0, "shelf", {"colour": "blue"}), (3, 1, 0, 0, "tray", {}), (3, 2, 1, 0, "note", {}),
+            (4, 0, None, 0, "room", {}), (None, 0, None, 0, "room", {}),
         ], NODES)
-    found = match_anchor(nodes, "kanban", "field", {"name": "line_ids"})
-    assert [(r.doc_id, r.node_id) for r in found.collect()] == [(1, 2)]
-    assert match_anchor(nodes, "kanban", "field", {"name": "line_ids"}, first_only=False).count() == 2
+    found, unmatched = match_anchors(nodes, "note", "shelf", {"colour": "blue"})
+    assert [(r.doc_id, r.node_id) for r in found.collect()] == [(1, 5)]
+    assert sorted(r.doc_id or 0 for r in unmatched.collect()) == [0, 2, 3, 4]
+    assert match_anchor(nodes, "note", "shelf", {"colour": "blue"}, first_only=False).count() == 2
+    assert [r.node_id for r in match_anchor(nodes, "note", "shelf").where("doc_id = 1").collect()] == [2]
     overrides = spark.createDataFrame([(1, "late"), (0, "early")], "seq int, tag string")
     base = nodes.where("parent_id is not null")
     merged = insert_before(base, found, overrides, ["doc_id", "parent_id"], ["pos"])
-    tags = [r.tag for r in merged.where("doc_id = 1 and parent_id = 1").orderBy("position").collect()]
-    assert tags == ["early", "late", "kanban", "kanban"]
+    tags = [r.tag for r in merged.where("doc_id = 1 and parent_id = 3").orderBy("position").collect()]
+    assert tags == ["pen", "early", "late", "note", "note"]
     assert merged.count() == base.count() + 2
     none = insert_before(base, found, overrides.limit(0), ["doc_id", "parent_id"], ["pos"])
     assert none.count() == base.count()
 
 
+@pytest.mark.parametrize("status", ["P", "F", "none"])
+def test_matched_and_unmatched_are_all_documents(spark, status):
+    nodes = _order_nodes(spark, "/root/testdata/sf0.01")
+    found, unmatched = match_anchors(nodes, "R", "order", {"status": status})
+    documents = [r.doc_id for r in nodes.select("doc_id").distinct().collect()]
+    assert sorted([r.doc_id for r in found.collect()] + [r.doc_id for r in unmatched.collect()]) == sorted(documents)
+
+
+def test_repeated_records_fail_or_are_reported(spark):
+    refs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "b")], "ref_id bigint, name string")
+    records = spark.createDataFrame([("a", 10, {"x": "1"}), ("b", 11, None), ("b", 12, None), (None, 13, None), (None, 14, None)], "name string, rec_id int, more map<string,string>")
+    on = [("name", "name")]
+    resolved, dangling = resolve_refs(refs, records, on)
+    with pytest.raises(Exception, match="more than one record has the key"):
+        resolved.collect()
+    with pytest.raises(Exception, match="more than one record"):
+        resolved.select("ref_id").collect()  # also where no column of the records is read
+    ok, bad = resolve_refs(refs, records, on, repeated="apart")
+    assert [(r.ref_id, r.rec_id, r.more) for r in ok.collect()] == [(1, 10, {"x": "1"})] and len(ok.columns) == 5
+    assert sorted(r.ref_id for r in bad.collect()) == sorted(r.ref_id for r in dangling.collect()) == [3, 4]
+    assert sorted((r.ref_id, r.n_records) for r in ambiguous_refs(refs, records, on).collect()) == [(2, 2), (5, 2)]
+    plain, _ = resolve_refs(refs, records.where("rec_id <> 12"), on)
+    assert sorted(r.ref_id for r in plain.collect()) == [1, 2, 5]
+    with pytest.raises(ValueError):
+        resolve_refs(refs, records, on, repeated="ignore")
+
+
+@pytest.mark.parametrize("stretch", [1 << 16, 50])
+def test_numbering_equals_one_window(spark, stretch):
+    rows_ = spark.range(0, 20_000, 1, 6).select(
+        F.when(F.col("id") % 7 != 0, F.lit("hot")).when(F.col("id") % 2 == 0, F.concat(F.lit("s"), F.col("id") % 50)).alias("doc"), (F.col("id") * 7919 % 20_000).cast("int").alias("at"),
+        F.when(F.col("id") % 5 != 0, F.col("id") % 3).alias("first"), F.create_map(F.lit("k"), F.col("id")).alias("m"),
+    )
+    spark.sparkContext.setJobGroup("building", "")
+    out = numbered(rows_, ["doc"], ["first", "at"], stretch=stretch)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = rows_.withColumn("position", (F.row_number().over(Window.partitionBy("doc").orderBy("first", "at")) - 1).cast("bigint"))
+    assert rows(out) == rows(want) and out.schema["position"].dataType.simpleString() == "bigint"
+    if stretch == 50:
+        sizes = [r[0] for r in with_ranges(rows_, ["doc"], ["first", "at"], stretch).groupBy("__of", "__range").count().select("count").collect()]
+        assert max(sizes) < 50 * 12 and len(sizes) > 200  # of some 17,000 rows of one sequence
+
+
+def test_one_sequence_of_a_million_rows(spark):
+    base = spark.range(0, 1_000_000, 1, 8).select(F.lit(1).alias("doc"), (F.lit(1_000_000) - F.col("id")).alias("at"))
+    sizes = with_ranges(base, ["doc"], ["at"]).groupBy("__range").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert sizes[0] < 12 * (1 << 16) and sizes[1] > 3
+    out = numbered(base, ["doc"], ["at"])
+    assert out.where(F.col("position") != F.col("at") - 1).count() == 0 and out.count() == 1_000_000
+
+
 def test_triage(spark):
     log = spark.createDataFrame([(0, "WARNING a 0 failed (x)"), (1, "WARNING other"), (2, None), (3, ""), (4, "ERROR 0 failed")], "line_no bigint, line string")
     patterns = [r"WARNING.* 0 failed \(x\)", "failed"]
@@ -148,12 +208,39 @@ def test_payload_nodes(spark, tmp_path):
         ("tree", "box", None, 0), ("tree", "row", 0, 0), ("tree", "cell", 1, 0), ("tree", "leaf", 1, 1), ("tree", "leaf", 1, 2),
         ("tree", "row", 0, 1), ("tree", "wrap", 5, 0), ("tree", "leaf", 6, 0), ("more", "leaf", None, 0), ("more", "leaf", None, 1),
     ]
-    assert {r.doc_id for r in got} == {"base"}
+    assert {r.doc_id for r in got} == {"base"} and len({r.record for r in got}) == 1
+    assert "Exchange" not in nodes._jdf.queryExecution().executedPlan().toString()
     assert got[1].attrs == {"key": 'x & "y"'} and got[3].attrs == {"a": "1", "b": "2>1"} and got[4].attrs == {}
     (tmp_path / "none.xml").write_text("<data/>")
     assert payload_nodes(spark, str(tmp_path / "none.xml")).count() == 0
 
 
+def test_payload_nodes_of_odd_records(spark, tmp_path):
+    """Without an id, with the id of another, empty, with any number of attributes, tags and references of characters."""
+    many = " ".join(f'a{i}="{i}"' for i in range(20_000))
+    wide = "".join(f"<n><m/><m i='{i}'/></n>" for i in range(1500))
+    (tmp_path / "p.xml").write_text(f"""<data><record id="empty"/>
+      <record model='m>n'><field name="f"><a><b/></a></field></record>
+      <record model="m"><field name="f"><c/><c/></field><field name="f"><d/></field></record>
+      <record id="twin"><field name="f"><e/></field></record><record id="twin"><field name="f"><e x="&#38;&amp;lt;&#x20AC;&lt;&none;&#0;&#x110000; & ;"/></field></record>
+      <record id="many"><field name="f"><g {many}/></field></record>
+      <record id="wide"><field name="f">{wide}</field></record></data>""")
+    nodes = payload_nodes(spark, str(tmp_path)).orderBy("record", "node_id").collect()
+    trees = {}
+    for r in nodes:
+        trees.setdefault(r.record, []).append(r)
+    trees = list(trees.values())
+    assert [(t[0].doc_id, len(t)) for t in trees] == [(None, 2), (None, 3), ("twin", 1), ("twin", 1), ("many", 1), ("wide", 4500)]
+    assert [(r.tag, r.pos, r.parent_id is None) for r in trees[0]] == [("a", 0, True), ("b", 0, False)]
+    assert [(r.tag, r.pos) for r in trees[1]] == [("c", 0), ("c", 1), ("d", 0)]  # each field counts its own
+    assert trees[3][0].attrs == {"x": "&&lt;\u20ac<&none;&#0;&#x110000; & ;"}
+    assert len(trees[4][0].attrs) == 20_000 and trees[4][0].attrs["a19999"] == "19999"
+    ns = [r for r in trees[5] if r.tag == "n"]
+    assert [r.pos for r in ns] == list(range(1500)) and all(r.parent_id is None for r in ns)
+    kids = [(r.parent_id, r.pos, r.attrs.get("i")) for r in trees[5] if r.tag == "m"]
+    assert kids == [(n.node_id, k, str(i) if k else None) for i, n in enumerate(ns) for k in range(2)]
+
+
 def test_record_path_end_to_end(spark, tmp_path):
     """Record file, its references, the anchor in the record referred to, and the nodes put before it."""
     (tmp_path / "p.xml").write_text(PAYLOADS)
@@ -173,17 +260,19 @@ def test_record_path_end_to_end(spark, tmp_path):
 
 def test_too_many_overrides_are_an_error(spark):
     base = spark.createDataFrame([(1, 0)], "doc_id bigint, pos bigint")
-    with pytest.raises(ValueError, match="override rows"):
-        insert_before(base, base, spark.range(MOST_OVERRIDES + 1).withColumnRenamed("id", "seq"), ["doc_id"], ["pos"])
-
-
-def test_ignore_patterns_of_three_shapes(spark):
-    """Escaped brackets, plain words, and a pattern that ends in anything."""
-    patterns = [r"NOTICE.* 0 lost, 0 fault\(s\).*", r"NOTICE .* stopping helper .*", r"NOTICE.* no such part: a_b for part of kind c.*"]
-    lines = ["NOTICE x: 0 lost, 0 fault(s) of 9", "NOTICE x stopping helper 7", "NOTICE no such part: a_b for part of kind c", "NOTICE 0 lost, 0 faults", "FAULT 0 lost"]
-    log = spark.createDataFrame(list(enumerate(lines)), "line_no bigint, line string")
-    assert [r.line_no for r in drop_ignored(log, patterns).orderBy("line_no").collect()] == [3, 4]
-    assert rows(ignored_counts(log, patterns)) == [(0, 1), (1, 1), (2, 1)]
+    many = spark.range(MOST_OVERRIDES + 1).withColumnRenamed("id", "seq")
+    out = insert_before(base, base, many, ["doc_id"], ["pos"])
+    with pytest.raises(Exception, match="override rows"):
+        out.collect()
+    assert insert_before(base, base, many.where(F.col("seq") > 0), ["doc_id"], ["pos"]).count() == MOST_OVERRIDES + 1
+
+
+def test_patterns_are_found_anywhere_and_signs_can_be_escaped(spark):
+    patterns = [r"\[disk\] \d+% full", "retry", r"a\.b\*c"]
+    lines = {0: "12:00 [disk] 97% full, retry", 1: "disk 97% full", 2: "no retry", 3: "x a.b*c y", 4: "axbbc", 5: "RETRY", 6: None, 7: ""}
+    log = spark.createDataFrame(list(lines.items()), "line_no bigint, line string")
+    assert [r.line_no for r in drop_ignored(log, patterns).orderBy("line_no").collect()] == [1, 4, 5, 6, 7]
+    assert rows(ignored_counts(log, patterns)) == [(0, 1), (1, 2), (2, 1)]  # line 0 counts for two
 
 
 def test_nothing_is_lost_over_a_table(spark):
