@@ -23,6 +23,9 @@ from ledgerloom.sources.tables import table
 
 DROP_PATTERNS = ("(?i)license", "[0-9]{3}-[0-9]{4}", "[a-z0-9.]+@[a-z0-9.]+")
 
+#: A pattern for each number of four digits below 5,000 that stands alone.
+NUMBERS = tuple(rf"(?:^|\D){i:04}(?:\D|$)" for i in range(5000))
+
 
 def _tagged_parts(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
@@ -154,6 +157,14 @@ def q_ignored_counts(spark: SparkSession, d: str) -> DataFrame:
     return ignored_counts(_doc_lines(spark, d).select("line"), DROP_PATTERNS)
 
 
+def q_drop_ignored_many(spark: SparkSession, d: str) -> DataFrame:
+    return drop_ignored(_doc_lines(spark, d), NUMBERS).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"))
+
+
+def q_ignored_counts_many(spark: SparkSession, d: str) -> DataFrame:
+    return ignored_counts(_doc_lines(spark, d).select("line"), NUMBERS)
+
+
 def q_read_records(spark: SparkSession, d: str) -> DataFrame:
     """Customers written as record files, then read back as rows."""
 
@@ -219,11 +230,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "record_overrides": q_record_overrides,
     "drop_ignored": q_drop_ignored,
     "ignored_counts": q_ignored_counts,
+    "drop_ignored_many": q_drop_ignored_many,
+    "ignored_counts_many": q_ignored_counts_many,
 }
 
 _TAGS = """select l_partkey tk, string_agg(distinct s_name, ',' order by s_name) g
  from lineitem join supplier on s_suppkey = l_suppkey group by 1"""
 _ALTERNATION = "|".join(f"(?:{p})" for p in DROP_PATTERNS)
+_ALONE = "list_filter(regexp_extract_all(line, '[0-9]+'), lambda x: len(x) = 4 and x < '5000')"
 _LINES = "select doc_id, unnest(string_split(text, chr(10))) line from documents"
 
 ORACLES: dict[str, str] = {
@@ -279,4 +293,8 @@ ORACLES: dict[str, str] = {
  select doc_id, count(*) as n_kept from l where not regexp_matches(line, '{_ALTERNATION}') group by 1""",
     "ignored_counts": f"""with l as ({_LINES}), p(pattern_id, re) as (values {', '.join(f"({i}, '{p}')" for i, p in enumerate(DROP_PATTERNS))})
  select pattern_id, count(*) filter (where regexp_matches(line, re)) as n_hits from l cross join p group by 1""",
+    "drop_ignored_many": f"""with l as ({_LINES})
+ select doc_id, count(*) as n_kept from l where len({_ALONE}) = 0 group by 1""",
+    "ignored_counts_many": f"""with l as ({_LINES}), h as (select unnest(list_distinct({_ALONE})) as x from l)
+ select cast(i as int) as pattern_id, count(x) as n_hits from range(5000) r(i) left join h on cast(x as int) = i group by 1""",
 }

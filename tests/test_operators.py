@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.functions.patterns import required_literals
+from ledgerloom.operators import triage
 from ledgerloom.operators.flags import apply_flags
 from ledgerloom.operators.listing import LISTING, active_only, attach_tags, expand_lines, line_listing, nest_lines
 from ledgerloom.operators.numbering import numbered, with_ranges
@@ -275,6 +277,33 @@ def test_patterns_are_found_anywhere_and_signs_can_be_escaped(spark):
     assert rows(ignored_counts(log, patterns)) == [(0, 1), (1, 2), (2, 1)]  # line 0 counts for two
 
 
+@pytest.mark.parametrize(
+    ("pattern", "found"),
+    [
+        ("plain text", ["plain text"]), (r"a\.b+c?de", ["a.b", "de"]), (r"(?i)Abc[x-z]d(ef|gh)i", ["abc", "d", "i"]), ("ab|cd", []), ("(ab|cd)", []), (r"\d{3}ab{2}c\bd", ["a", "c", "d"]),
+        (r"x\Qa.b\E", []), (r"\x41bc", []), ("(?x)a b", []), ("(?:a(b)c)d*ef", ["ef"]), (r"[]a[b\]c]]d", ["d"]), ("", []), (r"^start .* end$", ["start ", " end"]), ("né", ["n"]), (r"[^]]+z(?!y)w", ["z", "w"]),
+    ],
+)
+def test_required_literals(pattern, found):
+    assert required_literals(pattern) == found
+
+
+def test_many_patterns_equal_few(spark, monkeypatch):
+    """The same by table and by alternation: patterns with and without literals, cases, equal and null lines, long ones."""
+    monkeypatch.setattr(triage, "MOST_TRIED", 5)
+    patterns = [r"(?i)disk \w+ full", r"\d\d+", "retry", r"RETRY \[a\.b\]", "x|y", "", "never there", r"lost.*lost", "É{2}tat", r"\bfull\b"]
+    lines = ["DISK one full", "disk One fullest", "retry 77", "RETRY [a.b] 7", "say", None, "", "no", "retry 77", "İ lost É and lost", "ÉÉtat", "long " * 20_000 + "retry"]
+    log = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_no bigint, line string")
+    for own in (patterns, [p for p in patterns if p], patterns[:2] + patterns[6:]):
+        with monkeypatch.context() as m:
+            m.setattr(triage, "MOST_TRIED", 1000)
+            counts, kept = rows(ignored_counts(log, own)), rows(drop_ignored(log, own))
+        assert rows(ignored_counts(log, own)) == counts and rows(drop_ignored(log, own)) == kept
+    assert rows(ignored_counts(log.limit(0), patterns)) == sorted(((i, 0) for i in range(10)), key=str)
+    plans = [ignored_counts(log, [f"word {i} of many" for i in range(n)])._jdf.queryExecution().optimizedPlan() for n in (100, 4000)]
+    assert plans[0].treeString().count("\n") == plans[1].treeString().count("\n")
+
+
 def test_nothing_is_lost_over_a_table(spark):
     """Kept and dropped lines, resolved and dangling references: together the input."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -1,3 +1,6 @@
+import importlib.util
+import sys
+
 import pytest
 
 import __spark_entry__
@@ -29,3 +32,12 @@ def test_no_python_on_executors(spark, name):
 def test_filter_and_columns_reach_the_scan(spark):
     plan = QUERIES["active_only"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_linestatus,O)" in plan and "l_shipdate" not in plan
+
+
+def test_record_queries_stay_where_the_text_operators_cannot_be_imported(monkeypatch):
+    for name in [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("ledgerloom.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    if importlib.util.find_spec("ledgerloom.llm"):
+        with pytest.warns(UserWarning, match="left out"):
+            assert __spark_entry__.queries().keys() == QUERIES.keys()
