@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.flags import apply_flags
-from ledgerloom.operators.listing import active_only, attach_tags, expand_lines, line_listing, nest_lines, tags_text
+from ledgerloom.operators.listing import active_only, attach_tag_chunks, attach_tags, expand_lines, line_listing, nest_line_chunks, nest_lines, tags_text
 from ledgerloom.operators.overrides import first_anchor, insert_before, match_anchor, match_anchors
 from ledgerloom.operators.refs import ambiguous_refs, resolve_refs, split_refs
 from ledgerloom.operators.triage import drop_ignored, ignored_counts
@@ -66,6 +66,24 @@ def q_nest_lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def q_nest_line_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their lines in arrays of three."""
+    orders = table(spark, d, "orders").select("o_orderkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    nested = nest_line_chunks(orders, lines, ("o_orderkey", "l_orderkey"), ("l_linenumber", "l_partkey", "l_suppkey"), size=3)
+    parts = F.array_join(F.transform("lines", lambda x: x["l_partkey"].cast("string")), ",")
+    return nested.select("o_orderkey", "chunk", F.size("lines").cast("bigint").alias("n_lines"), parts.alias("parts"))
+
+
+def q_attach_tag_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers with the names of their parts in arrays of ten."""
+    suppliers = table(spark, d, "supplier").select("s_suppkey")
+    link = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
+    parts = table(spark, d, "part").select("p_partkey", "p_name")
+    tags = attach_tag_chunks(suppliers, link, parts, "s_suppkey", ("l_suppkey", "l_partkey"), "p_partkey", "p_name", size=10)
+    return tags.select("s_suppkey", "chunk", tags_text().alias("names"))
+
+
 def q_apply_flags(spark: SparkSession, d: str) -> DataFrame:
     customers = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("active"))
     log = table(spark, d, "events").select("user_id", "ts", "event_id", (F.col("value") > 0).alias("new_value"))
@@ -217,6 +235,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "attach_tags": q_attach_tags,
     "expand_lines": q_expand_lines,
     "nest_lines": q_nest_lines,
+    "nest_line_chunks": q_nest_line_chunks,
+    "attach_tag_chunks": q_attach_tag_chunks,
     "apply_flags": q_apply_flags,
     "active_only": q_active_only,
     "resolve_refs": q_resolve_refs,
@@ -253,6 +273,12 @@ ORACLES: dict[str, str] = {
     "nest_lines": """select o_orderkey, count(l_orderkey) as n_lines,
  coalesce(string_agg(cast(l_partkey as varchar), ',' order by l_linenumber, l_partkey, l_suppkey), '') as parts
  from orders left join lineitem on l_orderkey = o_orderkey group by 1""",
+    "nest_line_chunks": """with l as (select o_orderkey, l_linenumber a, l_partkey b, l_suppkey c,
+  (row_number() over (partition by o_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1) // 3 as chunk from orders left join lineitem on l_orderkey = o_orderkey)
+ select o_orderkey, chunk, count(b) as n_lines, coalesce(string_agg(cast(b as varchar), ',' order by a, b, c), '') as parts from l group by 1, 2""",
+    "attach_tag_chunks": """with t as (select distinct l_suppkey, p_name from lineitem join part on p_partkey = l_partkey),
+ n as (select s_suppkey, p_name, (row_number() over (partition by s_suppkey order by p_name) - 1) // 10 as chunk from supplier left join t on l_suppkey = s_suppkey)
+ select s_suppkey, chunk, coalesce(string_agg(p_name, ',' order by p_name), '') as names from n group by 1, 2""",
     "apply_flags": """select c_custkey, coalesce(na, c_acctbal > 0) as active from customer left join
  (select user_id, value > 0 na from events where value is not null
   qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) on user_id = c_custkey""",

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 from ledgerloom.functions.patterns import required_literals
 from ledgerloom.operators import triage
 from ledgerloom.operators.flags import apply_flags
-from ledgerloom.operators.listing import LISTING, active_only, attach_tags, expand_lines, line_listing, nest_lines
+from ledgerloom.operators.listing import LISTING, active_only, attach_tag_chunks, attach_tags, expand_lines, line_listing, nest_line_chunks, nest_lines
 from ledgerloom.operators.numbering import numbered, with_ranges
 from ledgerloom.operators.overrides import MOST_OVERRIDES, insert_before, match_anchor, match_anchors
 from ledgerloom.operators.refs import ambiguous_refs, repeated_keys, resolve_refs, split_refs
@@ -41,6 +41,26 @@ def test_tags(spark):
     assert {r.line_id: r.tags for r in out.collect()} == {1: ["abc", "zed"], 2: []}
 
 
+def test_chunks_put_together_are_the_whole(spark):
+    """A hot parent, an empty one, null keys and repeated lines."""
+    parents = spark.createDataFrame([(1,), (2,), (3,), (None,)], "config_id bigint")
+    lines = spark.range(0, 5000, 1, 5).select(F.when(F.col("id") % 9 != 0, F.lit(1)).when(F.col("id") % 2 == 0, F.lit(2)).cast("bigint").alias("fk"), (F.col("id") * 31 % 700).alias("at"), (F.col("id") % 3).alias("x"))
+    for stretch in (1 << 16, 40):
+        out = nest_line_chunks(parents, lines, ("config_id", "fk"), ("at", "x"), size=64, stretch=stretch)
+        whole = {}
+        for r in sorted(out.collect(), key=lambda r: (str(r.config_id), r.chunk)):
+            assert r.chunk * 64 == len(whole.setdefault(r.config_id, [])) and len(r.lines) <= 64
+            whole[r.config_id] += r.lines
+        assert whole == {r.config_id: r.lines for r in nest_lines(parents, lines, ("config_id", "fk"), ("at", "x")).collect()}
+    link = spark.range(3000).select((F.col("id") % 2 + 1).alias("line_id"), (F.col("id") % 901).alias("group_id"))
+    groups = spark.range(800).select(F.col("id").alias("group_id"), F.format_string("g%03d", F.col("id") % 500).alias("label"))
+    args = (parents, link, groups, "config_id", ("line_id", "group_id"), "group_id", "label")
+    tags = {}
+    for r in sorted(attach_tag_chunks(*args, size=64, stretch=40).collect(), key=lambda r: (str(r.config_id), r.chunk)):
+        tags[r.config_id] = tags.get(r.config_id, []) + r.tags
+    assert tags == {r.config_id: r.tags for r in attach_tags(*args).collect()} and len(tags[1]) == 500
+
+
 def test_listing_and_active(spark):
     df = spark.createDataFrame([(True, 1, "k", "n", ["g"]), (None, 2, "k", "n", ["g"]), (False, 3, "k", "n", [])],
                                "active boolean, definition bigint, kind string, name string, group_ids array<string>")
