@@ -43,6 +43,23 @@ _BSD_THIRD = (
     "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
     "without specific prior written permission. "
 )
+_BSD_ADVERTISING = (
+    "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. "
+)
+_ZLIB = (
+    "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+)
+_ZLIB_END = (
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+    "documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+    "3. This notice may not be removed or altered from any source distribution."
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, "
+    "reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, "
+    "all subject to the following: "
+)
 _BSD_END = (
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
     "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
@@ -70,6 +87,22 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("BSD-2-Clause", "redistribution", _BSD + _BSD_TWO + _BSD_END),
     ("BSD-3-Clause", "endorse", _BSD_THIRD),
     ("BSD-3-Clause", "redistribution endorse", _BSD + _BSD_TWO + _BSD_THIRD + _BSD_END),
+    ("BSD-4-Clause", "advertising acknowledgement", _BSD_ADVERTISING),
+    ("BSD-4-Clause", "redistribution advertising", _BSD + _BSD_TWO + _BSD_ADVERTISING),
+    ("BSD-4-Clause", "redistribution advertising endorse", _BSD + _BSD_TWO + _BSD_ADVERTISING + _BSD_THIRD.replace("3.", "4.") + _BSD_END),
+    ("Zlib", "misrepresented", _ZLIB + _ZLIB_END),
+    ("Zlib", "alter freely", _ZLIB),
+    ("Zlib", "zlib", "zlib License"),
+    ("BSL-1.0", "boost 1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("BSL-1.0", "boost 1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "boost 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BSL-1.0", "transmit derivative third-parties", _BOOST),
+    ("CC0-1.0", "cc0 1.0", "CC0 1.0 Universal"),
+    ("CC0-1.0", "cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal."),
+    ("CC0-1.0", "waived neighboring", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work, published under the CC0 Public Domain Dedication."),
+    ("MPL-1.1", "1.1 mozilla", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License. "
+     "You may obtain a copy of the License at http://www.mozilla.org/MPL/"),
+    ("MPL-1.1", "1.1 mozilla", "Mozilla Public License Version 1.1"),
     ("MPL-2.0", "2.0 mozilla", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "2.0 mozilla", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
      "You can obtain one at https://mozilla.org/MPL/2.0/."),
@@ -86,19 +119,26 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
 )
 #: The GNU licences: name, title, what it covers, version, date of the text.
 GNU = (
+    ("GPL-1.0", "GNU General Public License", "program", "1", "February 1989"),
     ("GPL-2.0", "GNU General Public License", "program", "2", "June 1991"),
     ("GPL-3.0", "GNU General Public License", "program", "3", "29 June 2007"),
+    ("LGPL-2.0", "GNU Library General Public License", "library", "2", "June 1991"),
     ("LGPL-2.1", "GNU Lesser General Public License", "library", "2.1", "February 1999"),
     ("LGPL-3.0", "GNU Lesser General Public License", "library", "3", "29 June 2007"),
     ("AGPL-3.0", "GNU Affero General Public License", "program", "3", "19 November 2007"),
 )
 #: Terms that tell members of a family apart; a unit meets only templates that have those it has.
-FAMILY = ("lesser", "affero", "endorse", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd", "sharealike", "noncommercial", "noderivatives")
+FAMILY = ("lesser", "affero", "library-general", "advertising", "endorse", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd", "sharealike", "noncommercial", "noderivatives")
 #: Stop words; they are no terms.
 COMMON = frozenset("a all and any are by can in is it may of or the this to under use v with without you".split())
 #: Names that licence files have, and what any notice of a licence mentions.
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
-NOTICE = r"(?i)(licen[cs]|permission|permitted|rights reserved|public domain|free software|redistribut|endorse|gpl)"
+NOTICE = r"(?i)(licen[cs]|permission|permitted|rights reserved|public domain|free software|redistribut|endorse|gpl|cc0|waived)"
+#: What says that a licence does not hold; and licences put together, which are kept as they are written.
+NEGATED = r"(?i)(\bnot|\bnever|n't) +(been +|being +|be +)?(released|licensed|distributed|available|offered|covered|published) +(under|by) [^.\n]*"
+COMPOUND = r"(?i:spdx|spdx-license-identifier|license): *(\(?[A-Za-z0-9.+-]+(?: +(?:AND|OR|WITH) +\(?[A-Za-z0-9.+-]+\)?)+)"
+#: Fixed value: words of a name that make one term.
+_LIBRARY = r"(?i)\blibrary\s+general\s+public"
 _TERM = r"[\p{L}\p{N}]+([.-][\p{L}\p{N}]+)*"
 _COMMENT = r"(?s)/\*.*?\*/"
 _MARKED = r"^[ \t]*(#|//|/\*|\*|--|;|%|<!--)"
@@ -108,7 +148,8 @@ def all_templates() -> tuple[tuple[str, str, str], ...]:
     """The templates above, those of the GNU licences, and one-line tags for every licence."""
     out = list(TEMPLATES)
     for name, title, covered, v, date in GNU:
-        own = f"{title.split()[1].lower()} {v}" if "General" != title.split()[1] else f"general {v}"
+        kind = title.split()[1].lower()
+        own = f"{'library-general' if kind == 'library' else kind} {v}"
         freely = f"This {covered} is free software: you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation, "
         out += [
             (name, own, f"{title} Version {v}"), (name, own, f"{title} Version {v}, {date}"), (name, own, f"This work is licensed under the {title}, version {v}."),
@@ -124,12 +165,13 @@ def all_templates() -> tuple[tuple[str, str, str], ...]:
 
 
 def _terms(text: str) -> list[str]:
-    return [m[0] for m in re.finditer(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower()) if m[0] not in COMMON]
+    text = re.sub(_LIBRARY, "library-general public", text).lower()
+    return [m[0] for m in re.finditer(r"[^\W_]+(?:[.-][^\W_]+)*", text) if m[0] not in COMMON]
 
 
 def _terms_of(text: Column) -> Column:
     stop = F.array(*[F.lit(x) for x in sorted(COMMON)])
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(_TERM), 0), lambda t: ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(F.lower(F.regexp_replace(text, _LIBRARY, "library-general public")), F.lit(_TERM), 0), lambda t: ~F.array_contains(stop, t))
 
 
 @dataclass
@@ -172,6 +214,7 @@ def _units(text: Column) -> Column:
 
 def _best_match(text: Column, w: Weights, least: float) -> Column:
     """(grant, evidence, score, licence, size) of the best unit of the text, or null."""
+    written, text = text, F.regexp_replace(text, NEGATED, " ")
     vocabulary, family = _strings(list(w.squares)), _strings(list(FAMILY))
     squares = F.create_map(*[F.lit(x) for pair in w.squares.items() for x in pair])
     templates = F.array(*[
@@ -203,7 +246,9 @@ def _best_match(text: Column, w: Weights, least: float) -> Column:
 
     units = F.filter(F.transform(F.transform(_units(text), weigh), judged), lambda u: u.isNotNull())
     found = F.flatten(F.transform(units, lambda u: F.transform(templates, lambda t: score(u, t))))
-    return F.when(text.rlike(NOTICE), F.array_max(F.filter(found, lambda m: m["score"] >= least)))
+    compound = F.regexp_extract(written, COMPOUND, 1)
+    whole = F.struct(F.lit(True).alias("grant"), F.lit(1.0).alias("evidence"), F.lit(1.0).alias("score"), compound.alias("licence"), F.size(_terms_of(compound)).alias("size"))
+    return F.when(compound != "", whole).when(text.rlike(NOTICE), F.array_max(F.filter(found, lambda m: m["score"] >= least)))
 
 
 def scan_licences(
@@ -219,7 +264,10 @@ def scan_licences(
     (versions, names) and no term of another member of the family. Of all
     matches from ``least`` on, that with the most evidence (score times distinct
     terms of the unit) gives the licence, then the higher score, then the later name; a
-    bare rights notice gives way to any grant.
+    bare rights notice gives way to any grant. What a text says it is not
+    licensed under is left out. A tag of several licences with AND, OR or WITH
+    gives that expression as it is written, with score 1. Licences that have no
+    template are not named.
 
     origin is ``file`` where the name says so or the unit has at least half of
     the text's terms, else ``header``. A file without a licence of its own
@@ -272,11 +320,14 @@ def oracle(least: float = 0.6, templates: tuple[tuple[str, str, str], ...] | Non
     squares = ", ".join(f"('{t}', {x!r}::double)" for t, x in w.squares.items())
     temps = ", ".join(f"({i}, '{t.licence}', {quoted(t.must)}, {quoted(t.terms)}, {t.norm!r}::double)" for i, t in enumerate(w.templates))
     stop = ", ".join(f"'{t}'" for t in sorted(COMMON))
-    terms = f"list_filter(regexp_extract_all(lower(X), '{_TERM}'), lambda t: t not in ({stop}))"
+    terms = f"list_filter(regexp_extract_all(lower(regexp_replace(X, '{_LIBRARY}', 'library-general public', 'g')), '{_TERM}'), lambda t: t not in ({stop}))"
+    negated = NEGATED.replace("'", "''")
     return rf"""with q(t, x) as (values {squares}), tp(i, licence, must, terms, norm) as (values {temps}),
  d as (select doc_id, concat_ws('/', source, lang, cast(doc_id as varchar)) as path, concat_ws('/', source, lang) as dir, coalesce(text, '') as text from documents),
+ n as (select doc_id, regexp_replace(text, '{negated}', ' ', 'g') as text from d),
+ c as (select doc_id, regexp_extract(text, '{COMPOUND}', 1) as whole from d where regexp_matches(text, '{COMPOUND}')),
  l as (select doc_id, text, string_split(text, chr(10)) as lines, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{N}}]+', '')) as bare
-  from d where regexp_matches(text, '{NOTICE}')),
+  from n where regexp_matches(text, '{NOTICE}')),
  p as (select *, list_transform(string_split_regex(array_to_string(bare, chr(10)), '\n\n+'), lambda x: replace(x, chr(10), ' ')) as paragraphs from l),
  u as (select doc_id, unnest(list_distinct(list_filter(list_concat(bare,
    flatten(list_transform(list_filter(paragraphs, lambda x: regexp_matches(x, '{NOTICE}')), lambda x: string_split(regexp_replace(x, '([.!?]["'')]*) +([\p{{Lu}}(])', '\1' || chr(10) || '\2', 'g'), chr(10)))),
@@ -288,7 +339,9 @@ def oracle(least: float = 0.6, templates: tuple[tuple[str, str, str], ...] | Non
  g as (select k.r, any_value(doc_id) as doc_id, any_value(len(ts)) as n, any_value(len(each)) as size, any_value(ts) as ts, sqrt(sum(coalesce(x, {w.unseen!r}::double))) as norm from k join e on k.r = e.r left join q on e.t = q.t group by 1),
  m as (select g.r, g.doc_id, n, size, licence, round(sum(x) / (g.norm * tp.norm), 6) as score from g, tp, unnest(list_intersect(ts, terms)) as z(t) join q on q.t = z.t
   where list_has_all(ts, must) and list_has_all(terms, list_intersect(ts, {quoted(FAMILY)})) group by g.r, g.doc_id, n, size, tp.i, licence, g.norm, tp.norm),
- o as (select doc_id, max({{'g': licence <> 'proprietary', 'evidence': round(score * n, 6), 'score': score, 'licence': licence, 'size': size}}) as own from m where score >= {least} group by 1),
+ o as (select doc_id, max({{'g': licence <> 'proprietary', 'evidence': round(score * n, 6), 'score': score, 'licence': licence, 'size': size}}) as own from m
+   where score >= {least} and doc_id not in (select doc_id from c) group by 1
+  union all select doc_id, {{'g': true, 'evidence': 1.0::double, 'score': 1.0::double, 'licence': whole, 'size': len({terms.replace("X", "whole")})}} from c),
  r as (select d.doc_id, path, dir, own, coalesce(2 * own.size >= len({terms.replace("X", "text")}), false) as is_file from d left join o on d.doc_id = o.doc_id),
  h as (select dir, max(own) as given from r where is_file group by 1),
  a as (select dir, unnest(generate_series(0, len(string_split(dir, '/')))) as depth from (select distinct dir from r)),
