@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -16,6 +17,8 @@ from ledgerloom.llm.shared import stored
 
 #: Index entries of one search cell, and queries that go by it before its entries are dealt to another one too.
 CELL_ROWS, CELL_QUERIES = 1 << 13, 1 << 16
+#: Rows of the sample for each list.
+PER_LIST = 32
 
 
 def _nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -93,6 +96,11 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Each row by a power of two, which changes no cosine and no rounding, so that squares stay in range."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True, initial=0))[1])
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
@@ -120,7 +128,7 @@ class Cell:
         table, self.quantiser, self.dims = pa.Table.from_batches(pieces), quantiser, dims
         self.ids, self.of = table.column("id").to_numpy(), table.column("list").to_numpy()
         self.codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(len(self.ids), -1)
-        self.own = _matrix(table.column("v"), dims)
+        self.own = _scaled(_matrix(table.column("v"), dims))
         decoded = quantiser.decode(self.of, self.codes)
         self.norm = np.linalg.norm(decoded, axis=1)
         close = np.divide(np.einsum("ij,ij->i", _unit(self.own), decoded), self.norm, out=np.full_like(self.norm, -1), where=self.norm > 0)
@@ -129,7 +137,7 @@ class Cell:
 
     def search(self, queries: pa.RecordBatch, k: int, rerank: int) -> pa.RecordBatch:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        asked = _matrix(queries.column("v"), self.dims)
+        asked = _scaled(_matrix(queries.column("v"), self.dims))
         for query_id, query, unit, lists in zip(queries.column("id").to_pylist(), asked, _unit(asked), queries.column("lists").to_pylist(), strict=True):
             visited = np.zeros(len(self.quantiser.centres), bool)
             visited[lists] = True
@@ -152,14 +160,16 @@ class Cell:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
 
-def _search(rows: DataFrame, asked: DataFrame, dims: int, total: int, k: int, lists: int | None, probes: int | None, recall: float, parts: int, rerank: int, sample: int) -> DataFrame:
+def _search(rows: DataFrame, asked: DataFrame, dims: int, total: int, k: int, lists: int | None, probes: int | None, recall: float, parts: int, rerank: int, sample: int | None) -> DataFrame:
     """(query_id, vec_id, score): the best of each cell, for vectors of one length."""
     spark, kind = rows.sparkSession, rows.schema["v"].dataType.simpleString()
+    sample = sample or max(20_000, PER_LIST * math.isqrt(total))
     share = int((1 << 30) * min(1.0, sample / total)) + 1
-    fit_on = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share).limit(2 * sample).orderBy("vec_id", "v").select("v").toArrow()
+    fit_on = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share)
+    fit_on = fit_on.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(2 * sample).orderBy("vec_id", "v").select("v").toArrow()
     fit_on = fit_on if fit_on.num_rows else rows.limit(1).select("v").toArrow()
     units = _unit(_matrix(fit_on.column(0), dims))
-    lists = lists or int(min(max(16, total**0.5), max(16, sample / 32)))
+    lists = lists or int(min(max(16, total**0.5), max(16, sample / PER_LIST)))
     quantiser = Quantiser.fit(units, lists, min(parts, dims), 256)
     probes = probes or probes_for(quantiser, units, k, recall)
     held = spark.sparkContext.broadcast(quantiser)
@@ -221,7 +231,7 @@ def _search(rows: DataFrame, asked: DataFrame, dims: int, total: int, k: int, li
 
 
 def nearest(
-    vectors: DataFrame, every: int = 50, k: int = 5, lists: int | None = None, probes: int | None = None, recall: float = 0.985, parts: int = 16, rerank: int = 400, sample: int = 20_000,
+    vectors: DataFrame, every: int = 50, k: int = 5, lists: int | None = None, probes: int | None = None, recall: float = 0.985, parts: int = 16, rerank: int = 400, sample: int | None = None,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """The ``k`` nearest rows found for each query: query_id, rank (from 1), vec_id, score.
@@ -233,8 +243,10 @@ def nearest(
     The quantiser is fitted on about ``sample`` rows (twice that at the utmost),
     taken by a hash of the id; every row is indexed under its nearest centre
     with the codes of its residual. There are as many lists as the root of the
-    number of rows, though no more than ``sample`` / 32 (given ``lists``: so
-    many). A query visits as many lists as hold a share of ``recall`` of the
+    number of rows, though no more than ``sample`` / PER_LIST (given ``lists``: so
+    many), and the sample has 20,000 rows or PER_LIST for each list, if that is
+    more: a million for 10^9 rows. Work in clusters grows with the power 1.5
+    of the rows. A query visits as many lists as hold a share of ``recall`` of the
     neighbours within the sample, which the fit measures (given ``probes``: so
     many): few if the vectors lie in clusters, most if they do not.
 

@@ -45,6 +45,15 @@ def test_recall_on_a_table(spark, monkeypatch, cells):
     assert all(abs(s - exact[q, v]) < 1e-12 for q, w in got.items() for v, s in w if (q, v) in exact)
 
 
+def test_very_large_and_small_components(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 6))
+    scale = rng.choice([1e-200, 1e-3, 1.0, 1e170, 1e300], size=(200, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x * scale)], "vec_id bigint, embedding array<double>")
+    want, got = brute(np.arange(200), x, 50, 5), found(nearest(df))
+    assert recall(got, want) == 1 and all(abs(s - t) < 1e-9 for q in want for (_, s), (_, t) in zip(got[q], want[q], strict=True))
+
+
 def test_copies_and_unusable_rows(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(300, 8))
