@@ -294,7 +294,7 @@ TASKS = 256
 
 def pack(
     docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group: int = 128, cuts: bool = True, with_ids: bool = True,
-    known_bytes: int = 1 << 26, id_col: str = "doc_id", text_col: str = "text",
+    known_bytes: int = 1 << 27, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Packs every document, followed by ``end_id``, into windows of at most ``capacity`` tokens.
 
