@@ -223,7 +223,7 @@ def q_record_overrides(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "records")
     lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(xml).write.text(path)
     nodes = stored(payload_nodes(spark, path).where("field = 'arch'"), "nodes")  # used three times
-    anchors = match_anchor(nodes, "R", "field", {"status": "P"})
+    anchors = stored(match_anchor(nodes, "R", "field", {"status": "P"}), "anchors")
     overrides = spark.createDataFrame([(0, "added", {"item": "a"}), (1, "added", {"item": "b"})], "seq int, tag string, attrs map<string,string>")
     merged = insert_before(nodes.where("parent_id is not null"), anchors, overrides, ["doc_id", "parent_id"], ["pos"])
     return merged.select("doc_id", "position", "tag", F.col("attrs")["item"].alias("item"))

@@ -50,10 +50,10 @@ def payload_attributes(spark: SparkSession, path: str, xpath: str) -> DataFrame:
 # Possessive groups: the scan never turns back, so a tag with any number of attributes takes no stack.
 _ATTRIBUTES = r"""(?:\s++[\w.:-]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'))*+"""
 _TAG = r"""<(/?+)([\w.:-]++)(""" + _ATTRIBUTES + r""")\s*+(/?+)>"""
-_ATTRIBUTE = r"""([\w.:-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)')"""
+_ATTRIBUTE = r"""[\w.:-]++\s*+=\s*+(?:"[^"]*+"|'[^']*+')"""
 _RECORD = r"(?s)<record" + _ATTRIBUTES + r"\s*+>.*"
 _EMPTY_RECORD = "<record" + _ATTRIBUTES + r"\s*+/>"
-_NO_TAGS = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>"
+_NO_TAGS = r"(?s)<(?:!--.*?-->|!\[CDATA\[.*?\]\]>|\?.*?\?>)"
 #: The entities that XML itself defines.
 _ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
 #: Tags that one step of the walk over a record copies its nodes for.
@@ -79,11 +79,13 @@ def _plain(value: Column) -> Column:
 
 def _attributes(tag: Column) -> Column:
     """The attributes of a start tag as a map; as XML has it, none repeats."""
+    blank = F.lit(" \t\r\n")
 
-    def every(group: int) -> Column:
-        return F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(group))
+    def entry(one: Column) -> Column:
+        value = F.btrim(F.substring(one, F.instr(one, "=") + 1, F.length(one)), blank)
+        return F.struct(F.btrim(F.substring_index(one, "=", 1), blank).alias("key"), _plain(F.substring(value, F.lit(2), F.length(value) - 2)).alias("value"))
 
-    return F.map_from_arrays(every(1), F.zip_with(every(2), every(3), lambda a, b: _plain(F.concat(a, b))))  # one of the two quotings is empty
+    return F.map_from_entries(F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0)), entry))
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -243,7 +243,8 @@ def test_payload_nodes_of_odd_records(spark, tmp_path):
     wide = "".join(f"<n><m/><m i='{i}'/></n>" for i in range(1500))
     (tmp_path / "p.xml").write_text(f"""<data><record id="empty"/>
       <record model='m>n'><field name="f"><a><b/></a></field></record>
-      <record model="m"><field name="f"><c/><c/></field><field name="f"><d/></field></record>
+      <record model="m"><field name="f"><c
+ w = 'a=b'	/><c/></field><field name="f"><d/></field></record>
       <record id="twin"><field name="f"><e/></field></record><record id="twin"><field name="f"><e x="&#38;&amp;lt;&#x20AC;&lt;&none;&#0;&#x110000; & ;"/></field></record>
       <record id="many"><field name="f"><g {many}/></field></record>
       <record id="wide"><field name="f">{wide}</field></record></data>""")
@@ -255,6 +256,7 @@ def test_payload_nodes_of_odd_records(spark, tmp_path):
     assert [(t[0].doc_id, len(t)) for t in trees] == [(None, 2), (None, 3), ("twin", 1), ("twin", 1), ("many", 1), ("wide", 4500)]
     assert [(r.tag, r.pos, r.parent_id is None) for r in trees[0]] == [("a", 0, True), ("b", 0, False)]
     assert [(r.tag, r.pos) for r in trees[1]] == [("c", 0), ("c", 1), ("d", 0)]  # each field counts its own
+    assert trees[1][0].attrs == {"w": "a=b"}
     assert trees[3][0].attrs == {"x": "&&lt;\u20ac<&none;&#0;&#x110000; & ;"}
     assert len(trees[4][0].attrs) == 20_000 and trees[4][0].attrs["a19999"] == "19999"
     ns = [r for r in trees[5] if r.tag == "n"]
