@@ -165,18 +165,6 @@ def test_one_sequence_of_a_million_rows(spark):
     assert out.where(F.col("position") != F.col("at") - 1).count() == 0 and out.count() == 1_000_000
 
 
-def test_triage(spark):
-    log = spark.createDataFrame([(0, "WARNING a 0 failed (x)"), (1, "WARNING other"), (2, None), (3, ""), (4, "ERROR 0 failed")], "line_no bigint, line string")
-    patterns = [r"WARNING.* 0 failed \(x\)", "failed"]
-    kept = drop_ignored(log, patterns)
-    assert [r.line_no for r in kept.orderBy("line_no").collect()] == [1, 2, 3]
-    assert rows(drop_ignored(kept, patterns)) == rows(kept)
-    assert drop_ignored(log, []).count() == 5
-    assert rows(ignored_counts(log, [*patterns, "zzz"])) == [(0, 1), (1, 2), (2, 0)]
-    assert rows(ignored_counts(log.limit(0), patterns)) == [(0, 0), (1, 0)]
-    assert ignored_counts(log, []).count() == 0
-
-
 def test_triage_on_a_stream(spark, tmp_path):
     spark.createDataFrame([("WARNING x",), ("fine",)], "line string").write.parquet(str(tmp_path / "in"))
     stream = drop_ignored(spark.readStream.schema("line string").parquet(str(tmp_path / "in")), ["WARNING"])
@@ -186,27 +174,6 @@ def test_triage_on_a_stream(spark, tmp_path):
     assert [r.line for r in spark.table("kept").collect()] == ["fine"]
 
 
-XML = """<data>
-  <record id="r1" model="m.a">
-    <field name="model">m.b</field>
-    <field name="parent" ref="other.r0"/>
-    <field name="arch" type="xml"><list><field name="n"/><field name="o"/></list></field>
-  </record>
-  <record id="r2" model="m.a"/>
-</data>"""
-
-
-def test_records(spark, tmp_path):
-    (tmp_path / "r.xml").write_text(XML)
-    got = {(r.id, r.field): (r.model, r.ref, r.value) for r in read_records(spark, str(tmp_path / "r.xml")).collect()}
-    assert got[("r1", "model")] == ("m.a", None, "m.b")
-    assert got[("r1", "parent")] == ("m.a", "other.r0", None)
-    assert got[("r1", "arch")][2] is None
-    assert got[("r2", None)] == ("m.a", None, None)
-    nodes = payload_attributes(spark, str(tmp_path / "r.xml"), "//list/field/@name")
-    assert [r.value for r in nodes.orderBy("position").collect()] == ["n", "o"]
-
-
 PAYLOADS = """<?xml version="1.0"?>
 <data>
   <!-- <record id="no"> -->
@@ -221,6 +188,18 @@ PAYLOADS = """<?xml version="1.0"?>
 </data>"""
 
 
+def test_records(spark, tmp_path):
+    """Text, references and payloads as values; a record without fields; attributes of payloads in their order."""
+    (tmp_path / "r.xml").write_text(PAYLOADS.replace("</data>", '<record id="bare" model="point"/></data>'))
+    got = {(r.id, r.field): (r.model, r.ref, r.value) for r in read_records(spark, str(tmp_path / "r.xml")).collect()}
+    assert got[("base", "title")] == ("shape", None, "a <b/> c")
+    assert got[("patch", "over")] == ("shape", "main.base", None)
+    assert got[("base", "tree")][2] is None and got[("bare", None)] == ("point", None, None)
+    assert len(got) == 6
+    keys = payload_attributes(spark, str(tmp_path / "r.xml"), "//box/row/@key")
+    assert [r.value for r in keys.orderBy("position").collect()] == ['x & "y"', "z"]
+
+
 def test_payload_nodes(spark, tmp_path):
     (tmp_path / "p.xml").write_text(PAYLOADS)
     nodes = payload_nodes(spark, str(tmp_path / "p.xml"))
@@ -299,6 +278,17 @@ def test_patterns_are_found_anywhere_and_signs_can_be_escaped(spark):
     assert rows(ignored_counts(log, patterns)) == [(0, 1), (1, 2), (2, 1)]  # line 0 counts for two
 
 
+def test_screening_again_changes_nothing(spark):
+    """Also for patterns without a hit, no pattern and no line."""
+    log = spark.range(200).select(F.col("id").alias("line_no"), F.when(F.col("id") % 10 != 0, F.concat(F.lit("step "), F.col("id") % 7)).alias("line"))
+    own = ["step [25]$", "never"]
+    kept = drop_ignored(log, own)
+    assert rows(drop_ignored(kept, own)) == rows(kept) and kept.where("line is null").count() == 20
+    assert rows(ignored_counts(log, own)) == [(0, log.count() - kept.count()), (1, 0)]
+    assert rows(ignored_counts(log.limit(0), own)) == [(0, 0), (1, 0)]
+    assert rows(drop_ignored(log, [])) == rows(log) and ignored_counts(log, []).count() == 0
+
+
 @pytest.mark.parametrize(
     ("pattern", "found"),
     [
