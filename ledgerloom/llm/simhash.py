@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -22,6 +23,8 @@ CELL = 4096
 #: Most pairs of a cell written out for each of its members; a cell with more is verified as a whole.
 PARTNERS = 4
 EXPANDED = 1 << 14
+#: Most bits that a key may have besides its codeword; enough for 10^11 texts.
+MOST_EXTRA = 12
 #: Most shingle hashes, of 8 bytes, of a crowded cell that one task compares.
 HASHES = 1 << 22
 
@@ -131,16 +134,30 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], keys[new]
 
 
-def code_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) pairs: for each of the three segments the codeword that it decodes to, which absorbs up to three errors on either side."""
-    value, at, keys = fps.view(np.uint64), 0, []
-    for k, bits in enumerate(SEGMENTS):
-        part = ((value >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
-        keys.append((k << 12) | golay.decode(part))
+def code_keys(fps: np.ndarray, extra: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) pairs: for each of the three segments the codeword that it decodes to, which absorbs up to three errors on either side.
+
+    A key takes ``extra`` bits of the segment after its own with it, as they are.
+    """
+    value, at, parts = fps.view(np.uint64), 0, []
+    for bits in SEGMENTS:
+        parts.append(((value >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.uint32))
         at += bits
+    after = [part.astype(np.int64) & ((1 << extra) - 1) for part in parts[1:] + parts[:1]]
+    keys = [(((k << 12) | golay.decode(part)) << extra) | bits for k, (part, bits) in enumerate(zip(parts, after, strict=True))]
     return np.tile(np.arange(len(fps)), len(SEGMENTS)), np.concatenate(keys)
 
 
+def key_length(rows: int, fill: float, searched: int, share: float) -> tuple[int, int]:
+    """(extra bits of a key, families searched) with which cells hold some ``fill`` rows at most, at the recall of ``searched`` families.
+
+    Each bit halves the cells. Two similar fingerprints agree in it with a
+    chance of 1 - ``share``, so that many more families make up for it.
+    """
+    extra = min(MOST_EXTRA, max(0, int(np.ceil(np.log2(max(1, rows) / 4096 / fill)))))
+    return extra, int(np.ceil(searched / (1 - share) ** extra))
+
+
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of fingerprints, summed over the families (last axis)."""
     return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(axis=-1, dtype=np.int32)
@@ -201,8 +218,9 @@ def _cells(
                     yield pa.RecordBatch.from_arrays([pa.array(keys | (k << 26)), *taken], names=["key", "node", *names])
 
     columns = "key bigint, node bigint, " + ", ".join(f"{n} bigint" for n in names)
-    # a row has 3 or some 29 keys for each family, so few rows make a task
-    dealt = distinct.select("node", *names, *more).repartition(max(1, distinct.count() // EXPANDED), "node")
+    # a row has 29 keys, or 3 for each family, so few rows make a task
+    each = max(1, EXPANDED * 10 // max(10, families + len(more)))
+    dealt = distinct.select("node", *names, *more).repartition(max(1, distinct.count() // each), "node")
     keyed = dealt.mapInArrow(frugal(expand), columns)
     # a key of more than CELL nodes is dealt into chunks, and each two chunks meet in a cell of their own
     full = keyed.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / (CELL // 2)).cast("int").alias("chunks"))
@@ -349,8 +367,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3, id_col: str
 
 
 def similar_documents(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = 2, searched: int = 10, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, families: int = 2, searched: int = 10, fill: float = CELL // 2, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row per document: doc_id, component_id; links texts whose sets of word shingles have a Jaccard similarity of ``similarity``.
 
     SimHashes only find candidates: ``searched`` of them, of the distinct
@@ -360,9 +378,11 @@ def similar_documents(
     that similarity has (3.3 standard deviations over the mean). Of pairs at
     exactly 0.8 some 1.1 % share no key, at 0.85 0.2 %; two further families
     halve that. Candidates are compared by their shingles' 64-bit hashes, so no
-    link is below the limit. A key has 12 bits, so a fingerprint is compared
-    with some 30 / 4096 of all others, in numpy; from some 10^8 different texts
-    on, keys of two segments (``golay_keys``) and more families cost less.
+    link is below the limit. A key has 12 bits, and one more for each doubling
+    of the rows from 4096 * ``fill`` on; with each bit ``searched`` grows by
+    the 18 % that keep the share of pairs found. So a fingerprint is compared
+    with at most ``fill`` others for each key, in numpy, and keys grow with the
+    fourth root of the rows: 30 a text up to 8 million rows, 96 at 10^9, 183 at 10^10.
 
     Of each cell the members are first compared with one of them, so that a
     large group of copies is not compared pair by pair; then all candidates that
@@ -375,7 +395,8 @@ def similar_documents(
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = 64 * families
     most = int(bits * share + 3.3 * (bits * share * (1 - share)) ** 0.5)
-    names = _names(searched)
+    extra, searched = key_length(docs.count(), fill, searched, share)
+    keys_of, names = partial(code_keys, extra=extra), _names(searched)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +422,7 @@ def similar_documents(
     own = stored(rows.select("doc_id", F.xxhash64("text").alias("written"), "text").mapInArrow(frugal(sign), schema), "fingerprints")
     least = [F.min("doc_id").alias("least"), F.min("written").alias("written"), *[F.min(n).alias(n) for n in names]]
     distinct = stored(own.groupBy("node").agg(*least), "distinct")
-    near = stored(_cells(distinct, families, most, searched=searched, keys_of=code_keys), "candidates")
+    near = stored(_cells(distinct, families, most, searched=searched, keys_of=keys_of), "candidates")
     met = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     met = stored(distinct.join(met, "node", "left_semi"), "met")
     wanted = small_or_stored(met.select("node", "written"), "wanted")
@@ -417,7 +438,7 @@ def similar_documents(
     one = stored(alike(stored(near.groupBy("a").agg(F.min("b").alias("b")), "stars")), "alike")
     roots = components(one).withColumnRenamed("node", "of")
     grouped = met.join(roots, F.col("node") == F.col("of"), "left").select("node", *names, F.coalesce("root", "node").alias("group"))
-    rest = stored(_cells(stored(grouped, "grouped"), families, most, "group", searched, code_keys), "candidates")
+    rest = stored(_cells(stored(grouped, "grouped"), families, most, "group", searched, keys_of), "candidates")
     members = rest.where("key >= 0").select("key", "cell", F.col("a").alias("node"), F.col("b").alias("group"))
     crowded = _verified(members.join(held, "node"), similarity)
     roots = components(one.unionByName(alike(rest.where("key < 0").select("a", "b").distinct())).unionByName(crowded)).withColumnRenamed("node", "of")

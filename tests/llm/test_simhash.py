@@ -132,7 +132,25 @@ def test_similar_documents(spark):
     assert all(got[i] // 3 == i // 3 for i in base)
 
 
-def test_similar_documents_against_brute_force(spark):
+def test_keys_lengthen_with_the_rows():
+    share = np.arccos(2 * 0.8 / 1.8) / np.pi
+    assert simhash.key_length(0, 2048, 10, share) == simhash.key_length(1 << 23, 2048, 10, share) == (0, 10)
+    assert simhash.key_length((1 << 23) + 1, 2048, 10, share) == (1, 12)
+    work, rng = [], np.random.default_rng(1)
+    for n in (4000, 16000, 64000):
+        extra, families = simhash.key_length(n, 0.25, 10, share)
+        pairs = 0
+        for _ in range(families):
+            rows, keys = simhash.code_keys(rng.integers(-(2**63), 2**63, n), extra)
+            assert len(rows) == 3 * n and keys.max() < 1 << 26
+            pairs += int((np.unique(keys, return_counts=True)[1].astype(np.int64) ** 2).sum()) - 3 * n
+        work.append((3 * families * n, pairs))
+    for few, many in zip(work[0], work[2], strict=True):  # families are whole numbers, so single steps vary
+        assert np.log(many / few) / np.log(16) <= 1.25
+
+
+@pytest.mark.parametrize("fill", [simhash.CELL // 2, 0.003])
+def test_similar_documents_against_brute_force(spark, fill):
     rng = np.random.default_rng(12)
     words = [f"w{i}" for i in range(20000)]
     rows = []
@@ -149,7 +167,7 @@ def test_similar_documents_against_brute_force(spark):
 
     sets = [plain(t) for _, t in rows]
     alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), fill=fill).collect()}
     linked = [got[2 * g + 1] == 2 * g for g in range(400)]
     assert not any(on for on, j in zip(linked, alike, strict=True) if j < 0.8)
     due = [on for on, j in zip(linked, alike, strict=True) if j >= 0.8]
