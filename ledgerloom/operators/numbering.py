@@ -12,19 +12,20 @@ from pyspark.sql.window import Window
 STRETCH = 1 << 16
 
 
-def with_ranges(rows: DataFrame, sequence: Sequence[str], order_by: Sequence[str], stretch: int = STRETCH) -> DataFrame:
+def with_ranges(rows: DataFrame, sequence: Sequence[str], order_by: Sequence[str], stretch: int = STRETCH, how: str = "left") -> DataFrame:
     """Adds ``__of`` (the sequence as one value) and ``__range``: the number of cuts of the sequence up to the row.
 
     One row in ``stretch`` is a cut, chosen by a hash, so sequences shorter than
     that seldom have one. The cuts of a sequence are one array; a row counts
-    those up to it.
+    those up to it. The cuts are broadcast, so that rows are not shuffled to
+    meet them. With ``how="inner"`` only the rows of sequences with a cut are kept.
     """
     held = rows.withColumn("__of", F.struct(*sequence))
     place = F.struct(*order_by)
     cuts = held.where(F.pmod(F.xxhash64(*sequence, *order_by), F.lit(stretch)) == 0)
     cuts = cuts.groupBy("__of").agg(F.array_sort(F.collect_set(place)).alias("__cuts"))
     upto = F.size(F.filter("__cuts", lambda c: c <= place))
-    return held.join(cuts, "__of", "left").withColumn("__range", F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(upto)).drop("__cuts")
+    return held.join(F.broadcast(cuts), "__of", how).withColumn("__range", F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(upto)).drop("__cuts")
 
 
 def numbered(rows: DataFrame, sequence: Sequence[str], order_by: Sequence[str], name: str = "position", stretch: int = STRETCH) -> DataFrame:
@@ -37,11 +38,12 @@ def numbered(rows: DataFrame, sequence: Sequence[str], order_by: Sequence[str],
     plan; nothing runs while it is built.
     """
     ranged = with_ranges(rows, sequence, order_by, stretch)
-    # dealt by range: what the join has dealt by sequence would do for the window, with a long sequence in one task
+    # dealt by range: by sequence, as the window of a caller may have it, a long sequence would be in one task
     dealt = ranged.repartition("__of", "__range")
     own = dealt.withColumn("__own", F.row_number().over(Window.partitionBy("__of", "__range").orderBy(*order_by)) - 1)
-    # a sequence in one range begins at 0 and needs no sum
-    parts = with_ranges(rows.select(*dict.fromkeys([*sequence, *order_by])), sequence, order_by, stretch).groupBy("__of", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    # a sequence without a cut begins at 0 and needs no sum
+    keys = rows.select(*dict.fromkeys([*sequence, *order_by]))
+    parts = with_ranges(keys, sequence, order_by, stretch, "inner").groupBy("__of", "__range").agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.partitionBy("__of").orderBy("__range")
     begins = parts.select("__of", "__range", (F.sum("__n").over(upto) - F.col("__n")).alias("__begin")).where("__begin > 0")
     out = own.join(begins, ["__of", "__range"], "left")

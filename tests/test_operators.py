@@ -157,6 +157,22 @@ def test_numbering_equals_one_window(spark, stretch):
         assert max(sizes) < 50 * 12 and len(sizes) > 200  # of some 17,000 rows of one sequence
 
 
+def test_rows_meet_their_cuts_where_they_are(spark):
+    """By a shuffle, of which the join then read what each writer left, one task had the rows of all large partitions."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "1k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        large, small = (spark.range(0, n, 1, parts).select((F.col("id") % 500).alias("s"), F.col("id").alias("o")) for n, parts in ((20000, 8), (300, 100)))
+        ranged = with_ranges(large.unionByName(small), ["s"], ["o"], stretch=1000)
+        sizes = [r["n"] for r in ranged.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), F.sum("__range")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(sizes) == 20300 and max(sizes) == 2500
+
+
 def test_one_sequence_of_a_million_rows(spark):
     base = spark.range(0, 1_000_000, 1, 8).select(F.lit(1).alias("doc"), (F.lit(1_000_000) - F.col("id")).alias("at"))
     sizes = with_ranges(base, ["doc"], ["at"]).groupBy("__range").count().agg(F.max("count"), F.count(F.lit(1))).first()
