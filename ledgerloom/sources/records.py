@@ -50,6 +50,7 @@ def payload_attributes(spark: SparkSession, path: str, xpath: str) -> DataFrame:
 # Possessive groups: the scan never turns back, so a tag with any number of attributes takes no stack.
 _ATTRIBUTES = r"""(?:\s++[\w.:-]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'))*+"""
 _TAG = r"""<(/?+)([\w.:-]++)(""" + _ATTRIBUTES + r""")\s*+(/?+)>"""
+_NAME = r"^<([\w.:-]++)"
 _ATTRIBUTE = r"""[\w.:-]++\s*+=\s*+(?:"[^"]*+"|'[^']*+')"""
 _RECORD = r"(?s)<record" + _ATTRIBUTES + r"\s*+>.*"
 _EMPTY_RECORD = "<record" + _ATTRIBUTES + r"\s*+/>"
@@ -81,9 +82,13 @@ def _attributes(tag: Column) -> Column:
     """The attributes of a start tag as a map; as XML has it, none repeats."""
     blank = F.lit(" \t\r\n")
 
+    def unquoted(value: Column) -> Column:
+        return F.substring(value, F.lit(2), F.length(value) - 2)
+
     def entry(one: Column) -> Column:
-        value = F.btrim(F.substring(one, F.instr(one, "=") + 1, F.length(one)), blank)
-        return F.struct(F.btrim(F.substring_index(one, "=", 1), blank).alias("key"), _plain(F.substring(value, F.lit(2), F.length(value) - 2)).alias("value"))
+        value = _bound(F.btrim(F.substring(one, F.instr(one, "=") + 1, F.length(one)), blank), unquoted)
+        value = F.when(F.instr(one, "&") == 0, value).otherwise(_bound(value, _plain))
+        return F.struct(F.btrim(F.substring_index(one, "=", 1), blank).alias("key"), value.alias("value"))
 
     return F.map_from_entries(F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0)), entry))
 
@@ -97,33 +102,40 @@ def _walked(tags: Column) -> Column:
     """(at, parent, pos, field, text) of each node among the tags of one record, in their order.
 
     One walk with a stack of the elements that are open: the record, its field,
-    then nodes, each with its place and the number of its children so far. What
-    the walk has found is put together from chunks, so that it is not copied
-    for every tag.
+    then nodes, each with its place and the number of its children so far. The
+    innermost stands apart from the others, so that the stack is only copied
+    where an element with children begins or ends. What the walk has found is
+    put together from chunks, so that it is not copied for every tag.
     """
-    open_type, node_type = "array<struct<at:int,kids:int>>", "array<struct<at:int,parent:int,pos:int,field:string,text:string>>"
+    one_type = "struct<at:int,kids:int>"
+    open_type, node_type = f"struct<depth:int,top:{one_type},below:array<{one_type}>>", "array<struct<at:int,parent:int,pos:int,field:string,text:string>>"
+    none, empty = F.lit(None).cast(one_type), F.array().cast(f"array<{one_type}>")
+
+    def opened(depth: Column, top: Column, below: Column) -> Column:
+        return F.struct(depth.alias("depth"), top.alias("top"), below.alias("below"))
 
     def step(state: Column, tag: Column) -> Column:
-        at, stack = state["at"], state["stack"]
-        depth = F.size(stack)  # of what the tag stands in: 0 for the record, 1 for a field, 2 for a node right in a field
-        top = F.when(depth > 0, F.element_at(stack, -1))
-        below = F.slice(stack, 1, F.greatest(depth - 1, F.lit(0)))
-        counted = F.when(depth > 0, F.concat(below, F.array(F.struct(top["at"].alias("at"), (top["kids"] + 1).alias("kids"))))).otherwise(stack)
-        opened = F.when(tag.endswith("/>"), counted).otherwise(F.concat(counted, F.array(F.struct(at.alias("at"), F.lit(0).alias("kids")))))
+        at, depth, top, below = state["at"], state["open"]["depth"], state["open"]["top"], state["open"]["below"]
+        # depth is of what the tag stands in: 0 for the record, 1 for a field, 2 for a node right in a field
+        counted = F.struct(top["at"].alias("at"), (top["kids"] + 1).alias("kids"))
         node = F.struct(at.alias("at"), F.when(depth > 2, top["at"]).alias("parent"), top["kids"].alias("pos"), state["field"].alias("field"), tag.alias("text"))
         ends = tag.startswith("</")
+        now = F.when(ends & (depth > 1), opened(depth - 1, F.element_at(below, -1), F.slice(below, F.lit(1), depth - 2)))
+        now = now.when(ends, opened(F.lit(0), none, empty))
+        now = now.when(tag.endswith("/>"), F.when(depth > 0, opened(depth, counted, below)).otherwise(state["open"]))
+        now = now.otherwise(opened(depth + 1, F.struct(at.alias("at"), F.lit(0).alias("kids")), F.when(depth > 0, F.concat(below, F.array(counted))).otherwise(below)))
         return F.struct(
-            (at + 1).alias("at"), F.when(ends, below).otherwise(opened).alias("stack"),
-            F.when(~ends & (depth == 1), _attributes(tag)["name"]).otherwise(state["field"]).alias("field"),
-            F.when(~ends & (depth > 1), F.concat(state["nodes"], F.array(node))).otherwise(state["nodes"]).alias("nodes"),
+            (at + 1).alias("at"), now.alias("open"),
+            F.when((depth == 1) & ~ends, _attributes(tag)["name"]).otherwise(state["field"]).alias("field"),
+            F.when((depth > 1) & ~ends, F.concat(state["nodes"], F.array(node))).otherwise(state["nodes"]).alias("nodes"),
         )
 
     def chunk(state: Column, first: Column) -> Column:
-        start = F.struct(state["at"].alias("at"), state["stack"].alias("stack"), state["field"].alias("field"), F.array().cast(node_type).alias("nodes"))
+        start = F.struct(state["at"].alias("at"), state["open"].alias("open"), state["field"].alias("field"), F.array().cast(node_type).alias("nodes"))
         walked = F.aggregate(F.slice(tags, first, CHUNK), start, step)
-        return _bound(walked, lambda x: F.struct(x["at"].alias("at"), x["stack"].alias("stack"), x["field"].alias("field"), F.concat(state["nodes"], x["nodes"]).alias("nodes")))
+        return _bound(walked, lambda x: F.struct(x["at"].alias("at"), x["open"].alias("open"), x["field"].alias("field"), F.concat(state["nodes"], x["nodes"]).alias("nodes")))
 
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(open_type).alias("stack"), F.lit(None).cast("string").alias("field"), F.array().cast(node_type).alias("nodes"))
+    nothing = F.struct(F.lit(0).alias("at"), opened(F.lit(0), none, empty).cast(open_type).alias("open"), F.lit(None).cast("string").alias("field"), F.array().cast(node_type).alias("nodes"))
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(tags), F.lit(1)), F.lit(CHUNK)), nothing, chunk, lambda x: x["nodes"])
 
 
@@ -142,10 +154,12 @@ def payload_nodes(spark: SparkSession, path: str) -> DataFrame:
     in proportion. Records do not nest.
     """
     text = spark.read.option("lineSep", "</record>").text(path).select(F.regexp_replace(F.regexp_replace("value", _NO_TAGS, ""), _EMPTY_RECORD, "").alias("value"))
-    record = text.select(F.regexp_extract("value", _RECORD, 0).alias("value")).where("value <> ''")
+    record = text.select(F.regexp_extract("value", _RECORD, 0).alias("value"))  # empty for what is none, which has no tags
     tags = record.select(F.monotonically_increasing_id().alias("record"), F.regexp_extract_all("value", F.lit(_TAG), F.lit(0)).alias("tags"))
-    nodes = tags.select("record", _attributes(F.col("tags")[0])["id"].alias("doc_id"), F.inline(_walked(F.col("tags"))))
+    # once for a record: beside the generator it would be worked out for each of its nodes
+    known = tags.withColumn("doc_id", _attributes(F.get("tags", F.lit(0)))["id"])
+    nodes = known.select("record", "doc_id", F.inline(_walked(F.col("tags"))))
     return nodes.select(
         "record", "doc_id", "field", F.col("at").cast("bigint").alias("node_id"), F.col("parent").cast("bigint").alias("parent_id"),
-        "pos", F.regexp_extract("text", _TAG, 2).alias("tag"), _attributes(F.col("text")).alias("attrs"),
+        "pos", F.regexp_extract("text", _NAME, 1).alias("tag"), _attributes(F.col("text")).alias("attrs"),
     )

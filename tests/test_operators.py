@@ -260,6 +260,16 @@ def test_payload_nodes_of_odd_records(spark, tmp_path):
     assert kids == [(n.node_id, k, str(i) if k else None) for i, n in enumerate(ns) for k in range(2)]
 
 
+def test_a_record_is_named_once_not_for_each_node(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<record id="r"><field name="f"><a><b/><c><d x="1"/></c></a><e/></field></record><record/>')
+    nodes = payload_nodes(spark, str(tmp_path))
+    above = nodes._jdf.queryExecution().optimizedPlan().toString().split("Generate inline")[0]
+    assert "tags#" not in above
+    assert [(r.doc_id, r.tag, r.parent_id, r.pos) for r in nodes.orderBy("node_id").collect()] == [
+        ("r", "a", None, 0), ("r", "b", 2, 0), ("r", "c", 2, 1), ("r", "d", 4, 0), ("r", "e", None, 1),
+    ]
+
+
 def test_record_path_end_to_end(spark, tmp_path):
     """Record file, its references, the anchor in the record referred to, and the nodes put before it."""
     (tmp_path / "p.xml").write_text(PAYLOADS)
