@@ -60,15 +60,16 @@ def _chunks(rows: DataFrame, key: str, order_by: Sequence[str], value: Column, n
     return grouped.select(key, "chunk", F.transform("__in_order", lambda x: x["v"]).alias(name))
 
 
-def _with_chunks(rows: DataFrame, key: str, chunks: DataFrame, name: str) -> DataFrame:
+def _with_chunks(rows: DataFrame, key: str, chunks: DataFrame, known: DataFrame, name: str) -> DataFrame:
     """``rows`` with each of their chunks, or with one empty chunk.
 
     An inner join, in which a row of many chunks can be split, and the rows that
-    have none.
+    have none: those whose key is not one of ``known``, so that nothing is
+    numbered for them.
     """
     empty = F.array().cast(chunks.schema[name].dataType)
     some = rows.join(chunks, rows[key] == chunks["__key"]).drop("__key")
-    none = rows.join(chunks.where("chunk = 0").select("__key"), rows[key] == F.col("__key"), "left_anti")
+    none = rows.join(known.select("__key").distinct(), rows[key] == F.col("__key"), "left_anti")
     return some.unionByName(none.withColumns({"chunk": F.lit(0).cast("bigint"), name: empty}))
 
 
@@ -86,7 +87,7 @@ def nest_line_chunks(
     parent_key, line_key = on
     members = [*order_by, *(f for f in fields if f not in order_by)]
     known = lines.where(F.col(line_key).isNotNull()).select(F.col(line_key).alias("__key"), *members)
-    return _with_chunks(parents, parent_key, _chunks(known, "__key", order_by, F.struct(*members), name, size, stretch), name)
+    return _with_chunks(parents, parent_key, _chunks(known, "__key", order_by, F.struct(*members), name, size, stretch), known, name)
 
 
 def attach_tags(
@@ -123,7 +124,8 @@ def attach_tag_chunks(
     without tags has one empty chunk. Null labels are no tags.
     """
     labels = _labels(link, groups, link_keys, group_key, label).where("__line is not null and __label is not null").distinct()
-    return _with_chunks(lines, line_key, _chunks(labels.withColumnRenamed("__line", "__key"), "__key", ["__label"], F.col("__label"), name, size, stretch), name)
+    labels = labels.withColumnRenamed("__line", "__key")
+    return _with_chunks(lines, line_key, _chunks(labels, "__key", ["__label"], F.col("__label"), name, size, stretch), labels, name)
 
 
 def tags_text(name: str = "tags", separator: str = ",") -> Column:

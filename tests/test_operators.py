@@ -61,6 +61,14 @@ def test_chunks_put_together_are_the_whole(spark):
     assert tags == {r.config_id: r.tags for r in attach_tags(*args).collect()} and len(tags[1]) == 500
 
 
+def test_parents_without_lines_are_found_without_numbering(spark):
+    parents, lines = spark.range(9).withColumnRenamed("id", "p"), spark.range(7).select("id", (F.col("id") % 3).alias("fk"))
+    out = nest_line_chunks(parents, lines, ("p", "fk"), ("id",), size=2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+    assert sorted((r.p, r.chunk, [x.id for x in r.lines]) for r in out.collect())[:4] == [(0, 0, [0, 3]), (0, 1, [6]), (1, 0, [1, 4]), (2, 0, [2, 5])]
+    assert out.where("size(lines) = 0").count() == 6
+
+
 def test_listing_and_active(spark):
     df = spark.createDataFrame([(True, 1, "k", "n", ["g"]), (None, 2, "k", "n", ["g"]), (False, 3, "k", "n", [])],
                                "active boolean, definition bigint, kind string, name string, group_ids array<string>")
