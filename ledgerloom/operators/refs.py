@@ -37,6 +37,27 @@ def _keyed(records: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
     return out
 
 
+def _grouped(keyed: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row for each key: its number of records (``__n``) and their columns, which are those of the record where that is 1.
+
+    Columns are gathered one by one, so that numbers are aggregated by hash, without a sort.
+    """
+    return keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[F.first(F.col(f"`{c}`")).alias(f"__r{i}") for i, c in enumerate(columns)])
+
+
+def counted_refs(refs: DataFrame, records: DataFrame, on: Sequence[tuple[str, str]], name: str = "n_records") -> DataFrame:
+    """Every reference once, with the number of records that have its key and the columns of that record where it is one, else null.
+
+    One pass tells apart what ``resolve_refs`` and ``ambiguous_refs`` give one by
+    one: 0 dangles (null keys, too), 1 is resolved, more are ambiguous.
+    """
+    keys, columns = [f"__k{i}" for i in range(len(on))], records.columns
+    found = refs.join(_grouped(_keyed(records, on), keys, columns), _matches(refs, on), "left")
+    return found.select(
+        *[refs[c] for c in refs.columns], F.coalesce("__n", F.lit(0)).cast("bigint").alias(name), *[F.when(F.col("__n") == 1, F.col(f"__r{i}")).alias(c) for i, c in enumerate(columns)]
+    )
+
+
 def resolve_refs(refs: DataFrame, records: DataFrame, on: Sequence[tuple[str, str]], repeated: str = "error") -> tuple[DataFrame, DataFrame]:
     """(resolved, dangling) references; ``on`` lists (reference column, record column).
 
@@ -50,14 +71,14 @@ def resolve_refs(refs: DataFrame, records: DataFrame, on: Sequence[tuple[str, st
         raise ValueError("repeated is 'error' or 'apart'")
     keys = [f"__k{i}" for i in range(len(on))]
     keyed = _keyed(records, on)
-    one = keyed.groupBy(*keys).agg(F.first(F.struct(*records.columns)).alias("__record"), F.count(F.lit(1)).alias("__n"))
+    one = _grouped(keyed, keys, records.columns)
     if repeated == "apart":
         one = one.where("__n = 1")
     else:
         said = F.concat(F.lit("more than one record has the key "), F.to_json(F.struct(*keys)))
         one = one.where(F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
-    resolved = refs.join(one, _matches(refs, on)).select(*[refs[c] for c in refs.columns], *[F.col(f"__record.`{c}`").alias(c) for c in records.columns])
-    return resolved, refs.join(keyed.select(*keys), _matches(refs, on), "left_anti")
+    resolved = refs.join(one, _matches(refs, on)).select(*[refs[c] for c in refs.columns], *[F.col(f"__r{i}").alias(c) for i, c in enumerate(records.columns)])
+    return resolved, refs.join(keyed.select(*keys).distinct(), _matches(refs, on), "left_anti")
 
 
 def ambiguous_refs(refs: DataFrame, records: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.flags import apply_flags
 from ledgerloom.operators.listing import active_only, attach_tag_chunks, attach_tags, expand_lines, line_listing, nest_line_chunks, nest_lines, tags_text
 from ledgerloom.operators.overrides import first_anchor, insert_before, match_anchor, match_anchors
-from ledgerloom.operators.refs import ambiguous_refs, resolve_refs, split_refs
+from ledgerloom.operators.refs import counted_refs, resolve_refs, split_refs
 from ledgerloom.operators.triage import drop_ignored, ignored_counts
 from ledgerloom.sources.records import payload_nodes, read_records
 from ledgerloom.sources.scratch import scratch_path, stored
@@ -113,14 +113,9 @@ def q_resolve_refs_repeated(spark: SparkSession, d: str) -> DataFrame:
     """Orders as references to their lines: those of one line resolve, those of several are reported, none is multiplied."""
     refs = table(spark, d, "orders").select("o_orderkey")
     records = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
-    on = [("o_orderkey", "l_orderkey")]
-    resolved, dangling = resolve_refs(refs, records, on, repeated="apart")
-    several = ambiguous_refs(refs, records, on)
-    return (
-        resolved.select("o_orderkey", F.lit("resolved").alias("state"), F.lit(1).cast("bigint").alias("n_records"), "l_partkey")
-        .unionByName(several.select("o_orderkey", F.lit("ambiguous").alias("state"), "n_records"), allowMissingColumns=True)
-        .unionByName(dangling.select("o_orderkey", F.lit("dangling").alias("state"), F.lit(0).cast("bigint").alias("n_records")), allowMissingColumns=True)
-    )
+    counted = counted_refs(refs, records, [("o_orderkey", "l_orderkey")])
+    state = F.when(F.col("n_records") == 0, "dangling").when(F.col("n_records") == 1, "resolved").otherwise("ambiguous")
+    return counted.select("o_orderkey", state.alias("state"), "n_records", "l_partkey")
 
 
 def _order_nodes(spark: SparkSession, d: str) -> DataFrame:

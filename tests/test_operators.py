@@ -10,7 +10,7 @@ from ledgerloom.operators.flags import apply_flags
 from ledgerloom.operators.listing import LISTING, active_only, attach_tag_chunks, attach_tags, expand_lines, line_listing, nest_line_chunks, nest_lines
 from ledgerloom.operators.numbering import numbered, with_ranges
 from ledgerloom.operators.overrides import MOST_OVERRIDES, insert_before, match_anchor, match_anchors
-from ledgerloom.operators.refs import ambiguous_refs, repeated_keys, resolve_refs, split_refs
+from ledgerloom.operators.refs import ambiguous_refs, counted_refs, repeated_keys, resolve_refs, split_refs
 from ledgerloom.operators.triage import drop_ignored, ignored_counts
 from ledgerloom.plans.queries import _order_nodes
 from ledgerloom.sources.records import payload_attributes, payload_nodes, read_records
@@ -96,6 +96,17 @@ def test_refs(spark):
 NODES = "doc_id bigint, node_id bigint, parent_id bigint, pos int, tag string, attrs map<string,string>"
 
 
+def test_references_are_counted_in_one_pass_by_hash(spark):
+    refs = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "ref bigint")
+    records = spark.createDataFrame([(1, 10), (2, 20), (2, 21), (None, 30)], "key bigint, v bigint")
+    out = counted_refs(refs, records, [("ref", "key")])
+    assert rows(out) == sorted([(1, 1, 1, 10), (2, 2, None, None), (2, 2, None, None), (3, 0, None, None), (None, 0, None, None)], key=str)
+    resolved, dangling = resolve_refs(refs, records, [("ref", "key")], repeated="apart")
+    assert rows(resolved) == [(1, 1, 10)] and rows(dangling) == sorted([(3,), (None,)], key=str)
+    for df in (out, resolved):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_anchor_and_insert(spark):
     """Book 1 has two notes right in its second shelf, book 2 one on a shelf of another colour, book 3 one a level too deep, book 4 nothing."""
     nodes = spark.createDataFrame(
