@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import heapq
-import re
+import itertools
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -16,19 +17,59 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.shared import LONG, TwoGenerations, blocks, frugal, kept, stored, texts
 
-#: A word of letters that lower-case one to one and are composed already, then marks of one pre-token.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!|%$&#*;:?]*)")
+#: Kinds of bytes: all others, letters that lower-case one to one and are composed already, marks of one pre-token, ASCII white space.
+_OTHER, _LETTER, _MARK, _SPACE = range(4)
+
+
+def _kinds() -> bytes:
+    """The kind of each byte that is a sign by itself."""
+    kind = bytearray([_OTHER]) * 256
+    for signs, own in ((string.ascii_letters, _LETTER), (".,!|%$&#*;:?", _MARK), (string.whitespace, _SPACE)):
+        for sign in signs.encode():
+            kind[sign] = own
+    return bytes(kind)
+
+
+_KIND = _kinds()
+
+
+def parts_of(values: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The parts of all texts in order, which of the distinct ones are plain, and the number of parts up to the end of each text.
+
+    Parts are white-space separated words. Plain words, of the letters A-Z and À-ÿ
+    in either case and of marks, are lower-cased and parted where letters and
+    marks meet, as the pre-tokenizer does; others stay whole and as they are.
+    """
+    whole = b"\n".join([*values, b""])
+    raw, kind, lower = (np.frombuffer(x, np.uint8) for x in (whole, bytearray(whole.translate(_KIND)), bytearray(whole.lower())))
+    second = np.flatnonzero(raw == 0xC3) + 1  # U+00C0 to U+00FF are two bytes, the first of which is this
+    second = second[(raw[second] | 0x20) != 0xB7]  # not the signs of multiplication and division
+    kind[second - 1] = kind[second] = _LETTER
+    lower[second[raw[second] < 0x9F]] += 32
+    held = kind != _SPACE
+    if len(starts := np.flatnonzero(held & np.append(True, ~held[:-1]))) and (odd := np.minimum.reduceat(kind, starts) == _OTHER).any():
+        inside = np.append(np.zeros(starts[0], bool), np.repeat(odd, np.diff(starts, append=len(raw)))) & held
+        kind[inside] = _OTHER
+        np.copyto(lower, raw, where=inside)
+    first = held.copy()
+    first[1:] &= kind[1:] != kind[:-1]
+    ends = np.searchsorted(at := np.flatnonzero(first), np.cumsum([len(v) + 1 for v in values]))
+    data = lower[held]
+    offsets = np.append(np.flatnonzero(first[held]), len(data)).astype(np.int32)
+    parts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    plain = np.zeros(len(parts.dictionary), bool)
+    plain[parts.indices.to_numpy()] = kind[at] != _OTHER
+    return parts, plain, ends
 
 
 class WordIds:
-    """Ids of white-space separated words, looked up once per distinct word.
-
-    No token of the vocabulary's pre-tokenizer spans white space, so a text's
-    ids are its words' ids in order. Ids are kept as little-endian unsigned
-    32-bit bytes. Words of plain letters with trailing marks are split into the
-    two, lower-cased, so that their many spellings share one entry; all others
-    go to the library whole. Words of over LONG bytes are not kept. ``most``
-    bounds each generation of what is kept, in bytes.
+    """Ids of parts of texts (see ``parts_of``), looked up once per distinct part.
+
+    No token of the vocabulary's pre-tokenizer spans white space, or letters and
+    marks, so a text's ids are its parts' ids in order. Ids are kept as
+    little-endian unsigned 32-bit bytes. Words that are not plain go to the
+    library whole. Parts of over LONG bytes are not kept. ``most`` bounds each
+    generation of what is kept, in bytes.
     """
 
     def __init__(self, path: str, most: int):
@@ -41,7 +82,7 @@ class WordIds:
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
 
     def _library(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        for a, b in blocks(words, 1 << 18):  # the library's results take some 50 times the text
+        for a, b in blocks(words, 1 << 14):  # the library's results take some 50 times the text, in each of its threads
             for w, e in zip(words[a:b], self.tokenizer.encode_batch_fast([w.decode() for w in words[a:b]], add_special_tokens=False), strict=True):
                 yield w, np.array(e.ids, "<u4").tobytes()
 
@@ -60,37 +101,35 @@ class WordIds:
                 self.known.put(w, raw[start:end])
                 start = end
 
-    def learn(self, words: set[bytes]) -> None:
-        """Makes every word of the set known."""
+    def learn(self, plain: list[bytes], other: list[bytes]) -> None:
+        """Makes every part known."""
         self.known.age()
-        plain, other, parts = [], [], set()
-        for w in self.known.lacking(words):
-            if m := _PLAIN.fullmatch(w.decode()):
-                core, marks = m[1].lower().encode(), m[2].encode()
-                plain.append((w, core, marks))
-                parts.add(core)
-                parts.add(marks)
-            else:
-                other.append(w)
-        parts.discard(b"")
-        self._single(self.known.lacking(parts))
-        for w, core, marks in plain:
-            if w != core:
-                self.known.put(w, self.known[core] + self.known[marks] if marks else self.known[core])
-        for w, own in self._library(other):
+        self._single(self.known.lacking(plain))
+        for w, own in self._library(self.known.lacking(other)):
             self.known.put(w, own)
 
     def of(self, values: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        split = [v.split() for v in values]
-        words = set().union(*split)
-        get = self.known.__getitem__
-        if long := [w for w in words if len(w) > LONG]:
-            words.difference_update(long)
-            once, short = dict(self._library(long)), get
-            get = lambda w: once[w] if len(w) > LONG else short(w)
-        self.learn(words)
-        return [b"".join(map(get, own)) for own in split]
+        parts, plain, ends = parts_of(values)
+        words, codes = parts.dictionary.to_pylist(), parts.indices.to_numpy()
+        get, size = self.known.__getitem__, np.fromiter(map(len, words), np.int64, len(words))
+        if once := dict(self._library([words[i] for i in np.flatnonzero(size > LONG).tolist()])):
+            get = lambda w: once[w] if len(w) > LONG else self.known[w]
+        self.learn(*[[words[i] for i in np.flatnonzero((size <= LONG) & own).tolist()] for own in (plain, ~plain)])
+        found = list(map(get, words))
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(n) - n
+        del found, get, once
+        out, ends = [], [0, *ends.tolist()]
+        for a, b in blocks(values, 1 << 18):  # positions take some eight times the text
+            own = codes[ends[a] : ends[b]]
+            each = n[own]
+            until = np.cumsum(each)
+            at = np.repeat(starts[own] - until + each, each)  # a part's ids are copied from its first id on
+            at += np.arange(len(at))
+            raw, bounds = ids[at].tobytes(), np.append(0, 4 * until)[np.subtract(ends[a : b + 1], ends[a])]
+            out += [raw[x:y] for x, y in itertools.pairwise(bounds.tolist())]
+        return out
 
 
 def differencing(sizes: list[int], k: int) -> np.ndarray:

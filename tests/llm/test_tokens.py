@@ -22,6 +22,19 @@ def test_word_ids_are_the_librarys(text):
     assert np.frombuffer(W.of([text.encode()])[0], "<u4").tolist() == T.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(TEXT, max_size=20))
+def test_word_ids_of_many_texts(found):
+    assert [np.frombuffer(x, "<u4").tolist() for x in W.of([t.encode() for t in found])] == [T.encode(t, add_special_tokens=False).ids for t in found]
+
+
+def test_spellings_share_their_parts():
+    """Case and trailing marks of a word cost no entry of their own, so more words are kept and fewer go to the library again."""
+    words, text = WordIds(WORD, 1 << 20), "\u00c9tat \u00e9tat, \u00c9TAT. \u00e9Tat.,\n\u00e9tat;\u00e9tat \u00e9t\u00d7at"
+    assert np.frombuffer(words.of([text.encode()])[0], "<u4").tolist() == T.encode(text, add_special_tokens=False).ids
+    assert {w.decode() for w in words.known} == {"\u00e9tat", ",", ".", ".,", ";", "\u00e9t\u00d7at"}
+
+
 W, T = WordIds(WORD, 5000), Tokenizer.from_file(WORD)
 L = _Library(BYTE)
 B = L.tokenizer
