@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import LONG, blocks, frugal, stored, texts
+from ledgerloom.llm.shared import LONG, frugal, pieces, stored, texts
 
 #: Words that stand for numbers, and for units.
 NUMBER_WORDS = frozenset(
@@ -294,9 +294,9 @@ def contaminated(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms, table, row = Forms(), held.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, values = batch.column(0), texts(batch, text_col)
-            for a, b in blocks(values, 1 << 20):
-                t = Templates.of([v.split() for v in values[a:b]], forms)
+            ids = batch.column(0)
+            for a, b, values in pieces(batch, text_col, 1 << 20):
+                t = Templates.of([v.split() for v in values], forms)
                 text, pos, found, slots = [], [], [], []
                 for reading, start, size, hashes in [x for w, longest in widths for x in t.windows(w, longest)] + [x for w in short for x in t.sentences(w)]:
                     place = hashes & (TABLE_BITS - 1)

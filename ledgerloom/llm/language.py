@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.shared import blocks, frugal, small_or_stored, texts
+from ledgerloom.llm.shared import blocks, frugal, pieces, small_or_stored
 
 #: Label of texts that are null or have no letter.
 UNKNOWN = "und"
@@ -352,12 +352,11 @@ def identify(docs: DataFrame, crf: Crf, folds: int = 4, held_fold: int = 2, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(held.value)
         for batch in batches:
-            values = texts(batch, "text_")
-            for start, end in blocks(values, 8 << 20):  # batches of long texts are large
+            for start, end, values in pieces(batch, "text_", 8 << 20):  # batches of long texts are large
                 words.age()
                 ids: list[np.ndarray] = []
-                for a, b in blocks(values[start:end], 1 << 20):
-                    ids += words.of(values[start + a : start + b])
+                for a, b in blocks(values, 1 << 20):
+                    ids += words.of(values[a:b])
                 n = end - start
                 names, scores = _predict(held.value, words.rows, ids) if held.value.labels else ([UNKNOWN] * n, np.zeros(n))
                 *kept, own = batch.slice(start, n).columns

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.shared import LONG, TwoGenerations, blocks, frugal, kept, stored, texts
+from ledgerloom.llm.shared import LONG, TwoGenerations, blocks, frugal, kept, pieces, stored, tokenizer_of
 
 #: Kinds of bytes: all others, letters that lower-case one to one and are composed already, marks of one pre-token, ASCII white space.
 _OTHER, _LETTER, _MARK, _SPACE = range(4)
@@ -73,16 +73,14 @@ class WordIds:
     """
 
     def __init__(self, path: str, most: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer_of(path)
         self.known = TwoGenerations(most)
         # a pre-token's last piece is marked in the vocabulary
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
 
     def _library(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        for a, b in blocks(words, 1 << 14):  # the library's results take some 50 times the text, in each of its threads
+        for a, b in blocks(words, 1 << 14):  # the library's results take some 50 times the text
             for w, e in zip(words[a:b], self.tokenizer.encode_batch_fast([w.decode() for w in words[a:b]], add_special_tokens=False), strict=True):
                 yield w, np.array(e.ids, "<u4").tobytes()
 
@@ -363,6 +361,7 @@ def pack(
             T.StructField("offset", T.LongType()), *ids,
         ]
     )
+    key_of_words = ("word ids", tokenizer_path, known_bytes)
     first_schema = T.StructType([*schema.fields, T.StructField("rest", T.BinaryType())])
 
     def batch_of(rows: list[tuple], rest: bool = False) -> pa.RecordBatch:
@@ -374,12 +373,11 @@ def pack(
         return pa.RecordBatch.from_arrays([*arrays, pa.array(raw if rest else [None] * len(rows), pa.binary())], names=first_schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, task = kept(("word ids", tokenizer_path, known_bytes), lambda: WordIds(tokenizer_path, known_bytes)), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        words, end, task = kept(key_of_words, lambda: WordIds(tokenizer_path, known_bytes)), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         packer = _Packer(capacity, group, cuts, task << 32)
         for batch in batches:
-            keys, values = batch.column(0).to_pylist(), texts(batch, text_col)
-            for a, b in blocks(values, 1 << 22):
-                for key, raw in zip(keys[a:b], words.of(values[a:b]), strict=True):
+            for a, b, values in pieces(batch, text_col, 1 << 21):
+                for key, raw in zip(batch.column(0).slice(a, b - a).to_pylist(), words.of(values), strict=True):
                     packer.add(key, 0, raw + end, len(raw) // 4 + 1)
                 if rows := packer.taken():
                     yield batch_of(rows)
@@ -407,6 +405,6 @@ def pack(
             if rows := packer.taken():
                 yield batch_of(rows).select(schema.names)
 
-    first = stored(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(run), first_schema), "packed")
+    first = stored(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(run, key_of_words), first_schema), "packed")
     rests = first.where(F.col("rest").isNotNull()).select(id_col, "start", "rest", "doc_tokens", "offset").repartition("offset").sortWithinPartitions("offset", id_col, "start")
     return first.where(F.col("rest").isNull()).select(*schema.names).unionByName(rests.mapInArrow(frugal(again), schema))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import golay
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import blocks, frugal, small_or_stored, stored, texts
+from ledgerloom.llm.shared import frugal, pieces, small_or_stored, stored, texts
 
 #: Bits of the three segments of a fingerprint, from the low end; each fits a Golay word.
 SEGMENTS = (22, 21, 21)
@@ -401,10 +401,9 @@ def similar_documents(
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = texts(batch, "text")
-            for a, b in blocks(values, 1 << 20):
+            for a, b, values in pieces(batch, "text", 1 << 20):
                 part = batch.slice(a, b - a)
-                sets = [shingles(t, words) for t in values[a:b]]
+                sets = [shingles(t, words) for t in values]
                 fps = np.array([set_fingerprint(x, searched) for x in sets], np.uint64).view(np.int64)
                 node = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
                 cols = [part.column(0), part.column(1), pa.array(node), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(searched)]]
@@ -412,10 +411,9 @@ def similar_documents(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = texts(batch, "text")
-            for a, b in blocks(values, 1 << 20):
+            for a, b, values in pieces(batch, "text", 1 << 20):
                 part = batch.slice(a, b - a)
-                sets = [shingles(t, words) for t in values[a:b]]
+                sets = [shingles(t, words) for t in values]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"])
 
     schema = ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, written bigint, node bigint", *[f"{n} bigint" for n in names]])

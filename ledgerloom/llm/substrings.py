@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.automaton import SuffixAutomaton
-from ledgerloom.llm.shared import LONG, blocks, frugal, stored, texts
+from ledgerloom.llm.shared import LONG, frugal, pieces, stored
 
 #: Words of the grams from which a window's anchor is chosen.
 GRAM = 8
@@ -80,11 +80,11 @@ def _occurrences(keyed: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = _Numbers()
         for batch in batches:
-            ks, ts, values = batch.column(0).to_numpy(), batch.column(1).to_numpy(), texts(batch, "text")
-            for a, b in blocks(values, 2 << 20):
+            ks, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b, values in pieces(batch, "text", 2 << 20):
                 out = []
                 for i in range(a, b):
-                    words = values[i].split()
+                    words = values[i - a].split()
                     for at in range(0, max(0, len(words) - window + 1), STRETCH):
                         part = words[at : at + STRETCH + window - 1]
                         anchors, starts, counts, _ = fragments(hashed.of(part), window)
@@ -108,11 +108,10 @@ def _fragment_words(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = texts(batch, "text")
-            for a, b in blocks(values, 1 << 20):
+            for a, b, values in pieces(batch, "text", 1 << 20):
                 out = []
                 for i in range(a, b):
-                    words = values[i].split()
+                    words = values[i - a].split()
                     lists = [batch.column(c)[i].as_py() for c in range(1, 7)]
                     for start, n, anchor, digest, weight, many in zip(*lists, strict=True):
                         out.append((anchor, digest, weight, n, many, b" ".join(words[start : start + n + window - 1])))
@@ -260,11 +259,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = texts(batch, "text")
-            for a, b in blocks(values, 4 << 20):
+            for a, b, values in pieces(batch, "text", 4 << 20):
                 rows = []
                 for i in range(a, b):
-                    words = values[i].split()
+                    words = values[i - a].split()
                     total = len(words)
                     if (starts := batch.column(2)[i].as_py()) is not None:
                         masks = np.array(batch.column(3)[i].as_py(), np.int64)

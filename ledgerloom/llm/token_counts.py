@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import LONG, blocks, frugal, kept, stored
+from ledgerloom.llm.shared import LONG, blocks, frugal, kept, stored, tokenizer_of
 
 #: The white space of Unicode.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -23,9 +23,7 @@ class _Library:
     """The tokenizer of a file, and where it always cuts a text."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer_of(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = tuple(sorted((a.content for a in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True))
@@ -49,8 +47,12 @@ class _Library:
         return found
 
 
+def _key(path: str) -> tuple:
+    return "token counts", path
+
+
 def _library(path: str) -> _Library:
-    return kept(("token counts", path), lambda: _Library(path))
+    return kept(_key(path), lambda: _Library(path))
 
 
 def distinct_units(docs: DataFrame, path: str, text_col: str = "text", most: int = 1 << 26) -> DataFrame:
@@ -76,7 +78,7 @@ def distinct_units(docs: DataFrame, path: str, text_col: str = "text", most: int
                         held = large = 0
         yield out()
 
-    return docs.select(F.col(text_col)).mapInArrow(frugal(run), "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col)).mapInArrow(frugal(run, _key(path)), "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def piece_counts(distinct: DataFrame, path: str) -> DataFrame:
@@ -91,7 +93,7 @@ def piece_counts(distinct: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pieces, pa.int32())], names=["unit", "n", "pieces"])
 
-    return distinct.mapInArrow(frugal(run), "unit string, n bigint, pieces int")
+    return distinct.mapInArrow(frugal(run, _key(path)), "unit string, n bigint, pieces int")
 
 
 def frequent(counted: DataFrame, most: int) -> DataFrame:
@@ -166,7 +168,7 @@ def token_counts(
 
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(
-        frugal(run), f"row bigint, id {id_type}, own boolean, n_bytes bigint, unit string, n bigint"
+        frugal(run, _key(tokenizer_path)), f"row bigint, id {id_type}, own boolean, n_bytes bigint, unit string, n bigint"
     )
     # a document's own row joins nothing; its key only spreads such rows over the partitions
     pieces = counted.select(F.lit(False).alias("own"), "unit", "pieces")

@@ -1,0 +1,56 @@
+"""What workers keep from one piece of work to the next."""
+
+import os
+import subprocess
+import sys
+
+import pyarrow as pa
+
+from ledgerloom.llm import shared
+
+
+def test_a_task_of_another_operator_drops_what_was_kept():
+    seen = []
+
+    def run(batches):
+        seen.append(dict(shared._KEPT))
+        yield from batches
+
+    shared.kept(("words", 1), lambda: "large")
+    list(shared.frugal(run, ("words", 1))(iter([])))
+    list(shared.frugal(run)(iter([])))
+    assert seen == [{("words", 1): "large"}, {}]
+
+
+def test_pieces_are_the_blocks_of_a_batch():
+    values = ["one", None, "", "x" * 50, "é" * 4, "six words", None, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["ahead", *values])], names=["text"]).slice(1)  # as parts of other batches are
+    raw = [(v or "").encode() for v in values]
+    for most in (1, 9, 20, 1000):
+        assert [(a, b, raw[a:b]) for a, b in shared.blocks(raw, most)] == list(shared.pieces(batch, "text", most))
+    assert list(shared.pieces(batch.slice(0, 0), "text", 9)) == []
+
+
+def test_pieces_copy_a_run_at_a_time(monkeypatch):
+    copied = []
+    whole = shared.texts
+    monkeypatch.setattr(shared, "texts", lambda batch, column: copied.append(batch.num_rows) or whole(batch, column))
+    next(shared.pieces(pa.RecordBatch.from_arrays([pa.array(["four"] * 100)], names=["text"]), "text", 40))
+    assert copied == [10]
+
+
+THREADS = """
+import os, public_tokenizers
+from ledgerloom.llm.packing import WordIds
+words = WordIds(public_tokenizers.path("word_bpe_49k.json"), 1 << 20)
+before = len(os.listdir("/proc/self/task"))
+words.of([b" ".join(b"word%dx" % i for i in range(5000))])
+print("more threads", len(os.listdir("/proc/self/task")) - before)
+"""
+
+
+def test_tokenizers_start_no_threads():
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    done = subprocess.run([sys.executable, "-c", THREADS], capture_output=True, text=True, timeout=300, env=env)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.rsplit("more threads", 1)[1]) == 0
